@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tonegrid.llm import exact_dedup, line_dedup, mixing
+from tonegrid.llm import exact_dedup, line_dedup, mixing, quality, simhash
 
 QUERIES = {
     "op2_source_mixing": mixing.query,
+    "op5_simhash_near_dedup": simhash.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_line_dedup": line_dedup.query,
+    "op9_quality_classifier": quality.query,
 }
 
 ORACLES = {
