@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tonegrid.llm import exact_dedup, line_dedup, mixing, quality, simhash
+from tonegrid.llm import decontaminate, exact_dedup, line_dedup, mixing, quality, simhash
 
 QUERIES = {
     "op2_source_mixing": mixing.query,
+    "op4_benchmark_decontamination": decontaminate.query,
     "op5_simhash_near_dedup": simhash.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_line_dedup": line_dedup.query,
