@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from tonegrid.llm import decontaminate, exact_dedup, line_dedup, mixing, quality, simhash
+from tonegrid.llm import chat_format, decontaminate, exact_dedup, line_dedup, mixing, quality, simhash, url_filter
 
 QUERIES = {
     "op2_source_mixing": mixing.query,
+    "op3_chat_formatting": chat_format.query,
     "op4_benchmark_decontamination": decontaminate.query,
     "op5_simhash_near_dedup": simhash.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_line_dedup": line_dedup.query,
+    "op8_url_filters": url_filter.query,
     "op9_quality_classifier": quality.query,
 }
 
 ORACLES = {
     "op2_source_mixing": mixing.ORACLE,
+    "op3_chat_formatting": chat_format.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
 }
