@@ -26,30 +26,30 @@ RULES = (
     ("allow", "org", "/fr/"),
 )
 
-#: The labelled URL table (1: block). Host words of unwanted and of ordinary sites, with paths of both.
+#: The labelled URL table (1: block). Host words of unwanted and of ordinary sites, and the forms in which each appears.
 BLOCKED_HOSTS = (
     "spam-farm", "cheap-pills", "casino-bonus", "free-money", "adult-cams", "win-prizes", "crack-keygen", "payday-loans",
-    "xxx-videos", "fake-watches", "hot-deals", "pills-online", "poker-win", "warez-download", "spam-links", "cheap-loans",
+    "xxx-videos", "fake-watches", "ads-network", "pills-online", "poker-win", "warez-download", "click-track", "free-bets",
 )
 ALLOWED_HOSTS = (
-    "library", "museum", "university", "gazette", "weather", "recipes", "gardening", "history",
-    "science", "railway", "orchestra", "council", "archive", "physics", "bookshop", "therin",
+    "library", "museum", "university", "gazette", "weather", "recipes", "gardening", "history", "science", "railway", "orchestra",
+    "council", "archive", "physics", "bookshop", "therapy", "therin", "nation", "thought", "northern", "reading", "entire", "heritage",
+    "thesis", "thunder", "mention", "station", "edition", "anthem", "leather", "handbook", "theatre",
 )
-BLOCKED_PATHS = ("/buy-now/offer", "/free/bonus?ref=x", "/click/win", "/pills/order")
-ALLOWED_PATHS = ("/en/825", "/about/", "/articles/2019/spring", "/fr/12.html")
+FORMS = (
+    "https://www.{}.example.com/en/825", "http://{}.example.org/fr/12.html", "https://blog.{}.example.com/de/9?page=2",
+    "https://m.{}.example.net/es/640/", "http://www.{}.example.com/es/77#top", "https://{}.example.org/en/",
+)
+BLOCKED_FORMS = ("https://{}.example.com/buy-now/offer", "http://{}.example.org/free-bonus/click")
 
 NGRAMS, BUCKETS = (3, 4), 2048
 REGULARISATION, MAX_ITER = 0.001, 100
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, label): every host word with each path of its own kind, and with one of the other kind."""
-    def urls(hosts: tuple, paths: tuple, label: int) -> Column:
-        pairs = [F.struct(F.lit(f"https://www.{h}.example.org{p}").alias("url"), F.lit(label).alias("label")) for h in hosts for p in paths]
-        return F.array(*pairs)
-
-    both = F.concat(urls(BLOCKED_HOSTS, (*BLOCKED_PATHS, ALLOWED_PATHS[0]), 1), urls(ALLOWED_HOSTS, ALLOWED_PATHS, 0))
-    return spark.range(1).select(F.inline(both))
+    """(url, label): every host word in every form of its kind."""
+    rows = [(form.format(h), 1) for h in BLOCKED_HOSTS for form in FORMS + BLOCKED_FORMS] + [(form.format(h), 0) for h in ALLOWED_HOSTS for form in FORMS]
+    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(url).alias("url"), F.lit(label).alias("label")) for url, label in rows])))
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
