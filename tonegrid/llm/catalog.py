@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tonegrid.llm import chat_format, decontaminate, exact_dedup, line_dedup, mixing, quality, simhash, url_filter
+from tonegrid.llm import chat_format, decontaminate, exact_dedup, line_dedup, mixing, quality, secret_scan, simhash, url_filter
 
 QUERIES = {
+    "op1_secret_scans": secret_scan.query,
     "op2_source_mixing": mixing.query,
     "op3_chat_formatting": chat_format.query,
     "op4_benchmark_decontamination": decontaminate.query,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_secret_scans": secret_scan.ORACLE,
     "op2_source_mixing": mixing.ORACLE,
     "op3_chat_formatting": chat_format.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
