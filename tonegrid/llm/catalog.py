@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tonegrid.llm import chat_format, decontaminate, exact_dedup, line_dedup, mixing, quality, secret_scan, simhash, url_filter
+from tonegrid.llm import chat_format, decontaminate, exact_dedup, line_dedup, mixing, quality, secret_scan, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_secret_scans": secret_scan.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_line_dedup": line_dedup.query,
     "op8_url_filters": url_filter.query,
     "op9_quality_classifier": quality.query,
+    "op10_substring_dedup": substring_dedup.query,
 }
 
 ORACLES = {
