@@ -1,6 +1,6 @@
 """All registered queries of the library, and their SQL."""
 
-from tonegrid.plans import measurements
+from tonegrid.plans import governance, measurements
 
-QUERIES = {**measurements.QUERIES}
-ORACLES = {**measurements.ORACLES}
+QUERIES = {**governance.QUERIES, **measurements.QUERIES}
+ORACLES = {**governance.ORACLES, **measurements.ORACLES}
