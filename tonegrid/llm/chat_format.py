@@ -50,13 +50,13 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     parents = nodes.select(F.col("node").alias("of"))
     state = written(
         nodes.join(parents, F.col("parent") == F.col("of"), "left")
-        .select("node", F.col("of").alias("up"), F.lit(1).alias("dist"), "score", F.when(F.col("of").isNull(), F.col("node")).alias("root"))
+        .select("node", F.col("of").alias("up"), F.lit(1).cast("long").alias("dist"), "score", F.when(F.col("of").isNull(), F.col("node")).alias("root"))
     )
-    levels = []
+    levels, most = [], nodes.count()
     while levels == [] or state.where("root IS NULL").limit(1).count():
         levels.append(state.where("up IS NOT NULL").select(F.col("node").alias("at"), F.col("up").alias("above")))
-        if len(levels) > 64:
-            break
+        if 2 ** len(levels) > 2 * most:
+            break  # no path has more messages than the table: what is still open hangs in cycles
         far = state.select(F.col("node").alias("of"), F.col("up").alias("up2"), F.col("dist").alias("dist2"), F.col("score").alias("score2"), F.col("root").alias("root2"))
         open_ = state.where("root IS NULL").join(far, F.col("up") == F.col("of"))
         done = state.where("root IS NOT NULL").withColumn("up", F.lit(None).cast(state.schema["up"].dataType))
