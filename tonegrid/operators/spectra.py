@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from tonegrid.functions.columns import power_db
 
-FRAME = Window.partitionBy("vec_id")
-IN_BINS = Window.partitionBy("vec_id").orderBy("bin")
+def frame():
+    return Window.partitionBy("vec_id")
+
+
+def in_bins():
+    return Window.partitionBy("vec_id").orderBy("bin")
 
 
 def spectral_health(spec: DataFrame) -> DataFrame:
@@ -21,13 +25,13 @@ def spectral_health(spec: DataFrame) -> DataFrame:
 
 def rolloff(spec: DataFrame, share: float = 0.85) -> DataFrame:
     """(vec_id, rolloff_bin): the first bin at which the running magnitude reaches ``share`` of all."""
-    running = spec.withColumn("upto", F.sum("mag").over(IN_BINS)).withColumn("all", F.sum("mag").over(FRAME))
+    running = spec.withColumn("upto", F.sum("mag").over(in_bins())).withColumn("all", F.sum("mag").over(frame()))
     return running.where(F.col("upto") >= share * F.col("all")).groupBy("vec_id").agg(F.min("bin").alias("rolloff_bin"))
 
 
 def irregularity(spec: DataFrame) -> DataFrame:
     """(vec_id, irregularity): mean step between bins over mean magnitude, at most 1."""
-    steps = spec.withColumn("step", F.abs(F.col("mag") - F.lag("mag").over(IN_BINS)))
+    steps = spec.withColumn("step", F.abs(F.col("mag") - F.lag("mag").over(in_bins())))
     return steps.groupBy("vec_id").agg(F.least(F.lit(1.0), F.avg("step") / (F.avg("mag") + 1e-12)).alias("irregularity"))
 
 
@@ -86,7 +90,7 @@ def artifact_frames(spec: DataFrame, low: int, high: int, over_low: float, over_
 
 def bandwidth(spec: DataFrame, edge: int, drop_db: float) -> DataFrame:
     """(vec_id, aliasing_level_db, bandwidth_bin): power about ``edge`` against the lower quarter; the last bin within ``drop_db`` of the largest."""
-    power = spec.withColumn("p", F.col("mag") * F.col("mag")).withColumn("top", F.max(F.col("mag") * F.col("mag")).over(FRAME))
+    power = spec.withColumn("p", F.col("mag") * F.col("mag")).withColumn("top", F.max(F.col("mag") * F.col("mag")).over(frame()))
     near = F.avg(F.when(F.col("bin").between(int(edge * 0.9), int(edge * 1.1)), F.col("p")))
     low = F.avg(F.when(F.col("bin") < edge // 2, F.col("p")))
     within = F.max(F.when(power_db(F.col("p")) - power_db(F.col("top")) > drop_db, F.col("bin")))
@@ -95,7 +99,7 @@ def bandwidth(spec: DataFrame, edge: int, drop_db: float) -> DataFrame:
 
 def harmonic_tension(spec: DataFrame, harmonics: int = 9) -> DataFrame:
     """(vec_id, f0_bin, harmonic_tension): 1 less the energy within a bin of the multiples of the strongest bin."""
-    strongest = F.first("bin").over(FRAME.orderBy(F.col("mag").desc(), "bin"))
+    strongest = F.first("bin").over(frame().orderBy(F.col("mag").desc(), "bin"))
     found = spec.where("bin > 0").withColumn("f0", strongest)
     number = F.round(F.col("bin") / F.col("f0"))
     near = (F.abs(F.col("bin") - number * F.col("f0")) <= 1) & number.between(1, harmonics)
@@ -105,7 +109,7 @@ def harmonic_tension(spec: DataFrame, harmonics: int = 9) -> DataFrame:
 
 def inharmonicity(spec: DataFrame, reach: int = 2, last: int = 7) -> DataFrame:
     """(vec_id, inharmonicity): mean relative distance of the strongest bin near each multiple from that multiple."""
-    strongest = F.first("bin").over(FRAME.orderBy(F.col("mag").desc(), "bin"))
+    strongest = F.first("bin").over(frame().orderBy(F.col("mag").desc(), "bin"))
     near = spec.where("bin > 0").withColumn("f0", strongest).withColumn("h", F.explode(F.sequence(F.lit(2), F.lit(last))))
     near = near.where(F.abs(F.col("bin") - F.col("h") * F.col("f0")) <= reach)
     peaks = near.groupBy("vec_id", "f0", "h").agg(F.min_by("bin", F.struct(-F.col("mag"), F.col("bin"))).alias("at"))
@@ -114,7 +118,7 @@ def inharmonicity(spec: DataFrame, reach: int = 2, last: int = 7) -> DataFrame:
 
 def fingerprint(spec: DataFrame, every: int = 2) -> DataFrame:
     """(label, bits, fingerprint_sha256): bits of every ``every``-th bin above its frame's mean power, of all frames in order."""
-    bits = spec.withColumn("mean", F.avg(F.col("mag") * F.col("mag")).over(FRAME)).where(F.col("bin") % every == 0)
+    bits = spec.withColumn("mean", F.avg(F.col("mag") * F.col("mag")).over(frame())).where(F.col("bin") % every == 0)
     bit = F.when(F.col("mag") * F.col("mag") > F.col("mean"), "1").otherwise("0")
     joined = bits.groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "bin", bit.alias("b")))), lambda s: s["b"]), "").alias("b"))
     return joined.select("label", F.length("b").cast("long").alias("bits"), F.sha2("b", 256).alias("fingerprint_sha256"))
