@@ -1,6 +1,6 @@
 """All registered queries of the library, and their SQL."""
 
-from tonegrid.plans import governance, kernels, measurements, streams
+from tonegrid.plans import contours, governance, kernels, measurements, streams
 
-QUERIES = {**governance.QUERIES, **measurements.QUERIES, **kernels.QUERIES, **streams.QUERIES}
-ORACLES = {**governance.ORACLES, **measurements.ORACLES, **streams.ORACLES}
+QUERIES = {**governance.QUERIES, **contours.QUERIES, **measurements.QUERIES, **kernels.QUERIES, **streams.QUERIES}
+ORACLES = {**governance.ORACLES, **contours.ORACLES, **measurements.ORACLES, **streams.ORACLES}
