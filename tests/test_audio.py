@@ -81,3 +81,17 @@ def test_pcm_depths(depth):
     head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(raw), b"WAVE", b"fmt ", 16, 1, 1, 8000, 0, depth // 8, depth, b"data", len(raw))
     rate, bits, x = wav.parse(head + raw)
     assert (rate, bits) == (8000, depth) and x[0] == pytest.approx(np.array(values) / 2.0 ** (depth - 1))
+
+
+def test_resampled_tones_keep_their_pitch_whatever_the_chunks(spark):
+    x = 0.5 * np.sin(2 * np.pi * 440 * np.arange(8000) / 8000)
+    signal = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "channel long, frame long, x double")
+    for rate in (12_000, 5_000):
+        got = []
+        for chunk in (8000, 1500):
+            rows = kernels.resample(wav.chunks_of(signal, 8000, chunk), rate).orderBy("start").collect()
+            got.append(np.concatenate([r.samples for r in rows]))
+        assert len(got[0]) == len(got[1]) == rate
+        expected = 0.5 * np.sin(2 * np.pi * 440 * np.arange(rate) / rate)
+        assert got[0] == pytest.approx(got[1], abs=1e-6)
+        assert got[0][200:-200] == pytest.approx(expected[200:-200], abs=0.01)

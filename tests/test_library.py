@@ -129,3 +129,58 @@ def test_streams_equal_batches(spark, tmp_path):
         batch = {tuple(r) for r in run(events).collect()}
         got = {tuple(r) for r in spark.table(name).collect()}
         assert got == batch if name == "levels" else got <= batch and got
+
+
+def tones(folder, **amplitudes):
+    folder.mkdir()
+    for name, a in amplitudes.items():
+        tone = (a * np.sin(2 * np.pi * 1000 * np.arange(44_100) / 44_100)).astype(np.float32)
+        (folder / f"{name}.wav").write_bytes(wav.encode(np.array([tone]), 44_100))
+    return str(folder)
+
+
+def test_compare_freeze_and_verify(spark, tmp_path):
+    soft, loud = tones(tmp_path / "soft", x=0.1, y=0.1), tones(tmp_path / "loud", x=0.1, y=1.0)
+    only = ["--only", "loudness,true_peak,clipping"]
+    run = lambda n, command, path, *more: main([command, path, *only, *more, "--output", f"{tmp_path}/o{n}"], spark)
+    assert run(1, "compare", soft, "--other", loud) == 1 and run(2, "compare", soft, "--other", soft) == 0
+    got = {r.file_id: r for r in spark.read.json(f"{tmp_path}/o1").collect()}
+    assert got["y"].regression and not got["x"].regression and "clipping" in got["y"].only_in_b
+    assert run(3, "freeze", soft, "--golden", f"{tmp_path}/golden") == 0
+    assert run(4, "verify", soft, "--golden", f"{tmp_path}/golden") == 0 and run(5, "verify", loud, "--golden", f"{tmp_path}/golden") == 1
+
+
+def test_audit_logs(spark, tmp_path):
+    from tonegrid.operators import audit
+
+    (tmp_path / "logs").mkdir()
+    lines, previous = [], ""
+    for i in range(4):
+        lines.append(audit.entry("me", "analyze", f"f{i}", {"b": 1, "a": [1.5, None]}, previous, "2024-01-01T00:00:00Z"))
+        previous = lines[-1]["entry_hash"]
+    (tmp_path / "logs" / "good.jsonl").write_text("".join(json.dumps(x) + "\n" for x in lines))
+    assert main(["audit", str(tmp_path / "logs"), "--output", f"{tmp_path}/good"], spark) == 0
+    lines[1]["subject"] = "other"
+    (tmp_path / "logs" / "bad.jsonl").write_text("\n".join([json.dumps(lines[0]), json.dumps(lines[1]), "{", json.dumps(lines[3])]))
+    assert main(["audit", str(tmp_path / "logs"), "--output", f"{tmp_path}/bad"], spark) == 1
+    assert {(r.line, r.problem) for r in spark.read.json(f"{tmp_path}/bad").collect()} == {(1, "hash mismatch"), (2, "invalid JSON"), (3, "chain broken")}
+
+
+def test_plugins_add_analyzers(spark, tmp_path):
+    from tonegrid.operators import analysis
+
+    (tmp_path / "plugin.py").write_text(
+        "from pyspark.sql import functions as F\nfrom tonegrid.operators.analysis import finding, register\n\n\n"
+        "@register('length', 'most_s')\ndef length(chunks, params):\n"
+        "    per = chunks.groupBy('file_id').agg(F.max(F.col('frames') / F.col('sample_rate')).alias('s'))\n"
+        "    return finding(per, 'length', 'length', F.col('s'), 's', F.when(F.col('s') > params.get('most_s', 9), 'fail').otherwise('pass'), 'header')\n"
+    )
+    (tmp_path / "p.yaml").write_text("name: p\nversion: '1'\nanalyzers: {length: {most_s: 0.5}}")
+    folder = tones(tmp_path / "in", x=0.1)
+    try:
+        assert main(["analyze", folder, "--profile", str(tmp_path / "p.yaml"), "--plugin", str(tmp_path / "plugin.py"), "--output", f"{tmp_path}/out"], spark) == 1
+        assert [r.metric for r in spark.read.json(f"{tmp_path}/out").collect()] == ["length"]
+        with pytest.raises(ValueError):
+            analysis.register("length")
+    finally:
+        analysis.REGISTRY.clear()

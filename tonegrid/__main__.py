@@ -1,34 +1,73 @@
-"""python -m tonegrid analyze|inspect|compliance PATH: findings of all audio files under a path, and an exit code."""
+"""python -m tonegrid COMMAND PATH: findings of all audio files under a path, and an exit code.
+
+analyze writes findings; inspect what the files are; compliance their distance from delivery targets;
+compare the changes from PATH to --other, file by file; freeze and verify golden findings in --golden;
+audit the problems of log files. Files are matched by name without suffix.
+"""
 
 from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonegrid.operators import kernels, policy
-from tonegrid.operators.analysis import PARAMETERS, analyze
+from tonegrid.operators import comparison, kernels, policy
+from tonegrid.operators.analysis import analyze, known_parameters, load_plugin
+from tonegrid.operators.audit import read_logs, verify_logs
 from tonegrid.sources import sinks
 from tonegrid.sources.profiles import ProfileError, load_profile
 from tonegrid.sources.wav import read_audio, subjects
 
 OK, FINDING, USAGE = 0, 1, 2
+GOLDEN = ("file_id", "analyzer", "metric", "value", "status")
+
+
+def by_name(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("file_id", F.regexp_extract("source_path", r"([^/]+)\.[^./]*$", 1))
+
+
+def against(args: argparse.Namespace, spark: SparkSession, findings: Callable[[str], DataFrame]) -> int:
+    """Two sides, or one side and its golden findings."""
+    mine = findings(args.path)
+    if args.command == "freeze":
+        sinks.write_json(mine, args.golden)
+        return OK
+    if args.command == "compare":
+        other = findings(args.other)
+        changes = comparison.flag_changes(mine, other, "file_id")
+        deltas = comparison.metric_deltas(mine, other, "file_id").groupBy("file_id").agg(F.collect_list(F.struct("analyzer", "metric", "value_a", "value_b", "delta")).alias("deltas"))
+        changes.join(deltas, "file_id", "left").write.json(args.output)
+        return FINDING if spark.read.json(args.output).where("regression").limit(1).count() else OK
+    golden = spark.read.json(args.golden).select(*GOLDEN)
+    side = lambda df: df.select(F.col("file_id").alias("fixture"), *GOLDEN[1:])
+    comparison.golden_diff(side(golden), side(mine), F.lit(args.tolerance)).write.json(args.output)
+    return FINDING if spark.read.schema("kind string").json(args.output).limit(1).count() else OK
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser("tonegrid")
-    parser.add_argument("command", choices=("analyze", "inspect", "compliance"))
+    parser.add_argument("command", choices=("analyze", "inspect", "compliance", "compare", "freeze", "verify", "audit"))
     parser.add_argument("path")
     parser.add_argument("--profile", default="default")
     parser.add_argument("--strict", action="store_true")
     parser.add_argument("--only", type=lambda s: tuple(s.split(",")))
     parser.add_argument("--skip", type=lambda s: tuple(s.split(",")), default=())
     parser.add_argument("--format", choices=("json", "csv", "sarif", "html"), default="json")
+    parser.add_argument("--other", help="the side to compare with")
+    parser.add_argument("--golden", help="the folder of golden findings")
+    parser.add_argument("--tolerance", type=float, default=0.01)
+    parser.add_argument("--plugin", action="append", default=[], help="a Python file that registers analyzers")
     parser.add_argument("--output", required=True, help="a folder, on any file system that Spark writes")
     args = parser.parse_args(argv)
     spark = spark or SparkSession.builder.appName("tonegrid").getOrCreate()
+    if args.command == "audit":
+        verify_logs(read_logs(spark, args.path)).write.json(args.output)
+        return FINDING if spark.read.schema("log string, line int, problem string").json(args.output).limit(1).count() else OK
+    for plugin in args.plugin:
+        load_plugin(plugin)
     chunks = read_audio(spark, args.path)
     if args.command == "inspect":
         subjects(chunks).write.json(args.output)
@@ -39,10 +78,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         policy.compliance(measured).write.json(args.output)
         return FINDING if spark.read.json(args.output).where("overall = 'fail'").limit(1).count() else OK
     try:
-        profile = load_profile(args.profile, args.strict, PARAMETERS)
+        profile = load_profile(args.profile, args.strict, known_parameters())
     except ProfileError as error:
         print(error, file=sys.stderr)
         return USAGE
+    if args.command in ("compare", "freeze", "verify"):
+        return against(args, spark, lambda path: analyze(by_name(read_audio(spark, path)), profile, args.only, args.skip))
     findings = analyze(chunks, profile, args.only, args.skip).persist()
     if args.format == "csv":
         sinks.write_csv(findings, args.output)

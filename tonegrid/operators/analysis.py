@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import runpy
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +19,31 @@ PARAMETERS = {
 }
 
 
+#: Analyzers added by plugins: functions of (good chunks, parameters) to findings, with the parameters they take.
+REGISTRY: dict[str, tuple[Callable[[DataFrame, dict], DataFrame], tuple[str, ...]]] = {}
+
+
+def register(name: str, *parameters: str):
+    """Decorator: makes a function of (chunks, params) an analyzer; its findings join all others."""
+    if not name or name in PARAMETERS or name in REGISTRY:
+        raise ValueError(f"no name, or one that is taken: {name!r}")
+
+    def add(run):
+        REGISTRY[name] = (run, parameters)
+        return run
+
+    return add
+
+
+def load_plugin(path: str) -> None:
+    """Runs a Python file, whose functions register themselves. Plugins build plans on the driver; nothing of them runs unasked."""
+    runpy.run_path(path)
+
+
+def known_parameters() -> dict[str, tuple[str, ...]]:
+    return PARAMETERS | {name: parameters for name, (_, parameters) in REGISTRY.items()}
+
+
 def finding(df: DataFrame, analyzer: str, metric: str, value: Column, unit: str, status: Column, method: str) -> DataFrame:
     shown = F.when(~F.isnan(value.cast("double")), value.cast("double"))
     return df.select(
@@ -64,6 +91,8 @@ def analyze(chunks: DataFrame, profile: dict, only: tuple | None = None, skip: t
             rates = subjects(good).select("file_id", "sample_rate")
             health = spectra.spectral_health(spectrum).withColumnRenamed("vec_id", "file_id").join(rates, "file_id")
             found.append(finding(health, analyzer, "spectral_centroid", F.coalesce("centroid", F.lit(0.0)) * F.col("sample_rate") / size, "Hz", F.lit("pass"), "mean magnitude spectrum"))
+        elif analyzer in REGISTRY:
+            found.append(REGISTRY[analyzer][0](good, params))
         elif analyzer == "pitch_f0":
             pitch = kernels.fundamental(good, get("fmin", 60.0), get("fmax", 500.0))
             found.append(finding(pitch, analyzer, "f0_median_hz", F.col("median_hz"), "Hz", F.col("status"), "YIN"))
