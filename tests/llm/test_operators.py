@@ -282,6 +282,28 @@ def test_passages_are_found_and_clean_documents_left(spark, tmp_path):
     assert substring_dedup.shared_passages(docs.where("false")).count() == 0
 
 
+def test_passages_on_both_sides_of_a_gap_are_found(spark, tmp_path):
+    unique = lambda i, n: [f"{w}{i}.{j}" for j, w in enumerate(prose(i, n).split())]
+    texts, planted = [], []
+    for n, (gap, size) in enumerate((g, s) for g in (20, 40, 100, 200, 600) for s in (60, 200)):
+        one, two = unique(10 * n + 1, size), unique(10 * n + 2, size)
+        texts += [" ".join(unique(1000 + 10 * n + d, 30) + one + unique(2000 + 10 * n + d, gap) + two + unique(3000 + 10 * n + d, 30)) for d in (1, 2)]
+        planted += [(2 * n, range(30, 30 + size)), (2 * n, range(30 + size + gap, 30 + 2 * size + gap))]
+    docs = read(spark, tmp_path, documents=documents(texts))
+    got = [(min(r.doc_id, r.other_id), r) for r in substring_dedup.shared_passages(docs).collect()]
+    lost = [(n, p) for n, p in planted if not any(n == d and r.start <= p[0] and p[-1] < r.end for d, r in got)]
+    assert not lost
+    assert all(r.edits <= 0.2 * (r.end - r.start) and r.start == r.other_start and r.end == r.other_end for _, r in got)
+
+
+def test_a_short_chain_hides_no_passage():
+    dense = [(i, 1000 + i) for i in range(0, 16, 2)]
+    sparse = [(100 + i, 300 + i) for i in (0, 12, 24, 31)]
+    assert substring_dedup.chains(dense + sparse) == [sparse]
+    inside = [(500 + i, 2000 + i) for i in range(0, 60, 6)]
+    around = [(300 + i, 100 + i) for i in range(0, 200, 5)] + [(570 + i, 370 + i) for i in range(0, 200, 5)]
+    assert inside in substring_dedup.chains(around + inside)
+
 def test_word_edit_distance():
     rng = np.random.default_rng(10)
     for _ in range(200):
