@@ -161,6 +161,42 @@ def test_leaks_equal_brute_force(spark, tmp_path, block_chars):
     assert decontaminate.leaks(docs.where("false"), bench).count() == decontaminate.leaks(docs, bench.where("false")).count() == 0
 
 
+def test_discarded_windows_hold_no_item():
+    rng = np.random.default_rng(15)
+    for trial in range(300):
+        item = prose(trial, 60)[: int(rng.integers(24, 200))].strip()
+        spoiled = list(item)
+        for _ in range(decontaminate.budget(len(item))):
+            at = int(rng.integers(0, len(spoiled)))
+            kind = int(rng.integers(0, 3))
+            spoiled[at : at + 1] = [["q"], [], [spoiled[at], "q"]][kind]
+        text = "z" * int(rng.integers(0, 9)) + "".join(spoiled) + "z" * int(rng.integers(0, 9))
+        assert decontaminate.Matcher([(7, item)]).matches(text) == [(7, least_distance(item, decontaminate.normalise(text)))]
+
+
+def test_a_tenth_of_an_item_may_be_edited_and_short_items_count(spark, tmp_path):
+    items = [prose(700 + i, 200)[:m].strip() for i, m in enumerate((25, 29, 30, 80, 150, 224, 384))] + ["Blue, Moon", "x"]
+    texts, expected = [], []
+    for n, item in enumerate(items[:7]):
+        for edits in (len(item) // 10, len(item) // 10 + 1):
+            spoiled = list(item)
+            for i in range(edits):  # evenly spread, so that pieces as long as an edit allows stay whole
+                at = (2 * i + 1) * len(item) // (2 * edits)
+                spoiled[at] = "9"
+            texts.append(prose(40 + n, 30) + " " + "".join(spoiled) + " " + prose(50 + n, 30))
+    texts += ["a blue moon rose", "a blue moonrise", "Blue\nMOON", "X"]
+    for i, t in enumerate(texts):
+        for n, item in enumerate(map(decontaminate.normalise, items)):
+            text = decontaminate.normalise(t)
+            far = least_distance(item, text) if len(item) >= 24 else int(f" {item} " not in f" {text} ")
+            if far <= (len(item) // 10 if len(item) >= 24 else 0):
+                expected.append((i, n, far))
+    docs = read(spark, tmp_path, documents=documents(texts))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {e[0] for e in expected} >= {0, 2, 4, 6, 8, 10, 12, 14, 16, 17}
+    assert sorted(tuple(r) for r in decontaminate.leaks(docs, bench).collect()) == sorted(expected)
+
+
 # line dedup
 
 

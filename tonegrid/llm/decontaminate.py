@@ -3,17 +3,19 @@
 A test item of m characters may occur with up to k edits. Cut it into k + 1 pieces: k edits cannot
 touch them all, so every such occurrence holds one piece exactly. All pieces of a block of items
 form one Aho-Corasick automaton that reads each whole text once; a piece's hit names the window where
-its item must lie, overlapping windows of an item are joined, and Myers' bit-parallel distance
-verifies them. Texts never move: a pass over the documents is a map with a block of items.
+its item must lie. Pieces are short, so most hits are chance: an edit spoils at most one of the
+text's blocks of ``Q`` characters and ``Q`` of the item's runs of as many, and a window that holds less
+than that leaves is discarded. Overlapping windows of
+an item are joined, and Myers' bit-parallel distance verifies them. Texts never move: a pass over the documents is a map with a block of items.
 
 The test set is read in blocks of at most ``BLOCK_CHARS`` characters, one pass for each, so what is
 sent to the tasks is bounded whatever the size of the test set.
 
 Both sides are compared in lower case, with every run of characters other than letters and digits
-as one blank. k is ``ERROR_RATE`` of m, but no more than leaves pieces of ``MIN_PIECE`` characters.
+as one blank. k is ``ERROR_RATE`` of m, rounded down.
 
-Defined results: null and empty texts match nothing; items under ``MIN_ITEM`` normalised characters
-(and null ones) are not searched; repeated items each report; repeated rows each report; an empty
+Defined results: null and empty texts match nothing, and null and empty items are in none; items under
+``MIN_ITEM`` normalised characters are searched exactly, as whole words; repeated items each report; repeated rows each report; an empty
 table on either side gives no rows; other columns are ignored.
 """
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tonegrid.llm.common import table, text_of
 
-ERROR_RATE, MIN_PIECE, MIN_ITEM = 0.1, 14, 24
+ERROR_RATE, MIN_ITEM, Q = 0.1, 24, 4
 BLOCK_CHARS = 4_000_000
 
 _NOT_WORD = re.compile(r"[\W_]+")
@@ -40,8 +42,9 @@ def normalise(text: str) -> str:
     return _NOT_WORD.sub(" ", text.lower()).strip()
 
 
-def budget(m: int, rate: float = ERROR_RATE, min_piece: int = MIN_PIECE) -> int:
-    return max(0, min(int(rate * m), m // min_piece - 1))
+def budget(m: int, rate: float = ERROR_RATE) -> int:
+    """Edits that an item of ``m`` characters may have: none if it is short."""
+    return int(rate * m) if m >= MIN_ITEM else 0
 
 
 def myers(pattern: str, text: str, most: int) -> tuple[int, int]:
@@ -72,6 +75,7 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(item_id, text, budget(len(text))) for item_id, text in items]
+        self.grams = [{text[i : i + Q] for i in range(len(text) - Q + 1)} for _, text, _ in self.items]
         places: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text, k) in enumerate(self.items):
             cuts = [len(text) * i // (k + 1) for i in range(k + 2)]
@@ -98,7 +102,13 @@ class Matcher:
                     joined[-1][1] = b
                 else:
                     joined.append([a, b])
-            out[n] = joined
+            # the item fills at least m - k characters, and each edit spoils one block of them and Q runs of the item
+            grams, blocks = self.grams[n], (len(item) - k - Q + 1) // Q - k
+            runs = len(grams) - Q * k
+            joined = [w for w in joined if sum([text[i : i + Q] in grams for i in range(w[0], min(w[1], len(text)), Q)]) >= blocks]
+            joined = [w for w in joined if len(grams.intersection([text[i : i + Q] for i in range(w[0], min(w[1], len(text)) - Q + 1)])) >= runs]
+            if joined:
+                out[n] = joined
         return out
 
     def matches(self, raw: str) -> list[tuple[int, int]]:
@@ -107,6 +117,10 @@ class Matcher:
         out = []
         for n, windows in self.windows(text).items():
             item_id, item, k = self.items[n]
+            if len(item) < MIN_ITEM:
+                if f" {item} " in f" {text} ":
+                    out.append((item_id, 0))
+                continue
             best = 0 if any(text.find(item, a, b) >= 0 for a, b in windows) else min(myers(item, text[a:b], k)[0] for a, b in windows)
             if best <= k:
                 out.append((item_id, best))
@@ -118,7 +132,7 @@ def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterato
     block, held = [], 0
     for item_id, text in benchmark.select("item_id", "text").toLocalIterator():
         item = normalise(text or "")
-        if len(item) < MIN_ITEM:
+        if not item:
             continue
         if block and held + len(item) > block_chars:
             yield block
@@ -133,7 +147,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """(doc_id, item_id, distance): every document and test item it holds within the item's budget."""
     spark = docs.sparkSession
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, distance int"
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where(F.length("text") >= MIN_ITEM // 2)
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where(F.length("text") > 0)
     found = spark.createDataFrame([], schema)
 
     def search(shared):
