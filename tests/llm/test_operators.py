@@ -106,6 +106,17 @@ def test_near_dedup_keeps_one_of_each_group(spark, tmp_path, small_bucket):
     assert len(set(components(len(texts), edges))) == 12 == kept.count()
 
 
+def test_near_dedup_links_a_text_with_its_lines_repeated(spark, tmp_path):
+    texts = []
+    for i in range(20):
+        base = [f"{w}{j}" for j, w in enumerate(prose(300 + i, 204).split())]
+        texts += [" ".join(base), " ".join(base + base[40:59] * 60)]
+    sets = [set(shingles(t, 5)) for t in texts]
+    assert all(len(a & b) >= 0.9 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True))
+    kept = near_dedup.near_dedup(read(spark, tmp_path, documents=documents(texts)))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 40, 2))
+
+
 def test_near_dedup_of_awkward_and_no_documents(spark, tmp_path):
     docs = read(spark, tmp_path, documents=clashing(awkward()))
     kept = [r.text for r in near_dedup.near_dedup(docs).collect()]

@@ -14,7 +14,7 @@ the bucket with their link, and the rest is dealt out again by the band and each
 Very like copies go with their leader and less like ones part by the bands, so a few such levels
 leave small buckets only, at a number of rows that grows with the nodes, not with their pairs.
 
-Defined results: as for the fingerprints of :mod:`tonegrid.llm.simhash`; texts without words are one
+Defined results: as for the fingerprints of :mod:`tonegrid.llm.simhash`, but of distinct shingles; texts without words are one
 group; the smallest doc_id of a group stays (null ones last), and of identical rows one.
 """
 
@@ -68,7 +68,8 @@ def _sketch(shingle: int):
             for text in batch["text"]:
                 hashes = shingle_hashes(text.as_buffer().to_pybytes(), shingle)
                 low = minima(hashes)
-                prints.append(majority(hashes))
+                # of each shingle once, as the similarity is one of sets: repeated lines don't move it
+                prints.append(majority(np.unique(hashes)))
                 # the top byte of a minimum is nearly always zero, so the bytes come from a mix of it
                 signatures.append((low * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).tobytes())
                 keys.append([xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b) - (1 << 63) for b in range(BANDS)])
