@@ -117,6 +117,25 @@ def test_near_dedup_links_a_text_with_its_lines_repeated(spark, tmp_path):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 40, 2))
 
 
+def test_passes_ask_for_all_doubtful_pairs_in_any_order_of_members():
+    rng = np.random.default_rng(17)
+    n, size = 24, near_dedup.BANDS * near_dedup.ROWS
+    base = rng.integers(0, 256, size)
+    sigs = np.array([base] * n, np.uint8)
+    for i in range(n):
+        at = rng.choice(size, 10, replace=False)
+        sigs[i, at] += np.uint8(i + 1)
+    nodes = [int(v) for v in rng.integers(-(2**62), 2**62, n)]
+    asked = set()
+    for first, last in near_dedup.PASSES:
+        order = rng.permutation(n)
+        ids = [nodes[i] for i in order]
+        asked |= {frozenset(p[:2]) for p in near_dedup.bucket_pairs(ids, ids, np.zeros(n, np.uint64), sigs[order], near_dedup.SIMILARITY, first, last)}
+    near = [[near_dedup.alike(np.zeros(1, np.uint64), sigs[i : i + 1], np.uint64(0), sigs[j])[0] for j in range(n)] for i in range(n)]
+    low, high = near_dedup.SIMILARITY - near_dedup.BELOW, near_dedup.SIMILARITY + near_dedup.ABOVE
+    assert asked == {frozenset((nodes[i], nodes[j])) for i in range(n) for j in range(i) if low <= near[i][j] < high}
+
+
 def test_near_dedup_of_awkward_and_no_documents(spark, tmp_path):
     docs = read(spark, tmp_path, documents=clashing(awkward()))
     kept = [r.text for r in near_dedup.near_dedup(docs).collect()]

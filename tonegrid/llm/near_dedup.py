@@ -97,7 +97,10 @@ def bucket_pairs(nodes: list[int], roots: list[int], fps: np.ndarray, sigs: np.n
 
     Of a node's doubtful partners only those from place ``first`` to ``last``, the most like first, are
     asked for; a later pass asks for the others, and for those alone that are in other components then.
+    Ties are broken by node, so that places are the same in every pass, whatever order members come in.
     """
+    order = np.argsort(np.array(nodes, np.int64), kind="stable")
+    nodes, roots, fps, sigs = [nodes[i] for i in order], [roots[i] for i in order], fps[order], sigs[order]
     near = np.array([alike(fps, sigs, fps[i], sigs[i]) for i in range(len(nodes))])
     np.fill_diagonal(near, 0)
     label, out = np.array(roots), []
