@@ -362,6 +362,28 @@ def test_passages_on_both_sides_of_a_gap_are_found(spark, tmp_path):
     assert all(r.edits <= 0.2 * (r.end - r.start) and r.start == r.other_start and r.end == r.other_end for _, r in got)
 
 
+def test_every_repeated_run_in_mosaics_of_frequent_phrases_is_found(spark, tmp_path):
+    rng = np.random.default_rng(21)
+    phrases = [[f"{w}{i}.{j}" for j, w in enumerate(prose(i, 15).split())] for i in range(12)]
+    filler = lambda i, n: [f"{w}f{i}.{j}" for j, w in enumerate(prose(i, n).split())]
+    texts, at = [], 0
+    for d in range(60):
+        words = filler(1000 + d, 20)
+        for _ in range(6):
+            at = int(rng.integers(0, 12)) if d % 3 else (at + 1) % 12  # loose phrases, or some in the same order
+            words = words + phrases[at] + ([] if d % 3 == 0 else filler(int(rng.integers(1e9)), 9))
+        texts.append(" ".join(words))
+    held = {}
+    for d, text in enumerate(texts):
+        w = text.split()
+        for i in range(len(w) - 49):
+            held.setdefault(tuple(w[i : i + 50]), set()).add((d, i))
+    planted = {p for places in held.values() if len({d for d, _ in places}) > 1 for p in places}
+    got = substring_dedup.shared_passages(read(spark, tmp_path, documents=documents(texts))).collect()
+    spans = [(r.doc_id, r.start, r.end) for r in got] + [(r.other_id, r.other_start, r.other_end) for r in got]
+    assert len(planted) > 100
+    assert not [p for p in planted if not any(d == p[0] and s <= p[1] and p[1] + 50 <= e for d, s, e in spans)]
+
 def test_a_short_chain_hides_no_passage():
     dense = [(i, 1000 + i) for i in range(0, 16, 2)]
     sparse = [(100 + i, 300 + i) for i in (0, 12, 24, 31)]
