@@ -87,8 +87,8 @@ def test_simhash_of_no_documents(spark, tmp_path):
 # near-dedup of the pipeline
 
 
-@pytest.mark.parametrize("small_bucket", [256, 8])
-def test_near_dedup_keeps_one_of_each_group(spark, tmp_path, small_bucket):
+@pytest.mark.parametrize("block", [256, 8])
+def test_near_dedup_keeps_one_of_each_group(spark, tmp_path, block):
     rng = np.random.default_rng(3)
     texts = []
     for i in range(12):
@@ -101,7 +101,7 @@ def test_near_dedup_keeps_one_of_each_group(spark, tmp_path, small_bucket):
     docs = read(spark, tmp_path, documents=clashing(documents(texts)))
     sets = [set(shingles(t, 5)) for t in texts]
     edges = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    kept = near_dedup.near_dedup(docs, small_bucket=small_bucket)
+    kept = near_dedup.near_dedup(docs, block=block)
     assert kept.columns == docs.columns
     assert len(set(components(len(texts), edges))) == 12 == kept.count()
 
@@ -117,23 +117,66 @@ def test_near_dedup_links_a_text_with_its_lines_repeated(spark, tmp_path):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 40, 2))
 
 
-def test_passes_ask_for_all_doubtful_pairs_in_any_order_of_members():
+def loose_family(n, seed):
+    """Texts of one family, at similarities of about 0.4 to 0.9 to each other."""
+    rng = np.random.default_rng(seed)
+    base, texts = [f"{w}{j}" for j, w in enumerate(prose(seed, 150).split())], []
+    for _ in range(n):
+        copy = list(base)
+        for at in rng.choice(150, rng.integers(1, 9), replace=False):
+            copy[at] = f"{rng.choice(WORDS)}x{rng.integers(3)}"
+        texts.append(" ".join(copy))
+    return texts
+
+
+def like_pairs(texts, similarity=0.8):
+    sets = [set(shingles(t, 5)) for t in texts]
+    return [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+
+
+def sketched(spark, folder, texts):
+    docs = read(spark, folder, documents=documents(texts)).select("doc_id", "text", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    rows = docs.mapInArrow(near_dedup._sketch(5), "doc_id long, a long, b long, node long, fp long, keys array<long>, size long, shingles binary")
+    return rows.toPandas().sort_values("doc_id")
+
+
+@pytest.mark.parametrize("block", [10_000, 64])
+def test_all_links_of_a_large_bucket_are_found_whatever_the_block(spark, tmp_path, block):
+    texts = loose_family(1000, 31)
+    rows = sketched(spark, tmp_path, texts)
+    nodes = rows.drop_duplicates("node").assign(keys=[[7]] * rows["node"].nunique())
+    links = like_pairs(texts)
+    assert len(set(components(1000, links))) > 100  # many groups, and one large one
+    roots = near_dedup.like_components(spark.createDataFrame(nodes[["node", "fp", "keys", "size", "shingles"]]), block=block).toPandas()
+    root = dict(zip(roots["node"], roots["root"], strict=True))
+    got = [root.get(n, n) for n in rows["node"]]
+    expected = components(1000, links)
+    assert len(set(zip(got, expected, strict=True))) == len(set(got)) == len(set(expected))
+
+
+def test_near_dedup_of_a_loose_family_finds_its_links(spark, tmp_path):
+    texts = loose_family(600, 32) + loose_family(300, 33)
+    expected = components(900, like_pairs(texts))
+    docs = read(spark, tmp_path, documents=documents(texts))
+    kept = [{r.doc_id for r in near_dedup.near_dedup(docs, block=block).collect()} for block in (256, 32)]
+    assert kept[0] == kept[1]
+    assert set(expected) <= kept[0] and len(kept[0] - set(expected)) <= 0.02 * len(set(expected))
+
+
+def test_units_that_arrive_in_pieces_are_compared_whole():
     rng = np.random.default_rng(17)
-    n, size = 24, near_dedup.BANDS * near_dedup.ROWS
-    base = rng.integers(0, 256, size)
-    sigs = np.array([base] * n, np.uint8)
-    for i in range(n):
-        at = rng.choice(size, 10, replace=False)
-        sigs[i, at] += np.uint8(i + 1)
-    nodes = [int(v) for v in rng.integers(-(2**62), 2**62, n)]
-    asked = set()
-    for first, last in near_dedup.PASSES:
-        order = rng.permutation(n)
-        ids = [nodes[i] for i in order]
-        asked |= {frozenset(p[:2]) for p in near_dedup.bucket_pairs(ids, ids, np.zeros(n, np.uint64), sigs[order], near_dedup.SIMILARITY, first, last)}
-    near = [[near_dedup.alike(np.zeros(1, np.uint64), sigs[i : i + 1], np.uint64(0), sigs[j])[0] for j in range(n)] for i in range(n)]
-    low, high = near_dedup.SIMILARITY - near_dedup.BELOW, near_dedup.SIMILARITY + near_dedup.ABOVE
-    assert asked == {frozenset((nodes[i], nodes[j])) for i in range(n) for j in range(i) if low <= near[i][j] < high}
+    rows = []
+    for unit in range(40):
+        base = rng.integers(0, 1 << 32, 60, dtype=np.uint32)
+        for n in range(int(rng.integers(1, 9))):
+            own = np.unique(np.concatenate((base[: 60 - n], rng.integers(0, 1 << 32, n, dtype=np.uint32))))
+            rows.append((unit // 4, unit % 2, unit // 2 % 2, 1000 * unit + n, 1000 * unit + n, 0, 0, own.tobytes()))
+    names = ["key", "block", "chunk", "node", "root", "rest", "fp", "shingles"]
+    whole = pa.table([pa.array(c, pa.binary() if n == 7 else pa.int64()) for n, c in enumerate(zip(*rows, strict=True))], names=names)
+    run = near_dedup._links(0.8)
+    links = [sorted(p for b in run(iter(whole.to_batches(max_chunksize=size))) for p in zip(*b.to_pydict().values(), strict=True)) for size in (1000, 7, 1)]
+    assert links[0] == links[1] == links[2]
+    assert len(links[0]) == len(rows) - 40 or len(links[0]) > 100
 
 
 def test_near_dedup_of_awkward_and_no_documents(spark, tmp_path):

@@ -4,15 +4,17 @@ At a similarity of 0.8 two fingerprints of 64 bits differ in some ten bits, beyo
 equal bits can find without near all pairs. So here the buckets come from minimum hashes of the same
 shingle hashes (``BANDS`` keys of ``ROWS`` minima; a pair at 0.8 shares one with probability 0.997),
 and the fingerprints do what they can at any radius: candidates are discarded by their pivot distance
-tables, then by Hamming distance. Survivors are estimated on a signature of all minima: a pair
-far enough above the similarity is sure, one far enough below is out, and all between are verified on
-the shingles themselves.
-
-Documents with one signature are one node. Buckets of at most ``SMALL_BUCKET`` nodes are compared in
-full by one task. In a larger one every node is compared with the bucket's leader; those alike leave
-the bucket with their link, and the rest is dealt out again by the band and each later one together.
-Very like copies go with their leader and less like ones part by the bands, so a few such levels
-leave small buckets only, at a number of rows that grows with the nodes, not with their pairs.
+tables, then by Hamming distance. All survivors are verified on the shingles themselves, in the task
+that holds them, so that only links leave it: at most one fewer than the members of a unit of work,
+as pairs that are connected already are not looked at again.
+
+Documents with one set of shingles are one node, and buckets with the same members are one bucket.
+Every pair of nodes that share a bucket is compared, whatever its size, unless both are connected
+already. A bucket is dealt into blocks of about ``BLOCK`` nodes. Round one compares within blocks, and
+a few leaders with all blocks, so that the large component of a bucket of like copies is one before
+round two. Round two compares the nodes outside the bucket's largest component with all its blocks.
+For n nodes of which r are outside that ships n * r / BLOCK rows: in proportion to n while the copies
+hang together, and exact where they don't.
 
 Defined results: as for the fingerprints of :mod:`tonegrid.llm.simhash`, but of distinct shingles; texts without words are one
 group; the smallest doc_id of a group stays (null ones last), and of identical rows one.
@@ -21,7 +23,6 @@ group; the smallest doc_id of a group stays (null ones last), and of identical r
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 6
 #: Fingerprints of pairs at the similarity differ in no more bits than this, but for one in many thousands.
 MAX_BITS = 22
-SMALL_BUCKET = 128
-#: An estimate from 120 minima has a standard error of 0.037 at the similarity: so far below it a pair is out, so far above it sure.
-BELOW, ABOVE = 0.11, 0.14
-#: Places among a node's doubtful partners in a bucket that each pass verifies; the last takes all that are left.
-PASSES = ((0, 2), (2, 10), (10, None))
+#: Nodes, and shingles of all nodes, that a block of a bucket holds on average, at most.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Nodes of a bucket that round one compares with all its blocks, about.
+LEADERS = 16
 
 _ODD = np.array([(p | 1) & (1 << 64) - 1 for p in pivots(BANDS * ROWS)], np.uint64)
 _PIVOTS = np.array([p & (1 << 64) - 1 for p in pivots()], np.uint64)
@@ -48,14 +48,11 @@ _PIVOTS = np.array([p & (1 << 64) - 1 for p in pivots()], np.uint64)
 
 def minima(hashes: np.ndarray) -> np.ndarray:
     """The least of each of ``BANDS * ROWS`` permutations of the hashes."""
-    if not len(hashes):
-        return np.zeros(len(_ODD), np.uint64)
-    out = np.full(len(_ODD), ~np.uint64(0))
-    for i in range(0, len(hashes), 1 << 14):
-        part = hashes[i : i + (1 << 14)]
+    out = np.full(len(_ODD), ~np.uint64(0) if len(hashes) else np.uint64(0))
+    for i in range(0, len(hashes), 1 << 11):
+        part = hashes[i : i + (1 << 11)]
         part = part ^ part >> np.uint64(31)
-        for j, odd in enumerate(_ODD):
-            out[j] = min(out[j], (part * odd).min())
+        np.minimum(out, (_ODD[:, None] * part).min(1), out=out)
     return out
 
 
@@ -64,174 +61,136 @@ def _sketch(shingle: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, signatures, keys = [], [], []
+            nodes, prints, keys, sizes, sets = [], [], [], [], []
             for text in batch["text"]:
-                hashes = shingle_hashes(text.as_buffer().to_pybytes(), shingle)
-                low = minima(hashes)
                 # of each shingle once, as the similarity is one of sets: repeated lines don't move it
-                prints.append(majority(np.unique(hashes)))
-                # the top byte of a minimum is nearly always zero, so the bytes come from a mix of it
-                signatures.append((low * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).tobytes())
+                hashes = np.unique(shingle_hashes(text.as_buffer().to_pybytes(), shingle))
+                low = minima(hashes)
+                nodes.append(xxh64_intdigest(hashes.tobytes()) - (1 << 63))
+                prints.append(majority(hashes))
                 keys.append([xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b) - (1 << 63) for b in range(BANDS)])
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["a"], batch["b"], pa.array(prints, pa.int64()), pa.array(signatures, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "a", "b", "fp", "sig", "keys"],
-            )
+                sizes.append(len(hashes))
+                sets.append(np.unique(hashes.astype(np.uint32)).tobytes())
+            columns = (pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["a"], batch["b"], *columns], ["doc_id", "a", "b", "node", "fp", "keys", "size", "shingles"])
 
     return run
 
 
-def alike(fps: np.ndarray, sigs: np.ndarray, fp: np.ndarray, sig: np.ndarray) -> np.ndarray:
-    """Estimated similarities of nodes to one node, or row by row: by pivot tables, then Hamming distance, then signatures; 0 if discarded."""
-    fp, sig = np.broadcast_to(fp, fps.shape), np.broadcast_to(sig, sigs.shape)
-    tables = (np.bitwise_count(x[:, None] ^ _PIVOTS).astype(np.int16) for x in (fps, fp))
-    left = np.flatnonzero(np.abs(next(tables) - next(tables)).max(1) <= MAX_BITS) if len(fps) else np.empty(0, np.int64)
-    left = left[np.bitwise_count(fps[left] ^ fp[left]) <= MAX_BITS]
-    out = np.zeros(len(fps))
-    out[left] = ((sigs[left] == sig[left]).mean(1) - 1 / 256) / (1 - 1 / 256)
-    return out
-
-
-def bucket_pairs(nodes: list[int], roots: list[int], fps: np.ndarray, sigs: np.ndarray, similarity: float, first: int, last: int | None) -> list[tuple[int, int, float]]:
-    """(u, v, estimate) of one bucket: its sure pairs, as trees, and doubtful pairs between components.
+def unit_links(nodes: np.ndarray, roots: np.ndarray, rest: np.ndarray, fps: np.ndarray, sets: list[bytes], similarity: float) -> list[tuple[int, int]]:
+    """Links (u, v) of a unit of work that connect all its like nodes which ``roots`` don't connect yet.
 
-    Of a node's doubtful partners only those from place ``first`` to ``last``, the most like first, are
-    asked for; a later pass asks for the others, and for those alone that are in other components then.
-    Ties are broken by node, so that places are the same in every pass, whatever order members come in.
+    Where ``rest`` is 0 all are compared, else the 1s with the 2s. Pairs go by pivot tables, Hamming
+    distance and sizes, and what is left by the shingles that they share.
     """
-    order = np.argsort(np.array(nodes, np.int64), kind="stable")
-    nodes, roots, fps, sigs = [nodes[i] for i in order], [roots[i] for i in order], fps[order], sigs[order]
-    near = np.array([alike(fps, sigs, fps[i], sigs[i]) for i in range(len(nodes))])
-    np.fill_diagonal(near, 0)
-    label, out = np.array(roots), []
+    order = np.lexsort((rest, nodes))
+    nodes, rest, fps = nodes[order], rest[order], fps[order]
+    parts = [np.frombuffer(sets[i], np.uint32) for i in order]
+    sizes = np.array([len(p) for p in parts])
+    ends = np.cumsum(sizes)
+    codes = np.unique(np.concatenate(parts), return_inverse=True)[1]
+    label = np.unique(roots[order], return_inverse=True)[1]
+    tables = np.bitwise_count(fps[:, None] ^ _PIVOTS).astype(np.int16)
+    mark, out = np.zeros(codes.max(initial=0) + 1, bool), []
     for i in range(len(nodes)):
-        for j in np.flatnonzero(near[i] >= similarity + ABOVE):
+        other = np.flatnonzero(label != label[i])
+        other = other[rest[other] == 2] if rest[i] == 1 else other[(other > i) & (rest[i] == 0)]
+        other = other[(np.minimum(sizes[other], sizes[i]) >= similarity * np.maximum(sizes[other], sizes[i]) - 1e-9) & (sizes[other] > 0)]
+        other = other[np.abs(tables[other] - tables[i]).max(1, initial=0) <= MAX_BITS]
+        other = other[np.bitwise_count(fps[other] ^ fps[i]) <= MAX_BITS]
+        if not len(other):
+            continue
+        mark[codes[ends[i] - sizes[i] : ends[i]]] = True
+        took = np.concatenate([codes[ends[j] - sizes[j] : ends[j]] for j in other])
+        same = np.add.reduceat(mark[took], np.cumsum(sizes[other]) - sizes[other], dtype=np.int64)
+        mark[codes[ends[i] - sizes[i] : ends[i]]] = False
+        for j in other[same >= similarity * (sizes[other] + sizes[i] - same) - 1e-9]:
             if label[j] != label[i]:
-                out.append((nodes[i], nodes[j], float(near[i, j])))
+                out.append((int(nodes[i]), int(nodes[j])))
                 label[label == label[j]] = label[i]
-    for i in range(len(nodes)):
-        doubtful = np.flatnonzero((near[i] >= similarity - BELOW) & (near[i] < similarity + ABOVE))
-        asked = doubtful[np.argsort(-near[i, doubtful], kind="stable")][first:last]
-        out.extend((nodes[i], nodes[j], float(near[i, j])) for j in asked if label[j] != label[i])
     return out
 
 
-def _members(values: list, column: str) -> np.ndarray:
-    if column == "sig":
-        return np.frombuffer(b"".join(values), np.uint8).reshape(-1, BANDS * ROWS)
-    return np.array(values, np.int64).view(np.uint64)
-
+def _links(similarity: float):
+    """Links of the units (key, block, chunk), whose rows come one after another."""
 
-def _pairs_of_buckets(similarity: float, first: int, last: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = []
-            for members in batch["members"].to_pylist():
-                columns = ([m[c] for m in members] for c in ("node", "root", "fp", "sig"))
-                nodes, roots, fps, sigs = columns
-                pairs += bucket_pairs(nodes, roots, _members(fps, "fp"), _members(sigs, "sig"), similarity, first, last)
-            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in pairs], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["u", "v", "near"])
+        held: list[pa.RecordBatch] = []
+        at = None
 
-    return run
+        def flush() -> list[tuple[int, int]]:
+            unit = pa.Table.from_batches(held)
+            columns = [unit[c].to_numpy() for c in ("node", "root", "rest", "fp")]
+            held.clear()
+            return unit_links(*columns[:3], columns[3].view(np.uint64), unit["shingles"].to_pylist(), similarity) if unit.num_rows > 1 else []
 
+        def given(links: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["u", "v"])
 
-def _near_leader(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = alike(*(_members(batch[c].to_pylist(), c.removeprefix("lead_")) for c in ("fp", "sig", "lead_fp", "lead_sig")))
-            yield pa.RecordBatch.from_arrays([batch["key"], batch["node"], batch["lead"], pa.array(near)], ["key", "node", "lead", "near"])
+            unit = np.stack([batch[c].to_numpy() for c in ("key", "block", "chunk")])
+            cuts = [0, *(np.flatnonzero((unit[:, 1:] != unit[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            links = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a < b:
+                    if held and at != tuple(unit[:, a]):
+                        links += flush()
+                    at = tuple(unit[:, a])
+                    held.append(batch.slice(a, b - a))
+            yield given(links)
+        if held:
+            yield given(flush())
 
     return run
 
 
-def buckets(nodes: DataFrame, similarity: float = SIMILARITY, small_bucket: int = SMALL_BUCKET) -> tuple[DataFrame, DataFrame]:
-    """(key, node) of small buckets of nodes (node, fp, sig, keys), and (u, v, near) of those that left large ones with a leader."""
-    sketches = nodes.select("node", "fp", "sig")
-
-    def shared(keyed: DataFrame) -> DataFrame:
-        return written(keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"))
-
-    left, small, led = shared(nodes.select("node", F.posexplode("keys").alias("band", "key"))), [], []
-    while True:
-        small.append(left.where(F.col("n") <= small_bucket).select("key", "node"))
-        large = left.where(F.col("n") > small_bucket)
-        if not large.limit(1).count():
-            break
-        leaders = large.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node")).alias("lead"))
-        lead = leaders.join(sketches.select(F.col("node").alias("lead"), F.col("fp").alias("lead_fp"), F.col("sig").alias("lead_sig")), "lead")
-        pairs = large.select("key", "node").join(lead, "key").where("node <> lead").join(sketches, "node")
-        judged = written(pairs.select("key", "node", "lead", "fp", "sig", "lead_fp", "lead_sig").mapInArrow(_near_leader(similarity), "key long, node long, lead long, near double"))
-        near = judged.where(F.col("near") >= similarity - BELOW)
-        led.append(near.select(F.col("lead").alias("u"), F.col("node").alias("v"), "near"))
-        rest = large.join(judged.where(F.col("near") < similarity).select("key", "node"), ["key", "node"]).select("key", "node", "band")
-        later = F.filter(F.transform("keys", lambda k, b: F.struct(b.alias("band"), k.alias("k"))), lambda s: s["band"] > F.col("last"))
-        again = rest.select(F.col("key").alias("before"), "node", F.col("band").alias("last")).join(nodes.select("node", "keys"), "node")
-        again = again.select("before", "node", F.inline(later)).select("node", "band", F.xxhash64("before", "k").alias("key"))
-        left = shared(again)
-    none = nodes.sparkSession.createDataFrame([], "u long, v long, near double")
-    return reduce(DataFrame.union, small), reduce(DataFrame.union, led, none)
-
-
-def _shingle_sets(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_buffer().to_pybytes(), shingle).astype(np.uint32)).tobytes() for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.binary())], ["node", "s"])
-
-    return run
-
-
-def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for one, other in zip(batch["s"].to_pylist(), batch["s2"].to_pylist(), strict=True):
-            a, b = np.frombuffer(one, np.uint32), np.frombuffer(other, np.uint32)
-            same = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(same / (len(a) + len(b) - same))
-        yield pa.RecordBatch.from_arrays([batch["u"], batch["v"], pa.array(out)], ["u", "v", "similarity"])
-
-
-def like_components(small: DataFrame, led: DataFrame, nodes: DataFrame, rows: DataFrame, sketched: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(node, root) of the components of like nodes.
-
-    Pass by pass over the small buckets: sure pairs connect at once, and every node's most promising
-    doubtful pairs are verified on the shingles, ten times as many places in each pass. A pair within a
-    component by then is not asked for any more, and none between components is left out at the end.
-    The shingles of all nodes that share a bucket are read once, each from one of its documents.
-    """
-    asked = small.select("node").union(led.select("u")).union(led.select("v")).distinct()
-    holder = sketched.join(asked, "node").groupBy("node").agg(F.min(F.struct("doc_id", "a", "b")).alias("h"))
-    on = (F.col("h.a") == F.col("a")) & (F.col("h.b") == F.col("b")) & F.col("h.doc_id").eqNullSafe(F.col("doc_id"))
-    sets = written(rows.join(holder, on).select("node", "text").mapInArrow(_shingle_sets(shingle), "node long, s binary").groupBy("node").agg(F.first("s").alias("s")))
-    sketches, roots, extra = nodes.select("node", "fp", "sig"), None, led
-    for first, last in PASSES:
-        members = small.join(sketches, "node")
-        if roots is None:
-            members = members.withColumn("root", F.col("node"))
-        else:
-            members = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        groups = members.groupBy("key").agg(F.collect_list(F.struct("node", "root", "fp", "sig")).alias("members"))
-        found = groups.select("members").mapInArrow(_pairs_of_buckets(similarity, first, last), "u long, v long, near double").union(extra)
-        found = written(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "near").groupBy("u", "v").agg(F.max("near").alias("near")))
-        sure = F.col("near") >= similarity + ABOVE
-        both = found.where(~sure).select("u", "v").join(sets.withColumnRenamed("node", "u"), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("s2")), "v")
-        passed = both.mapInArrow(_jaccard, "u long, v long, similarity double").where(F.col("similarity") >= similarity).select("u", "v")
-        edges = found.where(sure).select("u", "v").union(passed)
-        if roots is not None:
-            edges = edges.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        roots, extra = components(edges), found.where("false")
-    return roots
-
-
-def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", small_bucket: int = SMALL_BUCKET) -> DataFrame:
+def compared(units: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links found in ``units`` (key, block, chunk, node, root, rest); each unit's rows meet in one task, sorted, and stream through it."""
+    rows = units.join(nodes.select("node", "fp", "shingles"), "node").select("key", "block", "chunk", "node", "root", "rest", "fp", "shingles")
+    rows = rows.repartition("key", "block", "chunk").sortWithinPartitions("key", "block", "chunk")
+    return written(rows.mapInArrow(_links(similarity), "u long, v long"))
+
+
+def blocks_of(nodes: DataFrame, block: int) -> DataFrame:
+    """(key, node, size, n, blocks, block) for the nodes (node, keys, size) of all buckets of two or more, buckets with equal members once."""
+    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
+    members = [F.bit_xor(F.xxhash64(F.lit(salt), "node")).alias(name) for salt, name in ((1, "x1"), (2, "x2"))]
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"), *members).where("n > 1")
+    once = counts.groupBy("n", "x1", "x2").agg(F.min("key").alias("key"), F.first("weight").alias("weight"))
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("weight") / BLOCK_SHINGLES))
+    dealt = keyed.join(once.select("key", "n", blocks.alias("blocks")), "key")
+    return written(dealt.withColumn("block", F.pmod(F.xxhash64("key", "node"), F.col("blocks"))))
+
+
+def like_components(nodes: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(node, root) of the components of like ``nodes`` (node, fp, keys, size, shingles)."""
+    dealt = blocks_of(nodes, block)
+    leads = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit("lead"), "key", "node"), F.greatest(F.floor(F.col("n") / LEADERS), F.lit(1))) == 0)
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    first = dealt.select("key", F.explode(F.when(leads, every).otherwise(F.array("block"))).alias("block"), F.lit(0).cast("long").alias("chunk"), "node", F.col("node").alias("root"), F.lit(0).alias("rest"))
+    roots = components(compared(first, nodes, similarity))
+    large = dealt.where("blocks > 1")
+    if not large.limit(1).count():
+        return roots
+    placed = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    counts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"))
+    main = counts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("weight").alias("weight"), F.max_by("weight", F.struct("n", "root")).alias("heavy"))
+    chunks = F.ceil(F.greatest((F.col("n") - F.col("most")) / block, (F.col("weight") - F.col("heavy")) / BLOCK_SHINGLES))
+    placed = placed.select("key", "node", "root", "blocks", "block").join(main.select("key", "main", chunks.alias("chunks")).where("chunks > 0"), "key")
+    whole = placed.select("key", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "node", "root", F.lit(2).alias("rest"))
+    rest = placed.where("root <> main").withColumn("chunk", F.pmod(F.xxhash64(F.lit("rest"), "key", "node"), F.col("chunks")))
+    rest = rest.select("key", F.explode(every).alias("block"), "chunk", "node", "root", F.lit(1).alias("rest"))
+    more = compared(whole.unionByName(rest), nodes, similarity)
+    return components(more.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+
+
+def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """``docs`` with all columns, one row of each group of like texts."""
     kind, text = docs.schema[id_col].dataType.simpleString(), text_of(text_col)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), content_key(text).alias("k")).select("doc_id", "text", "k.a", "k.b")
-    sketched = rows.mapInArrow(_sketch(shingle), f"doc_id {kind}, a long, b long, fp long, sig binary, keys array<long>")
-    sketched = written(sketched.withColumn("node", F.xxhash64("fp", "sig", "keys")))
-    nodes = written(sketched.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
-    small, led = buckets(nodes, similarity, small_bucket)
-    roots = like_components(small, led, nodes, rows, sketched, shingle, similarity).withColumnRenamed("node", "of")
+    sketched = written(rows.mapInArrow(_sketch(shingle), f"doc_id {kind}, a long, b long, node long, fp long, keys array<long>, size long, shingles binary"))
+    nodes = written(sketched.dropDuplicates(["node"]).select("node", "fp", "keys", "size", "shingles"))
+    roots = like_components(nodes, similarity, block).withColumnRenamed("node", "of")
     placed = sketched.select("doc_id", F.struct("a", "b").alias("k"), "node").join(roots, F.col("node") == F.col("of"), "left")
     placed = placed.select("doc_id", "k", F.coalesce("root", "node").alias("root"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k"))
