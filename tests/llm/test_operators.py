@@ -7,7 +7,7 @@ import xxhash
 from corpus import DOCUMENTS, WORDS, awkward, clashing, components, documents, prose, rows_of, written
 from pyspark.sql import functions as F
 
-from tonegrid.llm import chat_format, decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, secret_scan, simhash, substring_dedup, url_filter
+from tonegrid.llm import blocks, chat_format, decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, secret_scan, simhash, substring_dedup, url_filter
 from tonegrid.llm.common import table
 
 
@@ -44,15 +44,15 @@ def test_exact_dedup_keeps_one_row_of_each_group_with_all_columns(spark, tmp_pat
 # SimHash
 
 
-@pytest.mark.parametrize("small_bucket", [64, 1])
-def test_simhash_links_all_within_four_bits(spark, tmp_path, small_bucket):
+@pytest.mark.parametrize("block", [256, 8, 1])
+def test_simhash_links_all_within_four_bits(spark, tmp_path, block):
     rng = np.random.default_rng(5)
     values = [int(v) for v in rng.integers(-(2**63), 2**63, 60)]
     for v in values[:30]:
         for n in (1, 2, 4, 5):
             values.append(int(np.int64(v) ^ np.int64(sum(1 << int(b) for b in rng.choice(62, n, replace=False)))))
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, fp long")
-    found = {r.fp: r.component_id for r in simhash.classes(rows, small_bucket=small_bucket).collect()}
+    found = {r.fp: r.component_id for r in simhash.classes(rows, block=block).collect()}
     u = np.array(values, np.int64).view(np.uint64)
     edges = [(i, j) for i in range(len(u)) for j in range(i) if np.bitwise_count(u[i] ^ u[j]) <= 4]
     assert [found[v] for v in values] == components(len(values), edges)
@@ -69,15 +69,27 @@ def test_simhash_query_on_awkward_documents(spark, tmp_path):
     assert [got[i].component_id for i in range(len(texts))] == components(len(texts), edges)
 
 
-def test_pivot_tables_bound_the_distance(spark):
-    rng = np.random.default_rng(1)
-    pairs = [(int(a), int(b)) for a, b in rng.integers(-(2**63), 2**63, (50, 2))]
-    df = spark.createDataFrame(pairs, "a long, b long")
-    bound = simhash.pivot_bound(simhash.pivot_table(F.col("a")), simhash.pivot_table(F.col("b")))
-    for r in df.select("a", "b", bound.alias("low")).collect():
-        far = np.bitwise_count(np.uint64(r.a % 2**64) ^ np.uint64(r.b % 2**64))
-        tables = [abs(int(np.bitwise_count(np.uint64(r.a % 2**64) ^ np.uint64(p % 2**64))) - int(np.bitwise_count(np.uint64(r.b % 2**64) ^ np.uint64(p % 2**64)))) for p in simhash.pivots()]
-        assert r.low == max(tables) <= far
+@pytest.mark.parametrize("block", [256, 20])
+def test_simhash_of_one_dense_group(spark, block):
+    rng = np.random.default_rng(6)
+    values = list({int(np.int64(0x1234567890ABCDEF) ^ np.int64(sum(1 << int(b) for b in rng.choice(62, rng.integers(0, 8), replace=False)))) for _ in range(700)})
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, fp long")
+    found = {r.fp: r.component_id for r in simhash.classes(rows, block=block).collect()}
+    u = np.array(values, np.int64).view(np.uint64)
+    edges = [(i, j) for i in range(len(u)) for j in range(i) if np.bitwise_count(u[i] ^ u[j]) <= 4]
+    expected = components(len(values), edges)
+    assert len(set(expected)) > 10
+    assert [found[v] for v in values] == expected
+
+
+def test_pivot_tables_bound_the_distance():
+    fps = np.random.default_rng(1).integers(0, 1 << 64, 60, dtype=np.uint64)
+    tables = simhash.pivot_tables(fps)
+    far = np.bitwise_count(fps[:, None] ^ fps[None])
+    low = np.abs(tables[:, None] - tables[None]).max(2)
+    assert (low <= far).all() and (low > 4).any()
+    for most in (20, 28, 64):
+        assert [simhash.within(fps, tables, i, np.arange(60), most).tolist() for i in range(60)] == [np.flatnonzero(far[i] <= most).tolist() for i in range(60)]
 
 
 def test_simhash_of_no_documents(spark, tmp_path):
@@ -173,7 +185,7 @@ def test_units_that_arrive_in_pieces_are_compared_whole():
             rows.append((unit // 4, unit % 2, unit // 2 % 2, 1000 * unit + n, 1000 * unit + n, 0, 0, own.tobytes()))
     names = ["key", "block", "chunk", "node", "root", "rest", "fp", "shingles"]
     whole = pa.table([pa.array(c, pa.binary() if n == 7 else pa.int64()) for n, c in enumerate(zip(*rows, strict=True))], names=names)
-    run = near_dedup._links(0.8)
+    run = blocks.unit_links(near_dedup.like_links(0.8))
     links = [sorted(p for b in run(iter(whole.to_batches(max_chunksize=size))) for p in zip(*b.to_pydict().values(), strict=True)) for size in (1000, 7, 1)]
     assert links[0] == links[1] == links[2]
     assert len(links[0]) == len(rows) - 40 or len(links[0]) > 100

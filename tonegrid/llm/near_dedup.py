@@ -8,13 +8,8 @@ tables, then by Hamming distance. All survivors are verified on the shingles the
 that holds them, so that only links leave it: at most one fewer than the members of a unit of work,
 as pairs that are connected already are not looked at again.
 
-Documents with one set of shingles are one node, and buckets with the same members are one bucket.
-Every pair of nodes that share a bucket is compared, whatever its size, unless both are connected
-already. A bucket is dealt into blocks of about ``BLOCK`` nodes. Round one compares within blocks, and
-a few leaders with all blocks, so that the large component of a bucket of like copies is one before
-round two. Round two compares the nodes outside the bucket's largest component with all its blocks.
-For n nodes of which r are outside that ships n * r / BLOCK rows: in proportion to n while the copies
-hang together, and exact where they don't.
+Documents with one set of shingles are one node. Buckets of any size are compared in full, by blocks: see
+:mod:`tonegrid.llm.blocks`.
 
 Defined results: as for the fingerprints of :mod:`tonegrid.llm.simhash`, but of distinct shingles; texts without words are one
 group; the smallest doc_id of a group stays (null ones last), and of identical rows one.
@@ -29,21 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonegrid.llm.blocks import BLOCK, bucket_components, joined, partners
 from tonegrid.llm.common import content_key, keep_rows, text_of, written
-from tonegrid.llm.components import components
-from tonegrid.llm.simhash import majority, pivots, shingle_hashes
+from tonegrid.llm.simhash import majority, pivot_tables, pivots, shingle_hashes, within
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 6
 #: Fingerprints of pairs at the similarity differ in no more bits than this, but for one in many thousands.
 MAX_BITS = 22
-#: Nodes, and shingles of all nodes, that a block of a bucket holds on average, at most.
-BLOCK, BLOCK_SHINGLES = 256, 1 << 20
-#: Nodes of a bucket that round one compares with all its blocks, about.
-LEADERS = 16
-
 _ODD = np.array([(p | 1) & (1 << 64) - 1 for p in pivots(BANDS * ROWS)], np.uint64)
-_PIVOTS = np.array([p & (1 << 64) - 1 for p in pivots()], np.uint64)
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -77,111 +66,42 @@ def _sketch(shingle: int):
     return run
 
 
-def unit_links(nodes: np.ndarray, roots: np.ndarray, rest: np.ndarray, fps: np.ndarray, sets: list[bytes], similarity: float) -> list[tuple[int, int]]:
-    """Links (u, v) of a unit of work that connect all its like nodes which ``roots`` don't connect yet.
-
-    Where ``rest`` is 0 all are compared, else the 1s with the 2s. Pairs go by pivot tables, Hamming
-    distance and sizes, and what is left by the shingles that they share.
-    """
-    order = np.lexsort((rest, nodes))
-    nodes, rest, fps = nodes[order], rest[order], fps[order]
-    parts = [np.frombuffer(sets[i], np.uint32) for i in order]
-    sizes = np.array([len(p) for p in parts])
-    ends = np.cumsum(sizes)
-    codes = np.unique(np.concatenate(parts), return_inverse=True)[1]
-    label = np.unique(roots[order], return_inverse=True)[1]
-    tables = np.bitwise_count(fps[:, None] ^ _PIVOTS).astype(np.int16)
-    mark, out = np.zeros(codes.max(initial=0) + 1, bool), []
-    for i in range(len(nodes)):
-        other = np.flatnonzero(label != label[i])
-        other = other[rest[other] == 2] if rest[i] == 1 else other[(other > i) & (rest[i] == 0)]
-        other = other[(np.minimum(sizes[other], sizes[i]) >= similarity * np.maximum(sizes[other], sizes[i]) - 1e-9) & (sizes[other] > 0)]
-        other = other[np.abs(tables[other] - tables[i]).max(1, initial=0) <= MAX_BITS]
-        other = other[np.bitwise_count(fps[other] ^ fps[i]) <= MAX_BITS]
-        if not len(other):
-            continue
-        mark[codes[ends[i] - sizes[i] : ends[i]]] = True
-        took = np.concatenate([codes[ends[j] - sizes[j] : ends[j]] for j in other])
-        same = np.add.reduceat(mark[took], np.cumsum(sizes[other]) - sizes[other], dtype=np.int64)
-        mark[codes[ends[i] - sizes[i] : ends[i]]] = False
-        for j in other[same >= similarity * (sizes[other] + sizes[i] - same) - 1e-9]:
-            if label[j] != label[i]:
-                out.append((int(nodes[i]), int(nodes[j])))
-                label[label == label[j]] = label[i]
-    return out
-
-
-def _links(similarity: float):
-    """Links of the units (key, block, chunk), whose rows come one after another."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        at = None
-
-        def flush() -> list[tuple[int, int]]:
-            unit = pa.Table.from_batches(held)
-            columns = [unit[c].to_numpy() for c in ("node", "root", "rest", "fp")]
-            held.clear()
-            return unit_links(*columns[:3], columns[3].view(np.uint64), unit["shingles"].to_pylist(), similarity) if unit.num_rows > 1 else []
-
-        def given(links: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["u", "v"])
-
-        for batch in batches:
-            unit = np.stack([batch[c].to_numpy() for c in ("key", "block", "chunk")])
-            cuts = [0, *(np.flatnonzero((unit[:, 1:] != unit[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
-            links = []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a < b:
-                    if held and at != tuple(unit[:, a]):
-                        links += flush()
-                    at = tuple(unit[:, a])
-                    held.append(batch.slice(a, b - a))
-            yield given(links)
-        if held:
-            yield given(flush())
-
-    return run
-
-
-def compared(units: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): links found in ``units`` (key, block, chunk, node, root, rest); each unit's rows meet in one task, sorted, and stream through it."""
-    rows = units.join(nodes.select("node", "fp", "shingles"), "node").select("key", "block", "chunk", "node", "root", "rest", "fp", "shingles")
-    rows = rows.repartition("key", "block", "chunk").sortWithinPartitions("key", "block", "chunk")
-    return written(rows.mapInArrow(_links(similarity), "u long, v long"))
-
-
-def blocks_of(nodes: DataFrame, block: int) -> DataFrame:
-    """(key, node, size, n, blocks, block) for the nodes (node, keys, size) of all buckets of two or more, buckets with equal members once."""
-    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
-    members = [F.bit_xor(F.xxhash64(F.lit(salt), "node")).alias(name) for salt, name in ((1, "x1"), (2, "x2"))]
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"), *members).where("n > 1")
-    once = counts.groupBy("n", "x1", "x2").agg(F.min("key").alias("key"), F.first("weight").alias("weight"))
-    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("weight") / BLOCK_SHINGLES))
-    dealt = keyed.join(once.select("key", "n", blocks.alias("blocks")), "key")
-    return written(dealt.withColumn("block", F.pmod(F.xxhash64("key", "node"), F.col("blocks"))))
+def like_links(similarity: float):
+    """A linker of nodes (fp, shingles): pairs go by sizes, pivot tables and Hamming distance, what is left by the shingles that they share."""
+
+    def link(unit: pa.Table) -> list[tuple[int, int]]:
+        nodes, rest, roots, fps = (unit[c].to_numpy() for c in ("node", "rest", "root", "fp"))
+        order = np.lexsort((rest, nodes))
+        nodes, rest, fps = nodes[order], rest[order], fps[order].view(np.uint64)
+        sets = unit["shingles"].to_pylist()
+        parts = [np.frombuffer(sets[i], np.uint32) for i in order]
+        sizes = np.array([len(p) for p in parts])
+        ends = np.cumsum(sizes)
+        codes = np.unique(np.concatenate(parts), return_inverse=True)[1]
+        label = np.unique(roots[order], return_inverse=True)[1]
+        tables = pivot_tables(fps)
+        mark, out = np.zeros(codes.max(initial=0) + 1, bool), []
+        for i in range(len(nodes)):
+            other = partners(i, label, rest)
+            other = other[(np.minimum(sizes[other], sizes[i]) >= similarity * np.maximum(sizes[other], sizes[i]) - 1e-9) & (sizes[other] > 0)]
+            other = within(fps, tables, i, other, MAX_BITS)
+            if not len(other):
+                continue
+            own = codes[ends[i] - sizes[i] : ends[i]]
+            mark[own] = True
+            took = np.concatenate([codes[ends[j] - sizes[j] : ends[j]] for j in other])
+            same = np.add.reduceat(mark[took], np.cumsum(sizes[other]) - sizes[other], dtype=np.int64)
+            mark[own] = False
+            out += joined(i, other[same >= similarity * (sizes[other] + sizes[i] - same) - 1e-9], nodes, label)
+        return out
+
+    return link
 
 
 def like_components(nodes: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(node, root) of the components of like ``nodes`` (node, fp, keys, size, shingles)."""
-    dealt = blocks_of(nodes, block)
-    leads = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit("lead"), "key", "node"), F.greatest(F.floor(F.col("n") / LEADERS), F.lit(1))) == 0)
-    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    first = dealt.select("key", F.explode(F.when(leads, every).otherwise(F.array("block"))).alias("block"), F.lit(0).cast("long").alias("chunk"), "node", F.col("node").alias("root"), F.lit(0).alias("rest"))
-    roots = components(compared(first, nodes, similarity))
-    large = dealt.where("blocks > 1")
-    if not large.limit(1).count():
-        return roots
-    placed = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    counts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"))
-    main = counts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("weight").alias("weight"), F.max_by("weight", F.struct("n", "root")).alias("heavy"))
-    chunks = F.ceil(F.greatest((F.col("n") - F.col("most")) / block, (F.col("weight") - F.col("heavy")) / BLOCK_SHINGLES))
-    placed = placed.select("key", "node", "root", "blocks", "block").join(main.select("key", "main", chunks.alias("chunks")).where("chunks > 0"), "key")
-    whole = placed.select("key", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "node", "root", F.lit(2).alias("rest"))
-    rest = placed.where("root <> main").withColumn("chunk", F.pmod(F.xxhash64(F.lit("rest"), "key", "node"), F.col("chunks")))
-    rest = rest.select("key", F.explode(every).alias("block"), "chunk", "node", "root", F.lit(1).alias("rest"))
-    more = compared(whole.unionByName(rest), nodes, similarity)
-    return components(more.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    keyed = nodes.select(F.explode("keys").alias("key"), "node", F.col("size").alias("weight"))
+    return bucket_components(keyed, nodes.select("node", "fp", "shingles"), like_links(similarity), block)
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:

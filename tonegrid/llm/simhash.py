@@ -9,14 +9,11 @@ Links at ``max_bits`` or fewer differing bits, without all pairs and without los
 1. The 64 bits are cut into blocks; two fingerprints within ``max_bits`` agree on at least
    ``blocks - max_bits`` whole blocks. Every choice of that many blocks is a bucket key. The number
    of blocks follows the number of fingerprints, so that an ordinary bucket stays small.
-2. In buckets of at most ``SMALL_BUCKET`` members, pairs are discarded by their pivot tables: the
-   distances to ``PIVOTS`` reference fingerprints are computed once per fingerprint, and by the
-   triangle inequality the largest difference of two tables is a lower bound of the pair's distance.
-   Survivors are verified on the fingerprints themselves.
-3. Members of larger buckets (dense groups of near copies) are linked through midpoints: two
-   fingerprints are within 2 * r bits if and only if some value lies within r bits of both. Each
-   member names all values within r bits; all that name one value are linked to the smallest of
-   them. That grows with the members, not with their pairs.
+2. In a bucket, pairs are discarded by their pivot tables: the distances to ``PIVOTS`` reference
+   fingerprints are computed once per fingerprint, and by the triangle inequality the largest
+   difference of two tables is a lower bound of the pair's distance. Survivors are verified on the
+   fingerprints themselves. Dense buckets (groups of near copies) are compared by blocks, and only
+   links leave a task: see :mod:`tonegrid.llm.blocks`.
 
 Defined results: null, empty and all-blank texts have fingerprint zero; fewer words than a shingle
 are one shingle; null doc_ids keep their row and never name a component unless all of it are null;
@@ -29,21 +26,20 @@ from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonegrid.llm.blocks import BLOCK, bucket_components, joined, partners
 from tonegrid.llm.common import content_key, table, text_of, written
-from tonegrid.llm.components import components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 PIVOTS = 16
-SMALL_BUCKET = 64
 
 
-def shingle_hashes(text: bytes, shingle: int):
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     """XXH64 of the shingles of a text, as a uint64 array; ASCII rules (case, white space) are those of bytes."""
-    import numpy as np
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
@@ -57,10 +53,8 @@ def shingle_hashes(text: bytes, shingle: int):
     return np.fromiter([xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)], "<u8", len(starts))
 
 
-def majority(hashes) -> int:
+def majority(hashes: np.ndarray) -> int:
     """The fingerprint of shingle hashes, as a signed 64-bit integer. Bits are counted in pieces, so memory stays bounded."""
-    import numpy as np
-
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 15):
         bits = np.unpackbits(hashes[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -104,19 +98,15 @@ def pivots(n: int = PIVOTS) -> list[int]:
     return out
 
 
-def pivot_table(fp: Column) -> Column:
-    """Distances to all pivots, eight to a long."""
-    near = [F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("long") for p in pivots()]
-    packed = [reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(d, 8 * i) for i, d in enumerate(near[j : j + 8])]) for j in range(0, len(near), 8)]
-    return F.struct(*[p.alias(f"p{j}") for j, p in enumerate(packed)])
-
+def pivot_tables(fps: np.ndarray) -> np.ndarray:
+    """Distances of all fingerprints (unsigned) to all pivots, a row each."""
+    return np.bitwise_count(fps[:, None] ^ np.array([p & (1 << 64) - 1 for p in pivots()], np.uint64)).astype(np.int16)
 
-def pivot_bound(a: Column, b: Column) -> Column:
-    """The largest difference of two pivot tables: a lower bound of the Hamming distance."""
-    def at(t: Column, i: int) -> Column:
-        return F.shiftrightunsigned(t[f"p{i // 8}"], 8 * (i % 8)).bitwiseAND(F.lit(255))
 
-    return F.greatest(*[F.abs(at(a, i) - at(b, i)) for i in range(PIVOTS)])
+def within(fps: np.ndarray, tables: np.ndarray, i: int, other: np.ndarray, max_bits: int) -> np.ndarray:
+    """Which of ``other`` differ from ``i`` in ``max_bits`` or fewer bits: by the largest difference of tables, then on the fingerprints."""
+    other = other[np.abs(tables[other] - tables[i]).max(1, initial=0) <= max_bits]
+    return other[np.bitwise_count(fps[other] ^ fps[i]) <= max_bits]
 
 
 def block_count(distinct: int, max_bits: int) -> int:
@@ -137,57 +127,28 @@ def bucket_keys(fp: Column, blocks: int, max_bits: int) -> Column:
     return F.array(*keys)
 
 
-def near_pairs(nodes: DataFrame, max_bits: int = MAX_BITS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints ``nodes`` (fp) that connect all within ``max_bits`` of each other."""
-    blocks = block_count(nodes.count(), max_bits)
-    tabled = nodes.select("fp", pivot_table(F.col("fp")).alias("pt"))
-    keyed = tabled.select("fp", "pt", F.explode(bucket_keys(F.col("fp"), blocks, max_bits)).alias("key"))
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = written(keyed.join(counts, "key"))
-    small = shared.where(F.col("n") <= small_bucket)
-    a = small.select("key", F.col("fp").alias("u"), F.col("pt").alias("pu"))
-    b = small.select("key", F.col("fp").alias("v"), F.col("pt").alias("pv"))
-    pairs = (
-        a.join(b, "key").where("u < v")
-        .where(pivot_bound(F.col("pu"), F.col("pv")) <= max_bits)
-        .where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)
-        .select("u", "v")
-    )
-    dense = shared.where(F.col("n") > small_bucket).select("fp").distinct()
-    return pairs.union(midpoint_edges(dense, max_bits))
-
-
-def midpoint_edges(nodes: DataFrame, max_bits: int) -> DataFrame:
-    """Edges that connect the fingerprints of ``nodes`` within ``max_bits``, through shared values halfway.
-
-    For an odd ``max_bits`` the radii differ by one: a value within the smaller of one and the larger of the other.
-    """
-    r, more = max_bits // 2, max_bits - max_bits // 2
-
-    def flips(n: int) -> list[int]:
-        return [_signed(sum(1 << i for i in c)) for k in range(n + 1) for c in combinations(range(64), k)]
-
-    def around(n: int) -> DataFrame:
-        return nodes.select("fp", F.explode(F.transform(F.lit(flips(n)), lambda m: F.col("fp").bitwiseXOR(m))).alias("mid"))
-
-    if r == more:
-        # at most 2,081 values lie within two bits of one, so each set is bounded
-        met = around(r).groupBy("mid").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-        return met.select(F.explode("fps").alias("u"), F.array_min("fps").alias("v")).where("u <> v").distinct()
-    left = around(r).groupBy("mid").agg(F.min("fp").alias("u"), F.collect_set("fp").alias("us"))
-    right = around(more).groupBy("mid").agg(F.collect_set("fp").alias("vs"))
-    met = left.join(right, "mid")
-    return met.select(F.explode(F.array_union("us", "vs")).alias("v"), "u").where("u <> v").select("u", "v").distinct()
+def bit_links(max_bits: int):
+    """A linker of nodes that are fingerprints."""
 
+    def link(unit: pa.Table) -> list[tuple[int, int]]:
+        nodes, rest, roots = (unit[c].to_numpy() for c in ("node", "rest", "root"))
+        order = np.lexsort((rest, nodes))
+        nodes, rest, label = nodes[order], rest[order], np.unique(roots[order], return_inverse=True)[1]
+        fps = nodes.view(np.uint64)
+        tables, out = pivot_tables(fps), []
+        for i in range(len(nodes)):
+            out += joined(i, within(fps, tables, i, partners(i, label, rest), max_bits), nodes, label)
+        return out
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+    return link
 
 
-def classes(rows: DataFrame, max_bits: int = MAX_BITS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
+def classes(rows: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """(fp, component_id) for every distinct fingerprint of ``rows``; the smallest doc_id names a component."""
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(near_pairs(nodes.select("fp"), max_bits, small_bucket))
+    keys = bucket_keys(F.col("fp"), block_count(nodes.count(), max_bits), max_bits)
+    keyed = nodes.select(F.explode(keys).alias("k"), F.col("fp").alias("node")).select(F.xxhash64("k.choice", "k.bits").alias("key"), "node", F.lit(0).alias("weight"))
+    roots = bucket_components(keyed, None, bit_links(max_bits), block)
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return placed.join(named, "root").select("fp", "component_id")
