@@ -84,7 +84,7 @@ def joined(i: int, near: np.ndarray, nodes: np.ndarray, label: np.ndarray) -> li
 
 def _compared(units: DataFrame, payload: DataFrame | None, linker: Linker) -> DataFrame:
     unit = ("key", "block", "chunk")
-    rows = units if payload is None else units.join(payload, "node")
+    rows = units if payload is None else units.join(payload.hint("merge"), "node")
     rows = rows.select(*unit, "node", "root", "rest", *[c for c in rows.columns if c not in (*unit, "node", "root", "rest")])
     rows = rows.repartition(*unit).sortWithinPartitions(*unit)
     return written(rows.mapInArrow(unit_links(linker), "u long, v long"))
@@ -99,13 +99,15 @@ def _dealt(keyed: DataFrame, block: int) -> DataFrame:
     return written(dealt.withColumn("block", F.pmod(F.xxhash64("key", "node"), F.col("blocks"))))
 
 
-def bucket_components(keyed: DataFrame, payload: DataFrame | None, linker: Linker, block: int = BLOCK) -> DataFrame:
+def bucket_components(keyed: DataFrame, payload_of: Callable[[DataFrame], DataFrame] | None, linker: Linker, block: int = BLOCK) -> DataFrame:
     """(node, root) of all nodes with a link, from (key, node, weight), a row for each bucket that a node is in.
 
-    ``payload`` has what the linker needs of each node; the unit it gets also has node, root (what is
-    connected already has one root) and rest (see :func:`partners`).
+    ``payload_of`` is asked once, for the nodes that share a bucket at all, and gives what the linker
+    needs of each; the unit that the linker gets also has node, root (what is connected already has one
+    root) and rest (see :func:`partners`).
     """
     dealt = _dealt(keyed, block)
+    payload = payload_of(dealt.select("node").distinct()) if payload_of else None
     leads = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit("lead"), "key", "node"), F.greatest(F.floor(F.col("n") / LEADERS), F.lit(1))) == 0)
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     first = dealt.select("key", F.explode(F.when(leads, every).otherwise(F.array("block"))).alias("block"), F.lit(0).cast("long").alias("chunk"), "node", F.col("node").alias("root"), F.lit(0).alias("rest"))

@@ -50,7 +50,7 @@ def _sketch(shingle: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, prints, keys, sizes, sets = [], [], [], [], []
+            nodes, prints, keys, sizes = [], [], [], []
             for text in batch["text"]:
                 # of each shingle once, as the similarity is one of sets: repeated lines don't move it
                 hashes = np.unique(shingle_hashes(text.as_buffer().to_pybytes(), shingle))
@@ -59,9 +59,8 @@ def _sketch(shingle: int):
                 prints.append(majority(hashes))
                 keys.append([xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b) - (1 << 63) for b in range(BANDS)])
                 sizes.append(len(hashes))
-                sets.append(np.unique(hashes.astype(np.uint32)).tobytes())
-            columns = (pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["a"], batch["b"], *columns], ["doc_id", "a", "b", "node", "fp", "keys", "size", "shingles"])
+            columns = (pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["a"], batch["b"], *columns], ["doc_id", "a", "b", "node", "fp", "keys", "size"])
 
     return run
 
@@ -98,19 +97,38 @@ def like_links(similarity: float):
     return link
 
 
-def like_components(nodes: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(node, root) of the components of like ``nodes`` (node, fp, keys, size, shingles)."""
-    keyed = nodes.select(F.explode("keys").alias("key"), "node", F.col("size").alias("weight"))
-    return bucket_components(keyed, nodes.select("node", "fp", "shingles"), like_links(similarity), block)
+def _shingle_sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.unique(shingle_hashes(t.as_buffer().to_pybytes(), shingle)).astype(np.uint32)).tobytes() for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["fp"], pa.array(sets, pa.binary())], ["node", "fp", "shingles"])
+
+    return run
+
+
+def like_components(rows: DataFrame, sketched: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(node, root) of the components of like nodes of ``sketched``.
+
+    Shingles are read a second time for the nodes that share a bucket alone, each from one of its ``rows``.
+    """
+    nodes = sketched.groupBy("node").agg(F.min(F.struct("doc_id", "a", "b", "fp")).alias("h"))
+
+    def payload(asked: DataFrame) -> DataFrame:
+        holder = nodes.join(asked, "node")
+        on = (F.col("h.a") == F.col("a")) & (F.col("h.b") == F.col("b")) & F.col("h.doc_id").eqNullSafe(F.col("doc_id"))
+        sets = rows.join(holder, on).select("node", F.col("h.fp").alias("fp"), "text").mapInArrow(_shingle_sets(shingle), "node long, fp long, shingles binary")
+        return written(sets.dropDuplicates(["node"]))
+
+    keyed = sketched.groupBy("node").agg(F.first("keys").alias("keys"), F.first("size").alias("weight")).select(F.explode("keys").alias("key"), "node", "weight")
+    return bucket_components(keyed, payload, like_links(similarity), block)
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """``docs`` with all columns, one row of each group of like texts."""
     kind, text = docs.schema[id_col].dataType.simpleString(), text_of(text_col)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), content_key(text).alias("k")).select("doc_id", "text", "k.a", "k.b")
-    sketched = written(rows.mapInArrow(_sketch(shingle), f"doc_id {kind}, a long, b long, node long, fp long, keys array<long>, size long, shingles binary"))
-    nodes = written(sketched.dropDuplicates(["node"]).select("node", "fp", "keys", "size", "shingles"))
-    roots = like_components(nodes, similarity, block).withColumnRenamed("node", "of")
+    sketched = written(rows.mapInArrow(_sketch(shingle), f"doc_id {kind}, a long, b long, node long, fp long, keys array<long>, size long"))
+    roots = like_components(rows, sketched, shingle, similarity, block).withColumnRenamed("node", "of")
     placed = sketched.select("doc_id", F.struct("a", "b").alias("k"), "node").join(roots, F.col("node") == F.col("of"), "left")
     placed = placed.select("doc_id", "k", F.coalesce("root", "node").alias("root"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k"))
