@@ -512,7 +512,7 @@ def test_url_scores_equal_the_regression(spark):
     got = {r.page_id: r.score for r in url_filter.url_verdicts(df, url_filter.labelled_urls(spark)).collect()}
     for i, url in enumerate(urls):
         host, _, path = url.split("://")[1].partition("/")
-        grams = [(part, f"^{text}$"[j : j + n]) for part, text in (("host", host), ("path", "/" + path)) for n in url_filter.NGRAMS for j in range(max(1, len(text) + 3 - n))]
+        grams = [(part, f"^{text}$"[j : j + n]) for part, text in (("host", host), ("path", "/" + path)) for n in url_filter.NGRAMS for j in range(len(text) + 3 - n)]
         h = lambda part, g: xxhash.xxh64_intdigest(g.encode(), xxhash.xxh64_intdigest(part.encode(), 42))
         total = 0.0
         for part, g in grams:

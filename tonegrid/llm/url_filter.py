@@ -84,11 +84,9 @@ def rule_column(host: Column, path: Column, rules: tuple = RULES) -> Column:
 def gram_buckets(host: Column, path: Column) -> Column:
     """Feature numbers (from 1) of all character n-grams of host and path, each within its marked ends."""
     def grams(text: Column, part: str, n: int) -> Column:
-        chars = F.split(F.concat(F.lit("^"), text, F.lit("$")), "")
-        return F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(1))),
-            lambda i: (F.pmod(F.xxhash64(F.lit(part), F.array_join(F.slice(chars, i, n), "")), F.lit(BUCKETS)) + 1).cast("int"),
-        )
+        # a look-ahead takes overlapping grams in one pass, however long the text is
+        found = F.regexp_extract_all(F.concat(F.lit("^"), text, F.lit("$")), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+        return F.transform(found, lambda g: (F.pmod(F.xxhash64(F.lit(part), g), F.lit(BUCKETS)) + 1).cast("int"))
 
     return F.concat(*[grams(text, part, n) for part, text in (("host", host), ("path", path)) for n in NGRAMS])
 
