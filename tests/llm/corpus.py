@@ -62,7 +62,8 @@ def from_sql(sql, folder):
 def rows_of(df, columns=None):
     frame = (df if isinstance(df, pd.DataFrame) else df.toPandas())
     frame = frame[sorted(columns or frame.columns)].astype(object)
-    return sorted(map(repr, map(tuple, frame.where(frame.notna(), None).values.tolist())))
+    whole = lambda v: int(v) if isinstance(v, float) and v.is_integer() else v  # noqa: E731  a null turns a column of numbers into floats
+    return sorted(repr(tuple(map(whole, row))) for row in frame.where(frame.notna(), None).values.tolist())
 
 
 def components(n, edges):

@@ -535,3 +535,28 @@ def test_best_branch_of_a_reply_tree(spark):
     assert paths[("o", 1)] == [("", "")] and len(paths) == 3
     assert {r.leaf: r.loss_text for r in out}["c"] == "[INST]"
     assert all("[INST]" not in r.formatted and "<s>" not in r.formatted for r in out)
+
+
+def test_ranked_branches_equal_brute_force(spark):
+    rng = np.random.default_rng(23)
+    rows = []
+    for t in range(30):
+        size = int(rng.integers(1, 25))
+        for i in range(size):
+            parent = f"{t}.{rng.integers(max(0, i - 4), i):03d}" if i else None
+            rows.append((f"{t}.{i:03d}", parent, float(rng.integers(0, 3)), "assistant" if i % 2 else "user", f"say {t} {i}"))
+    by = {r[0]: r for r in rows}
+    answered = {r[1] for r in rows}
+    paths = {}
+    for r in rows:
+        if r[0] not in answered:
+            path = [r]
+            while path[0][1]:
+                path.insert(0, by[path[0][1]])
+            paths.setdefault(path[0][0], []).append((-sum(p[2] for p in path), -len(path), r[0], [p[4] for p in path]))
+    assert max(-p[1] for ps in paths.values() for p in ps) > 6 and any(len({p[0] for p in ps}) < len(ps) for ps in paths.values())
+    messages = spark.createDataFrame(rows, "node string, parent string, score double, role string, text string")
+    for branches in (1, 3):
+        out = chat_format.read_back(chat_format.formatted(chat_format.reply_paths(messages, branches), messages)).collect()
+        got = sorted((r.root, r["rank"], r.leaf, [t.text for t in r.turns]) for r in out)
+        assert got == sorted((root, n + 1, p[2], p[3]) for root, ps in paths.items() for n, p in enumerate(sorted(ps)[:branches]))

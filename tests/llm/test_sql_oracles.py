@@ -41,10 +41,14 @@ def conversations(rows):
     [
         [],
         [(1, 0, "user", "hi"), (1, 1, "assistant", None), (2, 5, None, "x\n<|im_end|>\n"), (2, 5, "assistant", "&lt;&amp;[INST]"), (2, 9, "as\nsistant", "y")],
+        [(None, 0, "user", "x"), (None, 1, "assistant", "y"), (0, 0, "", "b"), (0, 0, None, "a"), (3, 1, "assistant", "long " * 40_000)],
         [(7, i, ("user", "assistant")[i % 2], f"t{i}" * (1 + i % 3)) for i in range(70)] + [(8, 3, "assistant", "é\U0001f600")] * 2,
     ],
 )
 def test_conversations(spark, tmp_path, rows):
-    folder = written(tmp_path, conversations=conversations(rows))
+    table = conversations(rows)
+    for clash in ("n", "node", "parent", "score", "root", "leaf", "depth"):
+        table = table.append_column(clash, pa.array([f"{clash}{i}" for i in range(table.num_rows)], pa.string()))
+    folder = written(tmp_path, conversations=table)
     name = "op3_chat_formatting"
     assert rows_of(catalog.QUERIES[name](spark, folder)) == rows_of(from_sql(catalog.ORACLES[name], folder))

@@ -15,7 +15,8 @@ The loss mask is a list of (turn, start, end): code points within that turn's pa
 
 Defined results: null roles and texts are empty; a parent that is null or not in the table makes a
 root; messages that hang in a cycle have no root and no path; equal scores rank the deeper leaf,
-then the smaller message first; an empty table gives no rows; other columns are ignored.
+then the smaller message first; repeated rows of a conversation are turns of their own; texts of any
+length stay whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -110,13 +111,21 @@ def read_back(output: DataFrame) -> DataFrame:
 
 
 def conversation_messages(conversations: DataFrame) -> DataFrame:
-    """Conversations as reply trees without branches: every row answers the row before it, by turn (then role and text)."""
+    """Conversations as reply trees: every row answers the row before it, by turn (then role and text, nulls as empty).
+
+    A message scores the code points that an assistant says. Rows of one conversation are one path, as each
+    has to be in the result; a null conv_id is a conversation too.
+    """
     in_order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    numbered = conversations.select("conv_id", "role", "text", F.row_number().over(in_order).alias("n"))
+    said = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    numbered = said.select("conv_id", "role", "text", F.row_number().over(in_order).alias("n"))
+
+    def node(n: Column) -> Column:
+        return F.struct(F.col("conv_id").isNull().alias("nameless"), F.coalesce("conv_id", F.lit(0).cast("long")).alias("conv_id"), n.alias("n"))
+
     return numbered.select(
-        F.struct("conv_id", "n").alias("node"),
-        F.when(F.col("n") > 1, F.struct("conv_id", (F.col("n") - 1).alias("n"))).alias("parent"),
-        F.lit(0.0).alias("score"), "role", "text",
+        node(F.col("n")).alias("node"), F.when(F.col("n") > 1, node(F.col("n") - 1)).alias("parent"),
+        F.when(F.col("role") == ASSISTANT, F.length("text")).otherwise(0).cast("double").alias("score"), "role", "text",
     )
 
 
@@ -130,7 +139,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = read_back(formatted(reply_paths(messages), messages))
     said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return out.select(
-        F.col("root.conv_id").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
+        F.when(~F.col("root.nameless"), F.col("root.conv_id")).alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),

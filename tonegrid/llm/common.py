@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -20,22 +23,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share. Where the session names none: one of our own in local mode, an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tonegrid-")
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local($|\[)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
+        own = tempfile.mkdtemp(prefix="tonegrid-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = "file://" + own
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+#: Paths of the tables written by this driver, in order, for :func:`discard`.
+WRITTEN: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tonegrid/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Deletes what was written since ``WRITTEN`` was ``since`` long, but for the last ``keep`` tables: for callers whose results no longer read it."""
+    jvm, gone = spark.sparkContext._jvm, WRITTEN[since : len(WRITTEN) - keep]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    WRITTEN[since : len(WRITTEN) - keep] = []
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
