@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tonegrid.llm import decontaminate as decontamination
 from tonegrid.llm import exact_dedup as exact
 from tonegrid.llm import mixing, near_dedup, quality
-from tonegrid.llm.common import table, written
+from tonegrid.llm.common import WRITTEN, discard, table, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's tables are deleted once its result is written; the last stage's stay, as its result reads them."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
+        since = len(WRITTEN)
         docs = written(stage(spark, docs, sf_dir))
+        discard(spark, since, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
