@@ -1,6 +1,6 @@
 """python -m tonegrid COMMAND PATH: findings of all audio files under a path, and an exit code.
 
-analyze writes findings; inspect what the files are; compliance their distance from delivery targets;
+analyze writes findings; inspect what the files are; validate checks the profile PATH; compliance their distance from delivery targets;
 compare the changes from PATH to --other, file by file; freeze and verify golden findings in --golden;
 audit the problems of log files. Files are matched by name without suffix.
 """
@@ -11,6 +11,7 @@ import argparse
 import sys
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def against(args: argparse.Namespace, spark: SparkSession, findings: Callable[[s
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser("tonegrid")
-    parser.add_argument("command", choices=("analyze", "inspect", "compliance", "compare", "freeze", "verify", "audit"))
+    parser.add_argument("command", choices=("analyze", "inspect", "validate", "compliance", "compare", "freeze", "verify", "audit"))
     parser.add_argument("path")
     parser.add_argument("--profile", default="default")
     parser.add_argument("--strict", action="store_true")
@@ -60,14 +61,23 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("--golden", help="the folder of golden findings")
     parser.add_argument("--tolerance", type=float, default=0.01)
     parser.add_argument("--plugin", action="append", default=[], help="a Python file that registers analyzers")
-    parser.add_argument("--output", required=True, help="a folder, on any file system that Spark writes")
+    parser.add_argument("--output", help="a folder, on any file system that Spark writes")
     args = parser.parse_args(argv)
+    for plugin in args.plugin:
+        load_plugin(plugin)
+    if args.command == "validate":
+        try:
+            load_profile(args.path, args.strict, known_parameters())
+        except ProfileError as error:
+            print(error, file=sys.stderr)
+            return USAGE
+        return OK
+    if not args.output and args.command != "freeze":
+        parser.error("--output is needed")
     spark = spark or SparkSession.builder.appName("tonegrid").getOrCreate()
     if args.command == "audit":
         verify_logs(read_logs(spark, args.path)).write.json(args.output)
         return FINDING if spark.read.schema("log string, line int, problem string").json(args.output).limit(1).count() else OK
-    for plugin in args.plugin:
-        load_plugin(plugin)
     chunks = read_audio(spark, args.path)
     if args.command == "inspect":
         subjects(chunks).write.json(args.output)
@@ -83,7 +93,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(error, file=sys.stderr)
         return USAGE
     if args.command in ("compare", "freeze", "verify"):
-        return against(args, spark, lambda path: analyze(by_name(read_audio(spark, path)), profile, args.only, args.skip))
+        return against(args, spark, lambda path: analyze(by_name(read_audio(spark, path)).persist(StorageLevel.DISK_ONLY), profile, args.only, args.skip))
+    # every analyzer reads the chunks: decoded once, recomputed where an executor is lost
+    chunks = chunks.persist(StorageLevel.DISK_ONLY)
     findings = analyze(chunks, profile, args.only, args.skip).persist()
     if args.format == "csv":
         sinks.write_csv(findings, args.output)
@@ -94,6 +106,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         documents.select(F.col(args.format)).write.text(args.output)
     bad = findings.where(F.col("status").isin("fail", "error")).limit(1).count()
     findings.unpersist()
+    chunks.unpersist()
     return FINDING if bad else OK
 
 

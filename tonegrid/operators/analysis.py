@@ -1,31 +1,53 @@
-"""Audio analysis by profile: chunk rows to findings, every selected analyzer a DataFrame, their union one plan."""
+"""Audio analysis by profile: chunk rows to findings, every selected analyzer a DataFrame, their union one plan.
+
+An analyzer is a function of (chunks, parameters) to (file_id, value, status, and what else it says). Which
+files it applies to is an expression on their headers; other files get a row that says so, and files that
+it applies to but finds nothing in are not applicable as well: none is left out silently.
+"""
 
 from __future__ import annotations
 
 import runpy
 from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonegrid.operators import kernels, levels, policy, runs, spectra
-from tonegrid.sources.wav import subjects
+from tonegrid.functions.columns import db, lufs
+from tonegrid.operators import kernels, levels, policy, spectra
+from tonegrid.sources.wav import channels_of, mono, subjects
+
 
-#: The analyzers of the audio path and the parameters that each takes.
-PARAMETERS = {
-    "inspect": (), "loudness": ("min_lufs", "max_lufs"), "true_peak": ("max_dbtp",), "clipping": ("threshold", "max_clipped_pct"),
-    "spectral_health": ("n_fft", "hop"), "pitch_f0": ("fmin", "fmax"), "lra": (),
-}
+class Analyzer(NamedTuple):
+    """What an analyzer measures; ``parameters`` are names with their defaults, None for a number without one."""
 
+    run: Callable[[DataFrame, dict], DataFrame]
+    check_id: str
+    metric: str
+    unit: str
+    method: str
+    applicable: str
+    parameters: dict
 
+
+ANALYZERS: dict[str, Analyzer] = {}
 #: Analyzers added by plugins: functions of (good chunks, parameters) to findings, with the parameters they take.
 REGISTRY: dict[str, tuple[Callable[[DataFrame, dict], DataFrame], tuple[str, ...]]] = {}
 
 
+def analyzer(name: str, check_id: str, metric: str, unit: str, method: str, applicable: str = "frames > 0", **parameters):
+    def add(run):
+        ANALYZERS[name] = Analyzer(run, check_id, metric, unit, method, applicable, parameters)
+        return run
+
+    return add
+
+
 def register(name: str, *parameters: str):
     """Decorator: makes a function of (chunks, params) an analyzer; its findings join all others."""
-    if not name or name in PARAMETERS or name in REGISTRY:
+    if not name or name in ANALYZERS or name in REGISTRY:
         raise ValueError(f"no name, or one that is taken: {name!r}")
 
     def add(run):
@@ -40,60 +62,217 @@ def load_plugin(path: str) -> None:
     runpy.run_path(path)
 
 
-def known_parameters() -> dict[str, tuple[str, ...]]:
-    return PARAMETERS | {name: parameters for name, (_, parameters) in REGISTRY.items()}
+def known_parameters() -> dict[str, dict]:
+    """The parameters of each analyzer and their defaults."""
+    return {name: a.parameters for name, a in ANALYZERS.items()} | {name: dict.fromkeys(parameters) for name, (_, parameters) in REGISTRY.items()}
+
+
+def warn(bad: Column) -> Column:
+    return F.when(bad, "warning").otherwise("pass")
+
+
+def passes() -> Column:
+    return F.lit("pass")
+
+
+@analyzer("inspect", "inspect.metadata", "metadata", "s", "WAV header")
+def inspect(chunks: DataFrame, params: dict) -> DataFrame:
+    return subjects(chunks).select("file_id", F.col("duration_s").alias("value"), passes().alias("status"))
+
+
+@analyzer("loudness", "loudness.integrated", "integrated_loudness", "LUFS", "gated K-weighted blocks", min_lufs=-24.0, max_lufs=-16.0)
+def loudness(chunks: DataFrame, params: dict) -> DataFrame:
+    loud = kernels.integrated_loudness(kernels.block_loudness(chunks))
+    return loud.select("file_id", F.col("lufs").alias("value"), warn(~F.col("lufs").between(params["min_lufs"], params["max_lufs"])).alias("status"))
+
+
+@analyzer("lra", "lra.range", "loudness_range", "LU", "percentiles of gated 3 s blocks", min_lu=None, max_lu=None)
+def loudness_range(chunks: DataFrame, params: dict) -> DataFrame:
+    blocks = kernels.block_loudness(chunks, 3.0, 1.0).select(F.col("file_id").alias("channel"), F.col("lufs").alias("l"))
+    spread = levels.range_of_levels(blocks).withColumnRenamed("channel", "file_id")
+    spread = subjects(chunks).select("file_id").join(spread, "file_id", "left").select("file_id", F.coalesce("lra", F.lit(0.0)).alias("value"))
+    out = reduce(lambda a, b: a | b, [F.lit(False), *([F.col("value") < params["min_lu"]] if params["min_lu"] is not None else []), *([F.col("value") > params["max_lu"]] if params["max_lu"] is not None else [])])
+    return spread.withColumn("status", warn(out))
+
+
+@analyzer("true_peak", "true_peak.measurement", "true_peak", "dBTP", "four times oversampled", max_dbtp=-1.0)
+def true_peak(chunks: DataFrame, params: dict) -> DataFrame:
+    peak = kernels.true_peak(chunks)
+    return peak.select("file_id", F.col("dbtp").alias("value"), F.when(F.col("dbtp") > params["max_dbtp"], "fail").otherwise("pass").alias("status"))
+
+
+@analyzer("clipping", "clipping.samples", "clipped_sample_pct", "%", "share of frames at the threshold", threshold=0.99, max_clipped_pct=0.01)
+def clipping(chunks: DataFrame, params: dict) -> DataFrame:
+    """Only the frames at the threshold become rows; a frame counts once, in however many channels it is."""
+    at = F.array_compact(F.transform("samples", lambda v, i: F.when(F.abs(v).cast("double") >= params["threshold"], F.col("start") + i)))
+    over = channels_of(chunks).select("file_id", F.explode(at).alias("frame")).distinct().groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+    share = subjects(chunks).join(over, "file_id", "left").select("file_id", (100.0 * F.coalesce("n", F.lit(0)) / F.col("frames")).alias("value"))
+    return share.withColumn("status", F.when(F.col("value") > params["max_clipped_pct"], "fail").otherwise(warn(F.col("value") > 0)))
+
+
+#: The bands of mono compatibility, in hertz.
+MONO_BANDS = ((20, 120), (120, 400), (400, 1200), (1200, 4000), (4000, 12000), (12000, 20000))
+
+
+@analyzer("mono_compat", "mono_compat.band_loss", "max_band_loss", "dB", "loss of the mono sum against the louder channel, by Butterworth bands", "channels = 2", max_loss_db=6.0)
+def mono_compat(chunks: DataFrame, params: dict) -> DataFrame:
+    squares = kernels.band_squares(chunks.where("channels = 2"), MONO_BANDS)
+    level = lambda mine: F.max(F.when(mine, 20 * F.log10(F.sqrt("ms") + 1e-12)))
+    per = squares.groupBy("file_id", "band").agg((level(F.col("channel") >= 0) - level(F.col("channel") < 0)).alias("loss"))
+    worst = per.groupBy("file_id").agg(F.greatest(F.lit(0.0), F.max("loss")).alias("value"))
+    return worst.withColumn("status", warn(F.col("value") >= params["max_loss_db"]))
+
+
+@analyzer("channel_balance", "channel_balance.lr", "delta_lufs", "LU", "K-weighted level of left against right", "channels = 2", max_delta_lufs=1.0, max_delta_rms_db=2.0)
+def channel_balance(chunks: DataFrame, params: dict) -> DataFrame:
+    weighted = kernels.band_squares(channels_of(chunks).where("channels = 2"), (kernels.K_BAND,)).groupBy("file_id")
+    weighted = weighted.agg(*[F.max(F.when(F.col("channel") == c, F.col("ms"))).alias(n) for c, n in ((0, "kl"), (1, "kr"))])
+    both = weighted.join(kernels.stereo_moments(chunks), "file_id")
+    loud, rms = F.abs(lufs(F.col("kl")) - lufs(F.col("kr"))), F.abs(db(F.sqrt("ll")) - db(F.sqrt("rr")))
+    return both.select("file_id", loud.alias("value"), warn((loud > params["max_delta_lufs"]) | (rms > params["max_delta_rms_db"])).alias("status"))
+
+
+@analyzer("goniometer", "goniometer.statistics", "mean_correlation", "", "correlation of left and right", "channels = 2")
+def goniometer(chunks: DataFrame, params: dict) -> DataFrame:
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("ll") - F.col("ml") * F.col("ml")) * F.greatest(F.lit(0.0), F.col("rr") - F.col("mr") * F.col("mr")))
+    value = F.coalesce(F.try_divide(F.col("lr") - F.col("ml") * F.col("mr"), F.when(spread > 1e-12, spread)), F.lit(0.0))
+    return kernels.stereo_moments(chunks).select("file_id", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)).alias("value"), passes().alias("status"))
+
+
+@analyzer("binaural_compat", "binaural_compat.lateral_low", "lateral_low_energy_db", "dB", "side against mid under 200 Hz", "channels = 2", max_lateral_low_db=-20.0)
+def binaural_compat(chunks: DataFrame, params: dict) -> DataFrame:
+    low = kernels.band_squares(chunks.where("channels = 2"), ((None, 200.0),))
+    per = low.groupBy("file_id").agg(F.sum(F.when(F.col("channel") >= 0, F.col("ms"))).alias("both"), F.max(F.when(F.col("channel") < 0, F.col("ms"))).alias("mid"))
+    side = F.sqrt(F.greatest(F.lit(0.0), F.col("both") / 2 - F.col("mid")))
+    value = 20 * F.log10((side + 1e-12) / (F.sqrt("mid") + 1e-12))
+    return per.select("file_id", value.alias("value"), warn(value > params["max_lateral_low_db"]).alias("status"))
+
+
+@analyzer("drn", "drn.measurement", "dr14_db", "dB", "peak over RMS of the loudest fifth of 3 s blocks", "frames >= 3 * sample_rate", dr_min_db=None)
+def dynamic_range(chunks: DataFrame, params: dict) -> DataFrame:
+    size, hop = kernels.seconds(3.0), lambda rate: int(3.0 * rate) // 2
+    blocks = [kernels.per_frame(mono(chunks), size, hop, of, 16).select("file_id", "frame", F.col("value").alias(n)) for n, of in (("rms", lambda x, rate: (x * x).mean(1) ** 0.5), ("peak", lambda x, rate: abs(x).max(1)))]
+    heard = blocks[0].join(blocks[1], ["file_id", "frame"]).where("rms > 1e-12")
+    of_file = Window.partitionBy("file_id")
+    ranked = heard.withColumn("rank", F.row_number().over(of_file.orderBy(F.col("rms").desc(), "frame"))).withColumn("n", F.count(F.lit(1)).over(of_file))
+    top = ranked.where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("n") / 5)))
+    out = top.groupBy("file_id").agg(F.greatest(F.lit(0.0), 20 * F.log10(F.avg("peak") / F.avg("rms"))).alias("value"))
+    return out.withColumn("status", passes() if params["dr_min_db"] is None else warn(F.col("value") < params["dr_min_db"]))
+
+
+@analyzer("acoustic_context", "acoustic_context.noise_floor", "noise_floor_db", "dB", "10th percentile of 50 ms RMS", "frames >= 4096")
+def noise_floor(chunks: DataFrame, params: dict) -> DataFrame:
+    rms = kernels.per_frame(mono(chunks), kernels.seconds(0.05), kernels.seconds(0.05), lambda x, rate: (x * x).mean(1) ** 0.5).where("value > 1e-12")
+    return rms.groupBy("file_id").agg((20 * F.log10(F.percentile("value", 0.1))).alias("value")).withColumn("status", passes())
+
+
+@analyzer("spectral_health", "spectral_health.descriptors", "spectral_centroid", "Hz", "mean magnitude spectrum", "frames >= 256", n_fft=2048, hop=512)
+def spectral_health(chunks: DataFrame, params: dict) -> DataFrame:
+    spectrum = kernels.mean_spectrum(chunks, params["n_fft"], params["hop"])
+    rates = spectrum.groupBy(F.col("file_id").alias("vec_id")).agg(F.max("sample_rate").alias("rate"))
+    health = spectra.spectral_health(spectrum.withColumnRenamed("file_id", "vec_id")).join(rates, "vec_id")
+    return health.select(F.col("vec_id").alias("file_id"), (F.coalesce("centroid", F.lit(0.0)) * F.col("rate") / params["n_fft"]).alias("value"), passes().alias("status"))
+
+
+@analyzer("timbre_distance", "timbre_distance.descriptor", "timbre_distance", "0-1", "cosine of the mean spectra of the first and the last third", "frames >= 8192")
+def timbre_distance(chunks: DataFrame, params: dict) -> DataFrame:
+    of = lambda part: F.max(F.when(F.col("part") == part, F.col("mag")))
+    bins = kernels.spectrum_sums(mono(chunks), parts=("first", "last")).groupBy("file_id", "bin").agg(of("first").alias("a"), of("last").alias("b"))
+    norm = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c))) + 1e-12
+    distance = 1 - F.sum(F.col("a") * F.col("b")) / (norm("a") * norm("b"))
+    return bins.groupBy("file_id").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), distance)).alias("value")).withColumn("status", passes())
+
+
+@analyzer("spectral_irregularity", "spectral_irregularity.descriptor", "spectral_irregularity", "0-1", "mean step between bins over mean magnitude", "frames >= 2048")
+def irregularity(chunks: DataFrame, params: dict) -> DataFrame:
+    out = spectra.irregularity(kernels.mean_spectrum(chunks).withColumnRenamed("file_id", "vec_id"))
+    return out.select(F.col("vec_id").alias("file_id"), F.col("irregularity").alias("value"), passes().alias("status"))
+
+
+def median_pitch(chunks: DataFrame, least: int = 4) -> DataFrame:
+    """(file_id, f0) of files with enough voiced frames."""
+    voiced = kernels.tracked(chunks).where(~F.isnan("f0")).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.percentile("f0", 0.5).alias("f0"))
+    return voiced.where(F.col("n") >= least).drop("n")
+
+
+@analyzer("harmonic_tension", "harmonic_tension.descriptor", "harmonic_tension", "0-1", "energy beside the harmonics of the median pitch", "frames >= 4096")
+def harmonic_tension(chunks: DataFrame, params: dict) -> DataFrame:
+    spectrum = kernels.mean_spectrum(chunks).join(median_pitch(chunks), "file_id")
+    width = F.col("sample_rate") / 2048
+    beside = F.exists(F.sequence(F.lit(1), F.lit(9)), lambda h: (h * F.col("f0") <= F.col("sample_rate") / 2) & (F.abs(F.col("bin") - F.ceil(h * F.col("f0") / width - 0.5)) <= 1))
+    e = F.col("mag") * F.col("mag")
+    value = 1 - F.sum(F.when(beside, e).otherwise(0.0)) / (F.sum(e) + 1e-12)
+    return spectrum.groupBy("file_id").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)).alias("value")).withColumn("status", passes())
+
+
+@analyzer("inharmonicity", "inharmonicity.descriptor", "inharmonicity", "0-1", "distance of the partials from the multiples of the median pitch", "frames >= 4096")
+def inharmonicity(chunks: DataFrame, params: dict) -> DataFrame:
+    asked = median_pitch(chunks).select("file_id", F.explode(F.transform(F.sequence(F.lit(2), F.lit(7)), lambda h: h * F.col("f0"))).alias("at"))
+    near = kernels.segment_power(chunks, 8192).join(asked, "file_id").where(F.abs(F.col("hz") - F.col("at")) <= 5.0)
+    partials = near.groupBy("file_id", "at").agg(F.max_by("hz", F.struct("power", -F.col("hz"))).alias("peak"))
+    value = F.avg(F.abs(F.col("peak") - F.col("at")) / F.col("at"))
+    return partials.groupBy("file_id").agg(F.least(F.lit(1.0), value).alias("value")).withColumn("status", passes())
+
+
+@analyzer("fatigue_index", "fatigue_index.descriptor", "fatigue_index", "0-1", "loss of energy from 4 kHz on, last third against first", "frames >= 8192")
+def fatigue(chunks: DataFrame, params: dict) -> DataFrame:
+    of = lambda part: F.sum(F.when((F.col("part") == part) & (F.col("hz") >= 4000), F.col("power")))
+    per = kernels.segment_power(chunks, 2048, ("first", "last")).groupBy("file_id").agg(of("first").alias("a"), of("last").alias("b"))
+    return per.where("a > 0").select("file_id", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - F.col("b") / F.col("a"))).alias("value"), passes().alias("status"))
+
+
+@analyzer("melodic_contour", "melodic_contour.descriptor", "melodic_contour_direction", "enum", "slope and range of the pitch track", "frames >= sample_rate")
+def melodic_contour(chunks: DataFrame, params: dict) -> DataFrame:
+    voiced = kernels.tracked(chunks).where(~F.isnan("f0")).withColumn("t", F.row_number().over(Window.partitionBy("file_id").orderBy("frame")).cast("double"))
+    per = voiced.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("f0", "t").alias("slope"), (12 * F.log2(F.max("f0") / F.min("f0"))).alias("range"))
+    direction = F.when(F.col("slope") > 5, "rising").when(F.col("slope") < -5, "falling").otherwise("static")
+    said = F.concat(F.lit("melodic contour: "), direction, F.lit(", range "), F.format_string("%.1f", "range"), F.lit(" semitones"))
+    return per.where("n >= 8").select("file_id", F.lit(None).cast("double").alias("value"), passes().alias("status"), said.alias("message"))
+
+
+@analyzer("pitch_f0", "pitch_f0.median", "f0_median_hz", "Hz", "YIN", "4 * frames >= sample_rate", fmin=60.0, fmax=500.0)
+def pitch(chunks: DataFrame, params: dict) -> DataFrame:
+    return kernels.fundamental(chunks, params["fmin"], params["fmax"]).select("file_id", F.col("median_hz").alias("value"), "status")
 
 
-def finding(df: DataFrame, analyzer: str, metric: str, value: Column, unit: str, status: Column, method: str) -> DataFrame:
-    shown = F.when(~F.isnan(value.cast("double")), value.cast("double"))
+def finding(df: DataFrame, analyzer: str, check_id: Column, metric: Column, value: Column, unit: str, status: Column, method: str, message: Column | None = None) -> DataFrame:
+    """Findings in the common columns; what isn't finite is null, and says so."""
+    number = value.cast("double")
+    finite = ~F.isnan(number) & (F.abs(number) < float("inf"))
+    shown = F.when(finite, number)
+    said = F.coalesce(*([message] if message is not None else []), F.concat_ws(" ", metric, F.lit("is"), F.format_string("%.3f", shown), F.lit(unit)), F.concat(metric, F.lit(" has no value")))
     return df.select(
-        "file_id", F.lit(analyzer).alias("analyzer"), F.lit(metric).alias("metric"), shown.alias("value"), F.lit(unit).alias("unit"), status.alias("status"),
-        F.lit(method).alias("method"), F.concat_ws(" ", F.lit(f"{metric} is"), F.format_string("%.3f", shown), F.lit(unit)).alias("message"),
+        "file_id", F.lit(analyzer).alias("analyzer"), check_id.alias("check_id"), metric.alias("metric"), shown.alias("value"), F.lit(unit).alias("unit"), status.alias("status"),
+        F.lit(method).alias("method"), said.alias("message"), F.when(number.isNotNull() & ~finite, F.array(F.lit("non-finite value nulled"))).otherwise(F.array().cast("array<string>")).alias("limitations"),
     )
 
 
-def samples(chunks: DataFrame) -> DataFrame:
-    """(file_id, channel, frame, x), a row per sample."""
-    return chunks.select("file_id", "channel", "start", F.posexplode("samples").alias("i", "v")).select("file_id", "channel", (F.col("start") + F.col("i")).alias("frame"), F.col("v").cast("double").alias("x"))
+def measured(good: DataFrame, files: DataFrame, name: str, params: dict) -> DataFrame:
+    """One finding of every readable file by one analyzer."""
+    a = ANALYZERS[name]
+    found = a.run(good, a.parameters | params)
+    if "message" not in found.columns:
+        found = found.withColumn("message", F.lit(None).cast("string"))
+    all_files = files.select("file_id", F.expr(a.applicable).alias("applies")).join(found, "file_id", "left")
+    applies = F.col("applies")
+    status = F.when(applies, F.coalesce("status", F.lit("not_applicable"))).otherwise("not_applicable")
+    said = F.when(applies, F.col("message")).otherwise(f"analyzer '{name}' not applicable to this input")
+    check, metric = (F.when(applies, one).otherwise(other) for one, other in ((a.check_id, f"{name}.applicability"), (a.metric, "applicability")))
+    return finding(all_files, name, check, metric, F.when(applies, F.col("value")), a.unit, status, a.method, said)
 
 
 def analyze(chunks: DataFrame, profile: dict, only: tuple | None = None, skip: tuple = ()) -> DataFrame:
     """Findings of all readable files, policy applied, rules and severities joined; unreadable files give error findings.
 
-    Analyzers that aren't selected add nothing to the plan.
+    Analyzers that aren't selected add nothing to the plan. Each reads ``chunks`` again: persist them.
     """
     chosen = {a: p for a, p in profile["analyzers"].items() if (only is None or a in only) and a not in skip}
-    good = chunks.where("error IS NULL")
-    broken = subjects(chunks.where("error IS NOT NULL"))
-    found = [finding(broken, "decode", "decode", F.lit(None).cast("double"), "", F.lit("error"), "scan").withColumn("message", F.lit("the file can't be read"))]
-    warn = lambda bad: F.when(bad, "warning").otherwise("pass")
-    for analyzer, params in chosen.items():
-        get = params.get
-        if analyzer == "inspect":
-            found.append(finding(subjects(good), analyzer, "metadata", F.col("duration_s"), "s", F.lit("pass"), "WAV header"))
-        elif analyzer == "loudness":
-            loud = kernels.integrated_loudness(kernels.block_loudness(good))
-            found.append(finding(loud, analyzer, "integrated_loudness", F.col("lufs"), "LUFS", warn(~F.col("lufs").between(get("min_lufs", -24.0), get("max_lufs", -16.0))), "gated K-weighted blocks"))
-        elif analyzer == "lra":
-            blocks = kernels.block_loudness(good, 3.0, 1.0).where("lufs > -70").select(F.col("file_id").alias("channel"), "frame", F.pow(F.lit(10.0), (F.col("lufs") + 0.691) / 10).alias("ms"))
-            spread = levels.loudness_range(blocks.select("channel", "frame", F.sqrt("ms").alias("x")), 1, 1).withColumnRenamed("channel", "file_id")
-            spread = subjects(good).select("file_id").join(spread, "file_id", "left").select("file_id", F.coalesce("lra", F.lit(0.0)).alias("lra"))
-            found.append(finding(spread, analyzer, "loudness_range", F.col("lra"), "LU", F.lit("pass"), "percentiles of gated 3 s blocks"))
-        elif analyzer == "true_peak":
-            found.append(finding(kernels.true_peak(good), analyzer, "true_peak", F.col("dbtp"), "dBTP", F.when(F.col("dbtp") > get("max_dbtp", -1.0), "fail").otherwise("pass"), "four times oversampled"))
-        elif analyzer == "clipping":
-            frames = samples(good).groupBy(F.col("file_id").alias("channel"), "frame").agg(F.max(F.abs("x")).alias("x"))
-            clipped = runs.clipping(frames, get("threshold", 0.99), get("max_clipped_pct", 0.01)).withColumnRenamed("channel", "file_id")
-            found.append(finding(clipped, analyzer, "clipped_sample_pct", F.col("clipped_pct"), "%", F.col("status"), "share of frames at the threshold"))
-        elif analyzer == "spectral_health":
-            size = int(get("n_fft", 2048))
-            spectrum = kernels.mean_spectrum(good, size, int(get("hop", 512))).withColumnRenamed("file_id", "vec_id")
-            rates = subjects(good).select("file_id", "sample_rate")
-            health = spectra.spectral_health(spectrum).withColumnRenamed("vec_id", "file_id").join(rates, "file_id")
-            found.append(finding(health, analyzer, "spectral_centroid", F.coalesce("centroid", F.lit(0.0)) * F.col("sample_rate") / size, "Hz", F.lit("pass"), "mean magnitude spectrum"))
-        elif analyzer in REGISTRY:
-            found.append(REGISTRY[analyzer][0](good, params))
-        elif analyzer == "pitch_f0":
-            pitch = kernels.fundamental(good, get("fmin", 60.0), get("fmax", 500.0))
-            found.append(finding(pitch, analyzer, "f0_median_hz", F.col("median_hz"), "Hz", F.col("status"), "YIN"))
-    return policy.enrich(policy.escalate(reduce(DataFrame.unionByName, found), profile.get("strict_overlay") or {}))
+    good, files = chunks.where("error IS NULL"), subjects(chunks)
+    broken = files.where("error IS NOT NULL")
+    unread = lambda text: F.lit(text)
+    found = [finding(broken, "decode", unread("decode.error"), unread("decode"), F.lit(None).cast("double"), "", F.lit("error"), "scan", F.concat(F.lit("the file can't be read: "), F.col("error")))]
+    readable = files.where("error IS NULL")
+    for name, params in chosen.items():
+        found.append(REGISTRY[name][0](good, params) if name in REGISTRY else measured(good, readable, name, params or {}))
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+    return policy.enrich(policy.escalate(every, profile.get("strict_overlay") or {}))

@@ -30,7 +30,12 @@ def gated_loudness(signal: DataFrame, size: int, hop: int, absolute: float = -70
 
 def loudness_range(signal: DataFrame, size: int, hop: int, least: int = 4, absolute: float = -70.0, relative: float = -10.0) -> DataFrame:
     """(channel, lra): spread of the 10th to the 95th percentile of gated short-term levels, 0 for too few."""
-    levels = blocks(signal, size, hop).select("channel", lufs(F.col("ms")).alias("l")).where(F.col("l") > absolute)
+    return range_of_levels(blocks(signal, size, hop).select("channel", lufs(F.col("ms")).alias("l")), least, absolute, relative)
+
+
+def range_of_levels(levels: DataFrame, least: int = 4, absolute: float = -70.0, relative: float = -10.0) -> DataFrame:
+    """(channel, lra) of levels (channel, l) in LUFS."""
+    levels = levels.where(F.col("l") > absolute)
     gate = levels.groupBy("channel").agg(power_mean(F.col("l")).alias("mean"), F.count(F.lit(1)).alias("n"))
     spread = lambda p: F.greatest(F.lit(0.0), p[1] - p[0])
     per = levels.join(gate, "channel").withColumn("in", F.col("l") >= F.col("mean") + relative)

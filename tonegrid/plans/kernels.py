@@ -25,7 +25,7 @@ def _chunks(spark, d, rate=RATE):
 
 
 def kernel_loudness(spark, d):
-    return round4(kernels.integrated_loudness(kernels.block_loudness(_chunks(spark, d), longest_rate=RATE)), "lufs")
+    return round4(kernels.integrated_loudness(kernels.block_loudness(_chunks(spark, d))), "lufs")
 
 
 def kernel_true_peak(spark, d):
@@ -33,7 +33,7 @@ def kernel_true_peak(spark, d):
 
 
 def kernel_pitch(spark, d):
-    return round4(kernels.fundamental(_chunks(spark, d, PITCH_RATE), low=60.0, high=150.0, longest_rate=PITCH_RATE), "median_hz", "p10_hz", "p90_hz")
+    return round4(kernels.fundamental(_chunks(spark, d, PITCH_RATE), low=60.0, high=150.0), "median_hz", "p10_hz", "p25_hz", "p75_hz", "p90_hz")
 
 
 def kernel_spectrum(spark, d):

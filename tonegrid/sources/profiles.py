@@ -39,8 +39,17 @@ def _find(name: str, near: Path) -> Path:
     raise ProfileError(f"no profile {name}")
 
 
-def load_profile(name: str, strict: bool = False, known: dict[str, tuple] | None = None) -> dict:
-    """The resolved profile of a path or a name; ``known`` lists the parameters of each analyzer."""
+def _fits(value: object, default: object) -> bool:
+    """Whether a parameter is of its default's kind; one without default is a number."""
+    if isinstance(value, bool) or isinstance(default, bool):
+        return isinstance(value, bool) and isinstance(default, bool)
+    if isinstance(default, int):
+        return isinstance(value, int) and value > 0
+    return isinstance(value, int | float) if default is None or isinstance(default, float) else isinstance(value, type(default))
+
+
+def load_profile(name: str, strict: bool = False, known: dict[str, dict] | None = None) -> dict:
+    """The resolved profile of a path or a name; ``known`` has the parameters of each analyzer with their defaults."""
     path = Path(name) if Path(name).is_file() else _find(name, Path("."))
     profile = _read(path, ())
     for field in ("name", "version"):
@@ -53,4 +62,6 @@ def load_profile(name: str, strict: bool = False, known: dict[str, tuple] | None
             raise ProfileError(f"unknown analyzer {analyzer}")
         if odd := sorted(set(params) - set(known[analyzer])):
             raise ProfileError(f"unknown parameters of {analyzer}: {', '.join(odd)}")
+        if odd := sorted(p for p, v in params.items() if not _fits(v, known[analyzer][p])):
+            raise ProfileError(f"parameters of {analyzer} of the wrong kind: {', '.join(odd)}")
     return profile | {"strict_overlay": (profile.get("strict_overlay") or {}) if strict else {}}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: The columns of the CSV form, and the levels of SARIF.
 CSV_COLUMNS = ("analyzer", "check_id", "metric", "value", "unit", "status", "time_range_ms_start", "time_range_ms_end", "confidence", "message", "limitations", "method")
-LEVELS = {"pass": "note", "warning": "warning", "fail": "error", "error": "error", "needs_review": "warning", "indeterminate": "note", "not_applicable": "none"}
+LEVELS = {"pass": "none", "warning": "warning", "fail": "error", "not_applicable": "none", "indeterminate": "none", "needs_review": "note", "error": "error"}
 SARIF_SCHEMA = "https://docs.oasis-open.org/sarif/sarif/v2.1.0/cs01/schemas/sarif-schema-2.1.0.json"
 DEFAULTS = {"check_id": "metric", "unit": None, "confidence": None, "message": None, "method": None}
 

@@ -1,8 +1,10 @@
-"""WAV scan: files to chunk rows (file_id, channel, channels, sample_rate, frames, start, samples).
+"""WAV scan: files to chunk rows (file_id, channel, channels, sample_rate, frames, start, samples, left, right).
 
 ``binaryFile`` deals the files to tasks; a small parser cuts each into chunks of ``CHUNK`` frames per
-channel, so what follows works on chunks however long a file is. Unreadable files become one row with
-an error (files without bytes are not listed by Spark). Operators that look across chunk borders take the neighbours' ends by a window over chunks.
+channel, with the samples to either side that filters and blocks reach into, while the whole file is at
+hand; so what follows is a map over chunks however long a file is, and no samples are shuffled. Files of
+several channels also have their mean as channel ``MIX``. Unreadable files become one row with an error
+(files without bytes are not listed by Spark).
 """
 
 from __future__ import annotations
@@ -15,8 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 16
-SCHEMA = "file_id string, source_path string, file_sha256 string, channel int, channels int, sample_rate int, frames long, bit_depth int, start long, samples array<float>, error string"
+CHUNK = 1 << 17
+#: Seconds after a chunk that come with it (the longest block of any analyzer), and frames before it (what a filter remembers).
+AFTER_S, BEFORE = 3.0, 1 << 16
+MIX = -1
+SCHEMA = "file_id string, source_path string, file_sha256 string, channel int, channels int, sample_rate int, frames long, bit_depth int, start long, samples array<float>, left array<float>, right array<float>, error string"
 #: Suffixes that are audio at all; those this scan reads.
 SUFFIXES = (".wav", ".flac", ".mp3", ".ogg", ".aiff", ".aif")
 READABLE = (".wav",)
@@ -71,54 +76,69 @@ def encode(samples: np.ndarray, rate: int) -> bytes:
     return head + data
 
 
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _decoder(after_s: float):
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
-    for batch in batches:
-        for path, content, sha in zip(batch["path"], batch["content"], batch["sha"], strict=True):
-            name = path.rsplit("/", 1)[-1]
-            try:
-                if not name.lower().endswith(SUFFIXES):
-                    raise WavError("unsupported file type")
-                if not name.lower().endswith(READABLE):
-                    raise WavError("no decoder for this file type")
-                rate, depth, x = parse(content)
-            except WavError as error:
-                yield pd.DataFrame([(sha, path, sha, None, None, None, None, None, None, None, str(error))], columns=columns)
-                continue
-            for start in range(0, x.shape[1], CHUNK):
-                rows = [(sha, path, sha, c, x.shape[0], rate, x.shape[1], depth, start, x[c, start : start + CHUNK], None) for c in range(x.shape[0])]
-                yield pd.DataFrame(rows, columns=columns)
-
-
-def read_audio(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Chunk rows of all files under ``path`` that match ``glob``; a file is known by its SHA-256."""
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content, sha in zip(batch["path"], batch["content"], batch["sha"], strict=True):
+                name = path.rsplit("/", 1)[-1]
+                try:
+                    if not name.lower().endswith(SUFFIXES):
+                        raise WavError("unsupported file type")
+                    if not name.lower().endswith(READABLE):
+                        raise WavError("no decoder for this file type")
+                    rate, depth, x = parse(content)
+                except WavError as error:
+                    yield pd.DataFrame([(sha, path, sha, *[None] * 9, str(error))], columns=columns)
+                    continue
+                signals = dict(enumerate(x)) if len(x) == 1 else {**dict(enumerate(x)), MIX: x.mean(0, dtype=np.float32)}
+                after = int(np.ceil(rate * after_s)) + 1
+                for start in range(0, x.shape[1], CHUNK):
+                    end = start + CHUNK
+                    rows = [
+                        (sha, path, sha, c, x.shape[0], rate, x.shape[1], depth, start, v[start:end], v[max(0, start - BEFORE) : start], v[end : end + after], None)
+                        for c, v in signals.items()
+                    ]
+                    yield pd.DataFrame(rows, columns=columns)
+
+    return decode
+
+
+def read_audio(spark: SparkSession, path: str, glob: str = "*", after_s: float = AFTER_S) -> DataFrame:
+    """Chunk rows of all files under ``path`` that match ``glob``; a file is known by its SHA-256. Each file is decoded in one task."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select("path", "content", F.sha2("content", 256).alias("sha")).mapInPandas(_decode, SCHEMA)
+    return files.select("path", "content", F.sha2("content", 256).alias("sha")).mapInPandas(_decoder(after_s), SCHEMA)
+
+
+def mono(chunks: DataFrame) -> DataFrame:
+    """One signal of each file: its only channel, or the mean of all."""
+    return chunks.where((F.col("channels") == 1) | (F.col("channel") == MIX))
+
 
+def channels_of(chunks: DataFrame) -> DataFrame:
+    """The channels of each file, without their mean."""
+    return chunks.where(F.col("channel") != MIX)
 
-def chunks_of(signal: DataFrame, sample_rate: int, chunk: int = CHUNK) -> DataFrame:
-    """Chunk rows of a long signal (channel, frame, x), each channel a mono file."""
+
+def chunks_of(signal: DataFrame, sample_rate: int, chunk: int = CHUNK, before: int | None = None, after: int | None = None) -> DataFrame:
+    """Chunk rows of a long signal (channel, frame, x), each channel a mono file; halos are those of a scan at this rate."""
+    before, after = BEFORE if before is None else before, int(np.ceil(sample_rate * AFTER_S)) + 1 if after is None else after
     number = F.floor(F.col("frame") / chunk)
     per = signal.groupBy("channel", number.alias("n")).agg(F.array_sort(F.collect_list(F.struct("frame", "x"))).alias("s"))
     counts = signal.groupBy(F.col("channel").alias("of")).agg(F.count(F.lit(1)).alias("frames"))
-    return per.join(counts, F.col("channel") == F.col("of")).select(
+    rows = per.join(counts, F.col("channel") == F.col("of")).select(
         F.col("channel").cast("string").alias("file_id"), F.lit(0).alias("channel"), F.lit(1).alias("channels"), F.lit(sample_rate).alias("sample_rate"),
         "frames", (F.col("n") * chunk).alias("start"), F.transform("s", lambda x: x["x"].cast("float")).alias("samples"),
     )
-
-
-def with_halo(chunks: DataFrame, before: int, after: int) -> DataFrame:
-    """``chunks`` with ``left`` and ``right``: up to so many samples of the neighbouring chunks."""
     w = Window.partitionBy("file_id", "channel").orderBy("start")
-    none = F.array().cast("array<float>")
-    last = F.slice(F.lag("samples").over(w), -before, before) if before else none
-    left = F.when(F.size(F.lag("samples").over(w)) >= before, last).otherwise(F.lag("samples").over(w)) if before else none
-    right = F.slice(F.lead("samples").over(w), 1, after) if after else none
-    return chunks.withColumns({"left": F.coalesce(left, none), "right": F.coalesce(right, none)})
+    near = lambda a, b: F.flatten(F.collect_list("samples").over(w.rowsBetween(a, b)))
+    left, right = near(-(-(-before // chunk)), -1), near(1, -(-after // chunk))
+    return rows.withColumns({"left": F.slice(left, F.greatest(F.lit(1), F.size(left) - before + 1), F.lit(before)) if before else F.slice("samples", 1, 0), "right": F.slice(right, 1, after) if after else F.slice("samples", 1, 0)})
 
 
 def subjects(chunks: DataFrame) -> DataFrame:
     """One row per file: what a bundle says of its subject."""
     layout = F.expr("CASE channels WHEN 1 THEN 'mono' WHEN 2 THEN 'stereo' WHEN 6 THEN '5.1' WHEN 8 THEN '7.1' ELSE concat('custom-', channels, 'ch') END")
-    per = chunks.groupBy("file_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("source_path", "file_sha256", "channels", "sample_rate", "frames", "bit_depth", "error")])
+    per = chunks.where(F.coalesce("channel", F.lit(0)) >= 0).groupBy("file_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("source_path", "file_sha256", "channels", "sample_rate", "frames", "bit_depth", "error")])
     return per.withColumn("channel_layout", F.when(F.col("channels").isNotNull(), layout)).withColumn("duration_s", F.try_divide(F.col("frames"), F.col("sample_rate")))
