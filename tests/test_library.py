@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tonegrid.__main__ import main
 from tonegrid.operators import comparison, evidence, levels, policy, runs
-from tonegrid.operators.analysis import PARAMETERS
+from tonegrid.operators.analysis import known_parameters
 from tonegrid.sources import profiles, sinks, wav
 from tonegrid.streaming import gates
 
@@ -81,13 +81,13 @@ def test_dropouts_and_louder_signals(spark):
 
 
 def test_profiles_extend_and_refuse(tmp_path):
-    broadcast = profiles.load_profile("broadcast", strict=True, known=PARAMETERS)
+    broadcast = profiles.load_profile("broadcast", strict=True, known=known_parameters())
     assert broadcast["analyzers"]["loudness"]["min_lufs"] == -23.5 and broadcast["analyzers"]["clipping"]["threshold"] == 0.99
     assert broadcast["strict_overlay"] and not profiles.load_profile("broadcast")["strict_overlay"]
     for text in ("name: x", "name: x\nversion: '1'\nanalyzers: {nothing: {}}", "name: x\nversion: '1'\nanalyzers: {lra: {odd: 1}}", "name: x\nversion: '1'\ndata_classification: odd", "extends: odd"):
         (tmp_path / "p.yaml").write_text(text)
         with pytest.raises(profiles.ProfileError):
-            profiles.load_profile(str(tmp_path / "p.yaml"), known=PARAMETERS)
+            profiles.load_profile(str(tmp_path / "p.yaml"), known=known_parameters())
 
 
 def test_sinks(spark, tmp_path):
@@ -173,7 +173,7 @@ def test_plugins_add_analyzers(spark, tmp_path):
         "from pyspark.sql import functions as F\nfrom tonegrid.operators.analysis import finding, register\n\n\n"
         "@register('length', 'most_s')\ndef length(chunks, params):\n"
         "    per = chunks.groupBy('file_id').agg(F.max(F.col('frames') / F.col('sample_rate')).alias('s'))\n"
-        "    return finding(per, 'length', 'length', F.col('s'), 's', F.when(F.col('s') > params.get('most_s', 9), 'fail').otherwise('pass'), 'header')\n"
+        "    return finding(per, 'length', F.lit('length.s'), F.lit('length'), F.col('s'), 's', F.when(F.col('s') > params.get('most_s', 9), 'fail').otherwise('pass'), 'header')\n"
     )
     (tmp_path / "p.yaml").write_text("name: p\nversion: '1'\nanalyzers: {length: {most_s: 0.5}}")
     folder = tones(tmp_path / "in", x=0.1)

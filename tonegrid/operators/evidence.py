@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +51,20 @@ def entry_hash(payload: Column, previous: Column) -> Column:
     return F.sha2(F.concat_ws("|", payload, previous), 256)
 
 
+def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For ``mapInArrow`` over (log, line, payload) sorted by log and line: adds prev_hash and entry_hash. Lines stream through; only the last hash is held."""
+    log, last = None, ""
+    for batch in batches:
+        before, own = [], []
+        for of, payload in zip(batch["log"].to_pylist(), batch["payload"].to_pylist(), strict=True):
+            if of != log:
+                log, last = of, ""
+            before.append(last)
+            last = hashlib.sha256("|".join(x for x in (payload, last) if x is not None).encode()).hexdigest()
+            own.append(last)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(own, pa.string())], [*batch.schema.names, "prev_hash", "entry_hash"])
+
+
 def verify_chain(entries: DataFrame, payload: Column) -> DataFrame:
     """(log, entries, broken_links, bad_hashes, valid) of (log, line, prev_hash, entry_hash) logs.
 
