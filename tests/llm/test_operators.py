@@ -1,5 +1,7 @@
 """Operators against brute force, with awkward rows, repeated rows, empty tables and clashing columns."""
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -239,6 +241,15 @@ def test_leaks_equal_brute_force(spark, tmp_path, block_chars):
     assert decontaminate.leaks(docs.where("false"), bench).count() == decontaminate.leaks(docs, bench.where("false")).count() == 0
 
 
+def test_leaks_of_named_items_in_awkward_documents(spark, tmp_path):
+    docs = awkward()
+    long = docs["text"][7].as_py()
+    bench = spark.createDataFrame([("first", long[1000:1200]), (None, long[-90:]), ("again", long[1000:1200]), ("none", prose(9999, 40))], "item_id string, text string")
+    found = [sorted((str(r.doc_id), str(r.item_id), r.distance) for r in decontaminate.leaks(read(spark, tmp_path, documents=clashing(docs)), bench, block_chars=n).collect()) for n in (10**6, 100)]
+    expected = sorted((str(docs["doc_id"][i].as_py()), item, 0) for i in range(docs.num_rows) if (docs["text"][i].as_py() or "").startswith(long) for item in ("first", "None", "again"))
+    assert found[0] == found[1] == expected and len(expected) == 6
+
+
 def test_discarded_windows_hold_no_item():
     rng = np.random.default_rng(15)
     for trial in range(300):
@@ -341,10 +352,43 @@ def test_quality_ranks_held_out_rows_and_survives_awkward_ones(spark, tmp_path):
     assert all(got[n + i].predicted == (i >= 60) for i in range(180) if got[n + i].held_out)
     kept = quality.quality_filter(table(spark, folder, "documents"), table(spark, folder, "labels"))
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.predicted}
-    none = quality.fit(quality.measured(table(spark, folder, "documents")), table(spark, folder, "labels").where("false"))
+    none = quality.fit(quality.measured(table(spark, folder, "documents")), quality.training_labels(table(spark, folder, "labels").where("false")))
     assert none.score(np.zeros((2, quality.WIDTH))).tolist() == [0.5, 0.5]
 
 
+def test_quality_fit_equals_its_definition(spark, tmp_path):
+    texts = [prose(i, 20 + i) + ("." if i % 3 else "!! #") for i in range(90)]
+    labels = pa.table({"doc_id": pa.array([*range(90), 5], pa.int64()), "quality": pa.array([int(i % 3 > 0) for i in range(90)] + [0], pa.int32())})
+    folder = written(tmp_path, documents=documents(texts), labels=labels)
+    known = [(r.of, r.label) for r in quality.training_labels(table(spark, folder, "labels")).collect()]
+    outside = spark.range(90).select("id", quality.held_out(F.col("id")).alias("out")).collect()
+    assert sorted(known) == sorted((i, y) for i, y in zip(labels["doc_id"].to_pylist(), labels["quality"].to_pylist(), strict=True) if i in {r.id for r in outside if not r.out})
+    model = quality.fit(quality.measured(table(spark, folder, "documents")), quality.training_labels(table(spark, folder, "labels")))
+    stats = [np.array([quality.statistics(texts[i].encode()) for i, y in known if y == c]) for c in (0, 1)]
+    covs = [np.cov(x.T, bias=True) for x in stats]
+    pooled = sum(len(x) * c for x, c in zip(stats, covs, strict=True)) / len(known)
+    pooled = (1 - quality.SHRINK_DIAGONAL) * pooled + quality.SHRINK_DIAGONAL * np.diag(np.diag(pooled)) + 1e-6 * np.eye(quality.WIDTH)
+    for c in (0, 1):
+        sigma = (1 - quality.SHRINK_CLASS) * covs[c] + quality.SHRINK_CLASS * pooled
+        assert model.means[c] == pytest.approx(stats[c].mean(0))
+        assert np.linalg.inv(model.factors[c].T @ model.factors[c]) == pytest.approx(sigma, abs=1e-9) and model.logdets[c] == pytest.approx(np.linalg.slogdet(sigma)[1])
+    assert model.odds == pytest.approx(np.log(len(stats[1]) / len(stats[0])))
+    assert quality.training_labels(table(spark, folder, "labels"), fit_rows=7).count() == 7
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
+def test_quality_on_the_held_out_fold(spark):
+    folder = "/root/testdata/sf0.01"
+    scores = quality.query(spark, folder).where("held_out").join(table(spark, folder, "labels"), "doc_id").collect()
+    assert len(scores) > 50
+    assert sum(r.predicted == r.quality for r in scores) >= 0.97 * len(scores)
+
+
+def test_quality_of_no_documents(spark, tmp_path):
+    labels = pa.table({"doc_id": pa.array([], pa.int64()), "quality": pa.array([], pa.int32())})
+    assert quality.query(spark, written(tmp_path, documents=DOCUMENTS.empty_table(), labels=labels)).count() == 0
+
+
 def test_cholesky_scores_equal_gaussian_densities(spark):
     rng = np.random.default_rng(6)
     root = rng.normal(size=(2, quality.WIDTH, quality.WIDTH))

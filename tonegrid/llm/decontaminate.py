@@ -8,14 +8,16 @@ text's blocks of ``Q`` characters and ``Q`` of the item's runs of as many, and a
 than that leaves is discarded. Overlapping windows of
 an item are joined, and Myers' bit-parallel distance verifies them. Texts never move: a pass over the documents is a map with a block of items.
 
-The test set is read in blocks of at most ``BLOCK_CHARS`` characters, one pass for each, so what is
-sent to the tasks is bounded whatever the size of the test set.
+The test set is read in blocks of at most ``BLOCK_CHARS`` characters (some ten thousand items). Each has a
+job of its own over the documents, whose few hits are written before the next block is read, so driver
+and executors hold one block at a time whatever the size of the test set.
 
 Both sides are compared in lower case, with every run of characters other than letters and digits
 as one blank. k is ``ERROR_RATE`` of m, rounded down.
 
 Defined results: null and empty texts match nothing, and null and empty items are in none; items under
-``MIN_ITEM`` normalised characters are searched exactly, as whole words; repeated items each report; repeated rows each report; an empty
+``MIN_ITEM`` normalised characters are searched exactly, as whole words; repeated items each report; repeated rows each report; texts of
+any length are read whole; a null item_id stays null, and ids of any type keep it; an empty
 table on either side gives no rows; other columns are ignored.
 """
 
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonegrid.llm.common import table, text_of
+from tonegrid.llm.common import content_key, table, text_of, written
 
 ERROR_RATE, MIN_ITEM, Q = 0.1, 24, 4
 BLOCK_CHARS = 4_000_000
@@ -152,24 +154,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     def search(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value)
+            matcher = Matcher([(n, text) for n, (_, text) in enumerate(shared.value)])
+            ids = pa.array([item_id for item_id, _ in shared.value])
             for batch in batches:
-                hits = [(i, item, d) for i, text in enumerate(batch["text"]) for item, d in matcher.matches(text.as_py())]
-                yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].take(pa.array([h[0] for h in hits], pa.int64())), pa.array([h[1] for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.int32())],
-                    ["doc_id", "item_id", "distance"],
-                )
+                hits = [(i, n, d) for i, text in enumerate(batch["text"]) for n, d in matcher.matches(text.as_py())]
+                at = [pa.array([h[c] for h in hits], pa.int64()) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(at[0]), ids.take(at[1]), at[2].cast(pa.int32())], ["doc_id", "item_id", "distance"])
 
         return run
 
     for block in item_blocks(benchmark, block_chars):
-        found = found.union(rows.mapInArrow(search(spark.sparkContext.broadcast(block)), schema))
+        shared = spark.sparkContext.broadcast(block)
+        found = found.union(written(rows.mapInArrow(search(shared), schema)))
+        shared.destroy()
     return found
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` with all columns, without the documents that hold a test item."""
-    spark = docs.sparkSession
+    """``docs`` with all columns, without the documents that hold a test item.
+
+    The last block filters the rows in place; texts that hold an item of a block before it are told by their hashes.
+    """
+    spark, blocks = docs.sparkSession, item_blocks(benchmark, block_chars)
 
     def holds(shared):
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -178,11 +184,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 yield pd.Series([bool(matcher.matches(t)) for t in texts], dtype=bool)
 
         run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        return F.pandas_udf(run, "boolean")
-
-    for block in item_blocks(benchmark, block_chars):
-        docs = docs.where(~holds(spark.sparkContext.broadcast(block))(text_of(text_col)))
-    return docs
+        return F.pandas_udf(run, "boolean")(text_of(text_col))
+
+    block, following = next(blocks, None), next(blocks, None)
+    while following is not None:
+        shared = spark.sparkContext.broadcast(block)
+        bad = written(docs.where(holds(shared)).select(content_key(text_of(text_col)).alias("__tg_bad")).distinct())
+        shared.destroy()
+        docs = docs.join(bad, content_key(text_of(text_col)) == F.col("__tg_bad"), "left_anti")
+        block, following = following, next(blocks, None)
+    return docs if block is None else docs.where(~holds(spark.sparkContext.broadcast(block)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,17 @@
 """Quality classifier: regularised quadratic discriminant over transformed document statistics.
 
 Statistics of every whole text (shares of character classes, word and line shapes; no labels, lang,
-source or doc_id) are written once. Class counts, means and covariances are exact moments of all
-labelled training rows, summed by Spark to a few hundred numbers; only those reach the driver. Each
+source or doc_id) are written once. Class counts, means and covariances are exact moments of the
+labelled training rows, at most ``FIT_ROWS`` of them by a hash of the doc_id, summed by Spark to a few
+hundred numbers; only those reach the driver. Each
 class covariance is shrunk towards the pooled one and that towards its diagonal, so it can always be
 factored. The Cholesky factors are cached in the model; a score is the logistic of the difference of
 two Mahalanobis log-densities plus the log prior odds, tempered to keep scores graded.
 
 Defined results: null and empty texts have all-zero statistics and are scored like any other; rows
-without a label, or with a label other than 0 or 1, do not train; several labels of one document
-all count; without training rows of both classes the score is the smoothed share of label 1; a null
+without a label, or with a label other than 0 or 1, do not train; several labels of one document,
+and repeated rows of one, all count; equal scores are equal decisions; texts of any length are measured
+whole; other columns are ignored, whatever their names; without training rows of both classes the score is the smoothed share of label 1; a null
 doc_id is never held out; an empty table gives no rows.
 """
 
@@ -32,6 +34,8 @@ SHRINK_CLASS, SHRINK_DIAGONAL = 0.5, 0.05
 TEMPERATURE = 4.0
 THRESHOLD = 0.3
 FOLDS = 5
+#: Labels that train, at most: a fixed size of sample, so that fitting costs the same however many labels there are.
+FIT_ROWS = 50_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(0xC0, 0x100)]] = True
@@ -126,11 +130,15 @@ def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"label": np.repeat([0, 1], sums.shape[1]), "i": np.tile(np.arange(sums.shape[1]), 2), "v": sums.ravel()})
 
 
-def fit(rows: DataFrame, labels: DataFrame, label_col: str = "quality") -> Model:
-    """The model of ``rows`` (of :func:`measured`) and all labels outside the held-out fold."""
+def training_labels(labels: DataFrame, label_col: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(of, label): the labels that train, outside the held-out fold, bounded by ``fit_rows``."""
     known = labels.select(F.col("doc_id").alias("of"), F.col(label_col).cast("int").alias("label"))
-    known = known.where(F.col("label").isin(0, 1) & ~held_out(F.col("of")))
-    train = rows.join(known, rows["doc_id"] == known["of"]).select("x", "label")
+    return known.where(F.col("label").isin(0, 1) & ~held_out(F.col("of"))).orderBy(F.xxhash64("of"), "of", "label").limit(fit_rows)
+
+
+def fit(rows: DataFrame, known: DataFrame) -> Model:
+    """The model of ``rows`` (of :func:`measured`) and the labels ``known`` (of :func:`training_labels`)."""
+    train = rows.join(F.broadcast(known), rows["doc_id"] == known["of"]).select("x", "label")
     sums = np.zeros((2, 1 + WIDTH + WIDTH * WIDTH))
     for c, i, v in train.mapInPandas(_moments, "label int, i int, v double").groupBy("label", "i").agg(F.sum("v")).collect():
         sums[c, i] = v
@@ -161,7 +169,10 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all columns, without those scored below ``threshold``."""
-    model = fit(measured(docs, id_col, text_col), labels)
+    known = written(training_labels(labels))
+    # only the rows that train are measured for the fit; their ids are few enough to broadcast
+    mine = docs.join(F.broadcast(known.select(F.col("of").alias("__tg_of")).distinct()), F.col(f"`{id_col}`") == F.col("__tg_of"), "left_semi")
+    model = fit(measured(mine, id_col, text_col), known)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
@@ -172,5 +183,5 @@ def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = measured(table(spark, sf_dir, "documents"))
-    scores = scored(rows, fit(rows, table(spark, sf_dir, "labels")))
+    scores = scored(rows, fit(rows, training_labels(table(spark, sf_dir, "labels"))))
     return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
