@@ -476,6 +476,16 @@ def test_every_repeated_run_in_mosaics_of_frequent_phrases_is_found(spark, tmp_p
     assert len(planted) > 100
     assert not [p for p in planted if not any(d == p[0] and s <= p[1] and p[1] + 50 <= e for d, s, e in spans)]
 
+def test_rising_matches_need_no_tree():
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        n = int(rng.integers(2, 12))
+        left = list(zip(np.cumsum(rng.integers(1, 40, n)).tolist(), np.cumsum(rng.integers(1, 40, n)).tolist(), strict=True))
+        fast = substring_dedup.predecessors(left, 8, 0.15)
+        slow = substring_dedup.predecessors([(a + 1, b + 1) for a, b in left] + [(10**6, 0)], 8, 0.15)  # the last one doesn't rise
+        assert fast[0] == pytest.approx(slow[0][:-1]) and fast[1] == slow[1][:-1]
+
+
 def test_a_short_chain_hides_no_passage():
     dense = [(i, 1000 + i) for i in range(0, 16, 2)]
     sparse = [(100 + i, 300 + i) for i in (0, 12, 24, 31)]

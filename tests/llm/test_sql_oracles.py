@@ -52,3 +52,27 @@ def test_conversations(spark, tmp_path, rows):
     folder = written(tmp_path, conversations=table)
     name = "op3_chat_formatting"
     assert rows_of(catalog.QUERIES[name](spark, folder)) == rows_of(from_sql(catalog.ORACLES[name], folder))
+
+
+#: What each query says of a document apart from ids, which are null or repeated here.
+OF_THE_TEXT = {
+    "op1_secret_scans": ["n_assign", "n_access", "n_hex", "base_sha256", "spans"], "op2_source_mixing": ["size", "source_size", "target"],
+    "op5_simhash_near_dedup": ["fingerprint"], "op6_exact_dedup": ["group_size", "text_sha256"], "op7_line_dedup": ["n_lines", "n_dropped", "kept_sha256"],
+}
+
+
+@pytest.mark.parametrize("name", list(OF_THE_TEXT))
+def test_repeated_rows_and_null_ids(spark, tmp_path, name):
+    sides = []
+    for n, docs in enumerate((awkward(), distinct_ids())):
+        (tmp_path / str(n)).mkdir()
+        sides.append(catalog.QUERIES[name](spark, written(tmp_path / str(n), documents=clashing(docs))).toPandas())
+    assert len(sides[0]) == awkward().num_rows
+    assert rows_of(sides[0], OF_THE_TEXT[name]) == rows_of(sides[1], OF_THE_TEXT[name])
+    if name == "op6_exact_dedup":
+        assert sides[0]["kept"].sum() == sides[0]["text_sha256"].nunique()
+    if name == "op5_simhash_near_dedup":
+        assert sides[0]["component_id"].nunique(dropna=False) == sides[1]["component_id"].nunique()
+    if name == "op2_source_mixing":
+        taken = sides[0].groupby(["source_size", "target"])["taken"].sum().reset_index()
+        assert all(abs(r.taken - r.target) <= 1 for r in taken.itertuples() if r.source_size != 0) or taken["target"].duplicated().any()
