@@ -102,7 +102,7 @@ def test_sinks(spark, tmp_path):
     assert "f&lt;1&gt;" in html and "<1>" not in html
 
 
-@pytest.mark.parametrize("form", ["json", "csv", "sarif", "html"])
+@pytest.mark.parametrize("form", ["json", "csv", "sarif", "html", "bundle"])
 def test_command_line(spark, tmp_path, form):
     tone = (0.5 * np.sin(2 * np.pi * 1000 * np.arange(44_100) / 44_100)).astype(np.float32)
     (tmp_path / "in").mkdir()
@@ -113,10 +113,32 @@ def test_command_line(spark, tmp_path, form):
     if form == "json":
         got = {r.metric: r for r in spark.read.json(str(tmp_path / "out")).collect()}
         assert got["integrated_loudness"].value == pytest.approx(-8.81, abs=0.01) and got["integrated_loudness"].status == "warning"
+        assert got["integrated_loudness"].confidence == 0.95 and got["integrated_loudness"].check_id == "loudness.integrated"
         assert main(["inspect", args[1], "--output", str(tmp_path / "subjects")], spark) == 0
+        assert main(["validate", "broadcast"], spark) == 0 and main(["validate", "no such profile"], spark) == 2
         assert main(["compliance", args[1], "--output", str(tmp_path / "targets")], spark) == 1
 
 
+    if form == "bundle":
+        (row,) = spark.read.text(str(tmp_path / "out")).collect()
+        bundle = json.loads(row.value)
+        assert list(bundle) == sorted(bundle) and bundle["aggregate_status"] == "warning" and bundle["profile"]["name"] == "default"
+        assert [f["analyzer"] for f in bundle["findings"]] == ["clipping", "inspect", "loudness", "true_peak"] and bundle["subject"]["frames"] == 44_100
+        assert len(bundle["measurement_fingerprint"]) == 64
+
+
+def test_golden_kinds_and_detector_report(spark):
+    from tonegrid.operators import comparison
+
+    schema = "fixture string, analyzer string, metric string, value double, status string, rule_id string"
+    old = [("f", "a", "gone", 1.0, "pass", None), ("f", "a", "many", 1.0, "pass", None), ("f", "a", "many", 2.0, "pass", None), ("f", "a", "moved", 1.0, "pass", "R1"), ("f", "a", "same", 1.0, "pass", "R1"), ("f", "a", "void", None, "pass", None)]
+    new = [("f", "a", "many", 1.0, "pass", None), ("f", "a", "moved", 1.5, "fail", "R2"), ("f", "a", "new", 1.0, "pass", None), ("f", "a", "new", 3.0, "pass", None), ("f", "a", "same", 1.05, "pass", "R1"), ("f", "a", "void", 0.0, "pass", None)]
+    got = {(r.metric, r.kind) for r in comparison.golden_diff(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), F.lit(0.1)).collect()}
+    assert got == {("gone", "missing"), ("many", "value_drift"), ("moved", "value_drift"), ("moved", "status_change"), ("moved", "rule_id_change"), ("new", "extra"), ("void", "value_drift")}
+    scores = comparison.detector_scores(spark.createDataFrame([("x", True, True), ("x", True, False), ("y", False, False)], "rule string, expected boolean, flagged boolean"), "rule")
+    assert [r.line for r in comparison.detector_report(scores, "rule").collect()][2:] == ["| x | 1 | 0 | 1 | 1.00 | 0.50 |", "| y | 0 | 0 | 0 | n/a | n/a |"]
+
+
 def test_streams_equal_batches(spark, tmp_path):
     rows = [("a", f"2024-01-01 {h:02d}:{m:02d}:00", float(h + m)) for h in range(5) for m in (0, 7, 41)]
     events = spark.createDataFrame(rows, "channel string, ts string, x double").withColumn("ts", F.to_timestamp("ts"))

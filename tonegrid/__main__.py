@@ -56,7 +56,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("--strict", action="store_true")
     parser.add_argument("--only", type=lambda s: tuple(s.split(",")))
     parser.add_argument("--skip", type=lambda s: tuple(s.split(",")), default=())
-    parser.add_argument("--format", choices=("json", "csv", "sarif", "html"), default="json")
+    parser.add_argument("--format", choices=("json", "csv", "sarif", "html", "bundle"), default="json")
     parser.add_argument("--other", help="the side to compare with")
     parser.add_argument("--golden", help="the folder of golden findings")
     parser.add_argument("--tolerance", type=float, default=0.01)
@@ -101,6 +101,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         sinks.write_csv(findings, args.output)
     elif args.format == "json":
         sinks.write_json(findings, args.output)
+    elif args.format == "bundle":
+        sinks.bundle_documents(findings, subjects(chunks), profile).select("bundle").write.text(args.output)
     else:
         documents = sinks.sarif_documents(findings) if args.format == "sarif" else sinks.html_documents(findings)
         documents.select(F.col(args.format)).write.text(args.output)

@@ -33,6 +33,11 @@ class Analyzer(NamedTuple):
 
 
 ANALYZERS: dict[str, Analyzer] = {}
+#: How sure each analyzer's findings are. pitch_f0 says so by itself.
+CONFIDENCE = {
+    "inspect": 1.0, "loudness": 0.95, "lra": 0.9, "true_peak": 0.97, "clipping": 0.99, "mono_compat": 0.9, "channel_balance": 0.92, "goniometer": 0.9, "binaural_compat": 0.75, "drn": 0.85,
+    "acoustic_context": 0.75, "spectral_health": 0.9, "spectral_irregularity": 0.85, "timbre_distance": 0.8, "harmonic_tension": 0.6, "inharmonicity": 0.65, "fatigue_index": 0.6, "melodic_contour": 0.6,
+}
 #: Analyzers added by plugins: functions of (good chunks, parameters) to findings, with the parameters they take.
 REGISTRY: dict[str, tuple[Callable[[DataFrame, dict], DataFrame], tuple[str, ...]]] = {}
 
@@ -232,18 +237,20 @@ def melodic_contour(chunks: DataFrame, params: dict) -> DataFrame:
 
 @analyzer("pitch_f0", "pitch_f0.median", "f0_median_hz", "Hz", "YIN", "4 * frames >= sample_rate", fmin=60.0, fmax=500.0)
 def pitch(chunks: DataFrame, params: dict) -> DataFrame:
-    return kernels.fundamental(chunks, params["fmin"], params["fmax"]).select("file_id", F.col("median_hz").alias("value"), "status")
+    f0 = kernels.fundamental(chunks, params["fmin"], params["fmax"])
+    return f0.select("file_id", F.col("median_hz").alias("value"), "status", F.round("voiced_share", 3).alias("confidence"))
 
 
-def finding(df: DataFrame, analyzer: str, check_id: Column, metric: Column, value: Column, unit: str, status: Column, method: str, message: Column | None = None) -> DataFrame:
+def finding(df: DataFrame, analyzer: str, check_id: Column, metric: Column, value: Column, unit: str, status: Column, method: str, message: Column | None = None, confidence: Column | None = None) -> DataFrame:
     """Findings in the common columns; what isn't finite is null, and says so."""
     number = value.cast("double")
     finite = ~F.isnan(number) & (F.abs(number) < float("inf"))
     shown = F.when(finite, number)
-    said = F.coalesce(*([message] if message is not None else []), F.concat_ws(" ", metric, F.lit("is"), F.format_string("%.3f", shown), F.lit(unit)), F.concat(metric, F.lit(" has no value")))
+    said = F.coalesce(*([message] if message is not None else []), F.when(shown.isNotNull(), F.concat_ws(" ", metric, F.lit("is"), F.format_string("%.3f", shown), F.lit(unit))), F.concat(metric, F.lit(" has no value")))
     return df.select(
         "file_id", F.lit(analyzer).alias("analyzer"), check_id.alias("check_id"), metric.alias("metric"), shown.alias("value"), F.lit(unit).alias("unit"), status.alias("status"),
         F.lit(method).alias("method"), said.alias("message"), F.when(number.isNotNull() & ~finite, F.array(F.lit("non-finite value nulled"))).otherwise(F.array().cast("array<string>")).alias("limitations"),
+        (F.lit(None).cast("double") if confidence is None else confidence).alias("confidence"),
     )
 
 
@@ -258,7 +265,8 @@ def measured(good: DataFrame, files: DataFrame, name: str, params: dict) -> Data
     status = F.when(applies, F.coalesce("status", F.lit("not_applicable"))).otherwise("not_applicable")
     said = F.when(applies, F.col("message")).otherwise(f"analyzer '{name}' not applicable to this input")
     check, metric = (F.when(applies, one).otherwise(other) for one, other in ((a.check_id, f"{name}.applicability"), (a.metric, "applicability")))
-    return finding(all_files, name, check, metric, F.when(applies, F.col("value")), a.unit, status, a.method, said)
+    sure = F.when(applies, F.col("confidence") if "confidence" in found.columns else F.lit(CONFIDENCE.get(name)).cast("double"))
+    return finding(all_files, name, check, metric, F.when(applies, F.col("value")), a.unit, status, a.method, said, sure)
 
 
 def analyze(chunks: DataFrame, profile: dict, only: tuple | None = None, skip: tuple = ()) -> DataFrame:

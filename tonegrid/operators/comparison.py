@@ -32,22 +32,29 @@ def flag_changes(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
 
 
 def golden_diff(expected: DataFrame, current: DataFrame, tolerance: Column) -> DataFrame:
-    """(fixture, analyzer, metric, nth, kind): missing, extra, value_drift and status_change rows.
+    """(fixture, analyzer, metric, nth, kind): missing, extra, value_drift, status_change and, where both sides have rule_id, rule_id_change rows.
 
-    Rows of one key are matched in order of value. ``tolerance`` is an expression on the key.
+    A key that is on one side alone, or on both in different numbers (a drift), counts once; else its rows
+    are matched in order of value. ``tolerance`` is an expression on the key.
     """
     key = ["fixture", "analyzer", "metric"]
+    ruled = "rule_id" in expected.columns and "rule_id" in current.columns
 
     def numbered(side: DataFrame, s: str) -> DataFrame:
-        nth = F.row_number().over(Window.partitionBy(*key).orderBy("value", "status"))
-        return side.select(*key, nth.cast("long").alias("nth"), F.col("value").alias(f"value_{s}"), F.col("status").alias(f"status_{s}"), F.lit(True).alias(f"in_{s}"))
+        of_key = Window.partitionBy(*key)
+        nth, n = F.row_number().over(of_key.orderBy("value", "status")), F.count(F.lit(1)).over(of_key)
+        rule = F.col("rule_id") if ruled else F.lit(None).cast("string")
+        return side.select(*key, nth.cast("long").alias("nth"), n.alias(f"n_{s}"), F.col("value").alias(f"value_{s}"), F.col("status").alias(f"status_{s}"), rule.alias(f"rule_{s}"))
 
     both = numbered(expected, "e").join(numbered(current, "c"), [*key, "nth"], "full_outer")
+    of_key = Window.partitionBy(*key)
+    both = both.withColumns({"n_e": F.max("n_e").over(of_key), "n_c": F.max("n_c").over(of_key)})
+    first, paired = F.col("nth") == 1, F.col("n_e") == F.col("n_c")
     drift = F.coalesce(F.abs(F.col("value_c") - F.col("value_e")) > tolerance, F.col("value_c").isNull() != F.col("value_e").isNull())
     kinds = F.array_compact(F.array(
-        F.when(F.col("in_c").isNull(), "missing"), F.when(F.col("in_e").isNull(), "extra"),
-        F.when(F.col("in_c").isNotNull() & F.col("in_e").isNotNull() & drift, "value_drift"),
-        F.when(F.col("status_c") != F.col("status_e"), "status_change"),
+        F.when(first & F.col("n_c").isNull(), "missing"), F.when(first & F.col("n_e").isNull(), "extra"),
+        F.when((first & (F.col("n_e") != F.col("n_c"))) | (paired & drift), "value_drift"),
+        F.when(paired & ~F.col("status_c").eqNullSafe(F.col("status_e")), "status_change"), F.when(paired & ~F.col("rule_c").eqNullSafe(F.col("rule_e")), "rule_id_change"),
     ))
     return both.select(*key, "nth", F.explode(kinds).alias("kind"))
 
@@ -66,6 +73,14 @@ def detector_scores(cases: DataFrame, *keys: str) -> DataFrame:
     return counts.withColumn("precision", share("tp", "fp")).withColumn("recall", share("tp", "fn"))
 
 
+def detector_report(scores: DataFrame, key: str) -> DataFrame:
+    """(line): a Markdown table of :func:`detector_scores`, head first, n/a where nothing divides."""
+    shown = lambda c: F.when(F.col(c).isNull(), "n/a").otherwise(F.format_string("%.2f", F.col(c)))
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", F.col(key), *[F.col(c).cast("string") for c in ("tp", "fp", "fn")], shown("precision"), shown("recall")), F.lit(" |"))
+    head = scores.sparkSession.createDataFrame([(0, "", f"| {key} | TP | FP | FN | precision | recall |"), (1, "", "|---|---|---|---|---|---|")], "part int, key string, line string")
+    return head.unionByName(scores.select(F.lit(2).alias("part"), F.col(key).cast("string").alias("key"), row.alias("line"))).orderBy("part", "key").select("line")
+
+
 def oracle_matrix(measured: DataFrame, other: DataFrame, most: float = 0.5) -> DataFrame:
     """(key, delta, verdict) of two (key, value) tables."""
     both = measured.join(other.withColumnRenamed("value", "value_o"), "key")

@@ -106,14 +106,20 @@ def select_analyzers(findings: DataFrame, only: tuple | None = None, skip: tuple
     return kept.where(~F.col("analyzer").isin(*skip)) if skip else kept
 
 
+#: Findings less sure than this say whether a person has to look.
+SURE = 0.9
+
+
 def enrich(findings: DataFrame) -> DataFrame:
-    """``findings`` with rule_id, rule_class, severity, recommendation and why_it_matters."""
+    """``findings`` with rule_id, rule_class, severity, recommendation and why_it_matters; where they have a confidence, requires_human_review too."""
     rules = literal_map({f"{a}\x1f{m}": r for a, by in RULES.items() for m, r in by.items()})
     advice = lambda i: literal_map({a: texts[i] for a, texts in REMEDIATION.items()})
     rule, name = F.try_element_at(rules, F.concat_ws("\x1f", "analyzer", "metric")), F.col("analyzer")
     out = findings.withColumn("rule_id", rule).withColumn("severity", F.coalesce(F.try_element_at(literal_map(SEVERITY), F.col("status")), F.lit("info")))
     serious = F.col("severity").isin("error", "critical")
     kind = F.when(F.col("rule_id").startswith("AS-DESC-"), "descriptive").when(F.col("rule_id").startswith("AS-FORE-"), "forensic").when(F.col("rule_id").isNotNull(), "objective")
+    if "confidence" in findings.columns:
+        out = out.withColumn("requires_human_review", F.when(F.col("confidence") < SURE, F.col("status").isin("needs_review", "indeterminate")))
     return out.withColumns({
         "rule_class": kind,
         "recommendation": F.when(serious, F.coalesce(F.try_element_at(advice(0), name), F.concat(F.lit("Review the "), name, F.lit(" finding and consult documentation.")))),

@@ -33,7 +33,7 @@ def kernel_true_peak(spark, d):
 
 
 def kernel_pitch(spark, d):
-    return round4(kernels.fundamental(_chunks(spark, d, PITCH_RATE), low=60.0, high=150.0), "median_hz", "p10_hz", "p25_hz", "p75_hz", "p90_hz")
+    return round4(kernels.fundamental(_chunks(spark, d, PITCH_RATE), low=60.0, high=150.0), "voiced_share", "median_hz", "p10_hz", "p25_hz", "p75_hz", "p90_hz")
 
 
 def kernel_spectrum(spark, d):

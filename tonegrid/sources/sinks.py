@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonegrid.operators.policy import rank
+
 #: The columns of the CSV form, and the levels of SARIF.
 CSV_COLUMNS = ("analyzer", "check_id", "metric", "value", "unit", "status", "time_range_ms_start", "time_range_ms_end", "confidence", "message", "limitations", "method")
 LEVELS = {"pass": "none", "warning": "warning", "fail": "error", "not_applicable": "none", "indeterminate": "none", "needs_review": "note", "error": "error"}
@@ -72,10 +74,43 @@ def _html(text: Column) -> Column:
 def html_documents(findings: DataFrame) -> DataFrame:
     """(file_id, html): a table per file, every text escaped."""
     f = completed(findings)
-    cells = [_html(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("analyzer", "metric")] + [F.coalesce(F.format_string("%.4g", "value"), F.lit("")), _html(F.coalesce("unit", F.lit(""))), _html(F.col("status")), _html(F.coalesce("message", F.lit("")))]
+    cells = [_html(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("analyzer", "metric")] + [F.when(F.col("value").isNull(), "").otherwise(F.format_string("%.4g", "value")), _html(F.coalesce("unit", F.lit(""))), _html(F.col("status")), _html(F.coalesce("message", F.lit("")))]
     row = F.concat(F.lit("<tr><td>"), F.concat_ws("</td><td>", *cells), F.lit("</td></tr>"))
     per = f.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("analyzer", "metric", row.alias("row")))).alias("rows"))
     head = "<!DOCTYPE html><html lang=\"en\"><head><meta charset=\"utf-8\"><title>Findings</title></head><body><table><caption>Findings of "
     columns = "</caption><tr><th scope=\"col\">" + "</th><th scope=\"col\">".join(("analyzer", "metric", "value", "unit", "status", "message")) + "</th></tr>"
     body = F.array_join(F.transform("rows", lambda r: r["row"]), "")
     return per.select("file_id", F.concat(F.lit(head), _html(F.col("file_id").cast("string")), F.lit(columns), body, F.lit("</table></body></html>")).alias("html"))
+
+
+def bundle_documents(findings: DataFrame, files: DataFrame, profile: dict, tool: str = "tonegrid", version: str = "1") -> DataFrame:
+    """(file_id, bundle): the evidence of each file as one JSON document, names in order, findings by analyzer, check and time.
+
+    ``files`` are the rows of :func:`tonegrid.sources.wav.subjects`. The fingerprint covers the findings alone,
+    so it doesn't change with a file's place.
+    """
+    f = completed(findings)
+    order = [F.col("analyzer"), F.col("check_id"), *[F.coalesce(F.get("time_range_ms", F.lit(i)), F.lit(-1.0)).alias(f"t{i}") for i in (0, 1)]]
+    said = sorted(c for c in f.columns if c != "file_id")
+    rounded = {c: F.round(c, 6).alias(c) if f.schema[c].dataType.simpleString() == "double" else F.col(c) for c in said}
+    per = f.select("file_id", F.struct(*order, F.struct(*rounded.values()).alias("finding")).alias("row")).groupBy("file_id").agg(
+        F.transform(F.array_sort(F.collect_list("row"), lambda x, y: F.when(_before(x, y), -1).when(_before(y, x), 1).otherwise(0)), lambda r: r["finding"]).alias("findings"),
+        F.coalesce(F.max_by("row.finding.status", rank(F.col("row.finding.status"))), F.lit("pass")).alias("aggregate_status"),
+    )
+    nulls = {"ignoreNullFields": "false"}
+    described = files.select(F.col("file_id").alias("of"), F.struct(*[F.col(c) for c in ("channel_layout", "channels")], F.round("duration_s", 4).alias("duration_s"), *[F.col(c) for c in ("file_sha256", "frames")], F.col("sample_rate").alias("sample_rate_hz"), "source_path").alias("subject"))
+    settings = _struct(analyzers=F.array(*[F.lit(a) for a in sorted(profile["analyzers"])]), data_classification=F.lit(profile.get("data_classification", "internal")), name=F.lit(profile["name"]), strict=F.lit(bool(profile.get("strict_overlay"))), version=F.lit(str(profile["version"])))
+    whole = _struct(
+        aggregate_status=F.col("aggregate_status"), findings=F.col("findings"), measurement_fingerprint=F.sha2(F.to_json("findings", nulls), 256), profile=settings,
+        schema_version=F.lit("1.0.0"), subject=F.col("subject"), tool=_struct(name=F.lit(tool), version=F.lit(version)),
+    )
+    return per.join(described, F.col("file_id") == F.col("of")).select("file_id", F.to_json(whole, nulls).alias("bundle"))
+
+
+def _before(x: Column, y: Column) -> Column:
+    """Whether one finding comes before another: by analyzer, check and time."""
+    fields = ("analyzer", "check_id", "t0", "t1")
+    out = F.lit(False)
+    for name in reversed(fields):
+        out = (x[name] < y[name]) | ((x[name] == y[name]) & out)
+    return out
