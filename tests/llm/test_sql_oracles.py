@@ -9,6 +9,10 @@ from tonegrid.llm import catalog
 ON_DOCUMENTS = [n for n in catalog.ORACLES if n != "op3_chat_formatting"]
 
 
+def labels():
+    return pa.table({"doc_id": pa.array([0, 3, 3, 5, None], pa.int64()), "quality": pa.array([1, 0, 1, None, 1], pa.int32()), "toxic": pa.array([0, 1, 0, 1, 1], pa.int32())})
+
+
 def distinct_ids():
     docs = awkward()
     return docs.set_column(0, "doc_id", pa.array(range(docs.num_rows), pa.int64()))
@@ -16,13 +20,13 @@ def distinct_ids():
 
 @pytest.mark.parametrize("name", ON_DOCUMENTS)
 def test_awkward_documents(spark, tmp_path, name):
-    folder = written(tmp_path, documents=clashing(distinct_ids()))
+    folder = written(tmp_path, documents=clashing(distinct_ids()), labels=labels())
     assert rows_of(catalog.QUERIES[name](spark, folder)) == rows_of(from_sql(catalog.ORACLES[name], folder))
 
 
 @pytest.mark.parametrize("name", ON_DOCUMENTS)
 def test_empty_documents(spark, tmp_path, name):
-    folder = written(tmp_path, documents=DOCUMENTS.empty_table())
+    folder = written(tmp_path, documents=DOCUMENTS.empty_table(), labels=labels())
     assert catalog.QUERIES[name](spark, folder).count() == 0
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tonegrid.llm import chat_format, decontaminate, exact_dedup, line_dedup, mixing, quality, secret_scan, simhash, substring_dedup, url_filter
+from tonegrid.llm import chat_format, decontaminate, exact_dedup, fill_middle, filter_audit, line_dedup, mixing, quality, secret_scan, simhash, substring_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_secret_scans": secret_scan.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_url_filters": url_filter.query,
     "op9_quality_classifier": quality.query,
     "op10_substring_dedup": substring_dedup.query,
+    "op11_filter_audit": filter_audit.query,
+    "op12_token_files": token_files.query,
+    "op13_fill_in_middle": fill_middle.query,
 }
 
 ORACLES = {
@@ -23,4 +26,6 @@ ORACLES = {
     "op3_chat_formatting": chat_format.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
+    "op13_fill_in_middle": fill_middle.ORACLE,
 }

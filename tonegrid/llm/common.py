@@ -22,18 +22,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of our own, by application, where a session in local mode names none.
+_OWN_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Where the session names none: one of our own in local mode, an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.conf.get("spark.master", "")
-        if not re.match(r"local($|\[)", master):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
+    if folder:
+        return folder.rstrip("/")
+    master, app = spark.conf.get("spark.master", ""), spark.conf.get("spark.app.id", "")
+    if not re.match(r"local($|\[)", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
+    if app not in _OWN_DIRS:
         own = tempfile.mkdtemp(prefix="tonegrid-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
-        folder = "file://" + own
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+        _OWN_DIRS[app] = "file://" + own
+    return _OWN_DIRS[app]
 
 
 #: Paths of the tables written by this driver, in order, for :func:`discard`.
