@@ -19,8 +19,9 @@ from tonegrid.operators import comparison, kernels, policy
 from tonegrid.operators.analysis import analyze, known_parameters, load_plugin
 from tonegrid.operators.audit import read_logs, verify_logs
 from tonegrid.sources import sinks
+from tonegrid.sources.audio import audio_headers, file_hashes, scan_audio
 from tonegrid.sources.profiles import ProfileError, load_profile
-from tonegrid.sources.wav import read_audio, subjects
+from tonegrid.sources.wav import subjects
 
 OK, FINDING, USAGE = 0, 1, 2
 GOLDEN = ("file_id", "analyzer", "metric", "value", "status")
@@ -78,10 +79,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command == "audit":
         verify_logs(read_logs(spark, args.path)).write.json(args.output)
         return FINDING if spark.read.schema("log string, line int, problem string").json(args.output).limit(1).count() else OK
-    chunks = read_audio(spark, args.path)
     if args.command == "inspect":
-        subjects(chunks).write.json(args.output)
+        audio_headers(spark, args.path).write.json(args.output)
         return OK
+    chunks = scan_audio(spark, args.path)
     if args.command == "compliance":
         good = chunks.where("error IS NULL")
         measured = kernels.integrated_loudness(kernels.block_loudness(good)).join(kernels.true_peak(good), "file_id")
@@ -93,7 +94,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(error, file=sys.stderr)
         return USAGE
     if args.command in ("compare", "freeze", "verify"):
-        return against(args, spark, lambda path: analyze(by_name(read_audio(spark, path)).persist(StorageLevel.DISK_ONLY), profile, args.only, args.skip))
+        return against(args, spark, lambda path: analyze(by_name(scan_audio(spark, path)).persist(StorageLevel.DISK_ONLY), profile, args.only, args.skip))
     # every analyzer reads the chunks: decoded once, recomputed where an executor is lost
     chunks = chunks.persist(StorageLevel.DISK_ONLY)
     findings = analyze(chunks, profile, args.only, args.skip).persist()
@@ -102,7 +103,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif args.format == "json":
         sinks.write_json(findings, args.output)
     elif args.format == "bundle":
-        sinks.bundle_documents(findings, subjects(chunks), profile).select("bundle").write.text(args.output)
+        sinks.bundle_documents(findings, subjects(chunks).drop("file_sha256").join(file_hashes(spark, args.path), "source_path"), profile).select("bundle").write.text(args.output)
     else:
         documents = sinks.sarif_documents(findings) if args.format == "sarif" else sinks.html_documents(findings)
         documents.select(F.col(args.format)).write.text(args.output)

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tonegrid.sources.formats import AudioError, layout, samples
+
 CHUNK = 1 << 17
 #: Seconds after a chunk that come with it (the longest block of any analyzer), and frames before it (what a filter remembers).
 AFTER_S, BEFORE = 3.0, 1 << 16
@@ -27,51 +29,20 @@ SUFFIXES = (".wav", ".flac", ".mp3", ".ogg", ".aiff", ".aif")
 READABLE = (".wav",)
 
 
-class WavError(ValueError):
-    """A file that isn't the audio it should be."""
+WavError = AudioError
 
 
 def parse(raw: bytes) -> tuple[int, int, np.ndarray]:
-    """(sample rate, bit depth, float32 samples by channel) of a RIFF WAVE file."""
-    if len(raw) < 12 or raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
-        raise WavError("not a RIFF WAVE file")
-    at, form, data = 12, None, None
-    while at + 8 <= len(raw):
-        name, size = raw[at : at + 4], struct.unpack_from("<I", raw, at + 4)[0]
-        body = raw[at + 8 : at + 8 + size]
-        if name == b"fmt " and len(body) >= 16:
-            form = struct.unpack_from("<HHIIHH", body)
-            if form[0] == 0xFFFE and len(body) >= 26:
-                form = (struct.unpack_from("<H", body, 24)[0], *form[1:])
-        elif name == b"data":
-            data = body
-        at += 8 + size + size % 2
-    if form is None or data is None:
-        raise WavError("no format or no data chunk")
-    tag, channels, rate, _, _, depth = form
-    if not channels or not rate:
-        raise WavError("no channels or no sample rate")
-    if tag == 3 and depth in (32, 64):
-        x = np.frombuffer(data[: len(data) // (depth // 8) * (depth // 8)], f"<f{depth // 8}").astype(np.float32)
-    elif tag == 1 and depth == 24:
-        b = np.frombuffer(data[: len(data) // 3 * 3], np.uint8).reshape(-1, 3).astype(np.int32)
-        x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8).astype(np.float32) / 2**23
-    elif tag == 1 and depth == 8:
-        x = (np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128
-    elif tag == 1 and depth in (16, 32):
-        x = (np.frombuffer(data[: len(data) // (depth // 8) * (depth // 8)], f"<i{depth // 8}") / 2.0 ** (depth - 1)).astype(np.float32)
-    else:
-        raise WavError(f"format {tag} of {depth} bits isn't read")
-    if not len(x):
-        raise WavError("no samples")
-    return rate, depth, x[: len(x) // channels * channels].reshape(-1, channels).T
-
-
-def encode(samples: np.ndarray, rate: int) -> bytes:
+    """(sample rate, bit depth, float32 samples by channel) of a whole file."""
+    of = layout(lambda at, n: raw[at : at + n], len(raw))
+    return of.rate, of.depth, samples(raw[of.data : of.data + of.frames * of.width], of)
+
+
+def encode(x: np.ndarray, rate: int) -> bytes:
     """A 16-bit PCM WAV of float samples by channel: 32-bit fixed point, saturated, then its upper half."""
-    fixed = np.clip(np.rint(np.atleast_2d(samples).astype(np.float32).astype(np.float64) * 2**31), -(2**31), 2**31 - 1).astype(np.int64) >> 16
+    fixed = np.clip(np.rint(np.atleast_2d(x).astype(np.float32).astype(np.float64) * 2**31), -(2**31), 2**31 - 1).astype(np.int64) >> 16
     data = fixed.T.astype("<i2").tobytes()
-    channels = np.atleast_2d(samples).shape[0]
+    channels = np.atleast_2d(x).shape[0]
     head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(data), b"WAVE", b"fmt ", 16, 1, channels, rate, rate * channels * 2, channels * 2, 16, b"data", len(data))
     return head + data
 
