@@ -119,13 +119,14 @@ def test_known_parts_are_bounded(monkeypatch):
     with open(TOKENIZER) as f:
         run = token_files._encode(f.read(), None, True)
     plain = Tokenizer.from_file(TOKENIZER)
-    texts = [prose(i, 40) + " " + "y" * 100 + str(i) for i in range(6)]
+    texts = [prose(i, 40) + " " + "y" * 100 + str(i) + f" own{i}" for i in range(6)]
     batch = pa.record_batch([pa.array(range(6)), pa.array(texts)], ["doc_id", "text"])
     token_files._LOADED.clear()
     (out,) = run([batch])
     assert [np.frombuffer(x, "<u4").tolist() for x in out["ids"].to_pylist()] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
-    ((_, known),) = token_files._LOADED.values()
-    assert len(known) <= 26 and max(map(len, known)) <= token_files.LONG
+    ((_, parts),) = token_files._LOADED.values()
+    assert len(parts.young) <= 26 and len(parts.old) <= 26 and max(map(len, [*parts.young, *parts.old])) <= token_files.LONG
+    assert parts.old and prose(0, 40).split()[0].encode() in {*parts.young, *parts.old}
     token_files._LOADED.clear()
 
 

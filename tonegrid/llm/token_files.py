@@ -9,8 +9,10 @@ Tasks write files of their own, and only what they report when all have ended en
 of lost or repeated tasks are never read and are deleted. The manifest has one entry a file.
 
 A tokenizer that never joins across white space gives for a text what it gives for its parts between
-white space; those repeat, so each worker remembers the ids of up to ``KNOWN`` of them (parts over
-``LONG`` bytes are encoded anew). :func:`encoded` takes whole texts instead where ``by_words`` is off.
+white space; those repeat, so each worker remembers the ids of two generations of up to ``KNOWN`` of them
+(what is asked for moves to the young one, the old one is dropped when that is full; parts over ``LONG`` bytes
+are encoded anew). The unknown parts of a text are encoded together and told apart by their places.
+:func:`encoded` takes whole texts instead where ``by_words`` is off.
 
 Defined results: a null text is empty and still has its end id; rows with a null id come first; rows of
 one id follow each other, ordered by a hash of their text; an empty table gives a manifest without files;
@@ -36,7 +38,7 @@ from tonegrid.llm.common import WRITTEN, shared_dir, table, text_of
 
 #: Ids of a block (a multiple of eight), ids after which a file ends, ids that a reader unpacks at once.
 BLOCK, FILE_IDS, READ_IDS = 4096, 1 << 25, 1 << 20
-KNOWN, LONG = 1 << 18, 64
+KNOWN, LONG = 1 << 19, 64
 MANIFEST = "manifest.json"
 _MAGIC, _FOOTER = b"TGPACK01", struct.Struct("<IIQQQQ8s")
 
@@ -291,10 +293,48 @@ class PackedReader(DataSourceReader):
         file.close()
 
 
-#: Of this worker process, by tokenizer: (tokenizer, ids of parts of texts).
+#: Of this worker process, by tokenizer: (tokenizer, the ids of parts of texts).
 _LOADED: dict[str, tuple] = {}
 
 
+class Parts:
+    """Ids of parts of texts between white space, remembered within bounds."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def encoded(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of each part, encoded in one text; a token belongs to the part in which it begins."""
+        import numpy as np
+
+        texts = [p.decode() for p in parts]
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        at = np.fromiter((start for start, _ in found.offsets), np.int64, len(found.ids))
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        bounds, raw = (4 * np.searchsorted(at, begin)).tolist(), np.array(found.ids, "<u4").tobytes()
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def of(self, text: bytes) -> bytes:
+        parts = text.split()
+        new = list(set(parts).difference(self.young))
+        if new:
+            if len(self.young) + len(new) > KNOWN:
+                self.young, self.old = {}, self.young
+                new = list(set(parts))
+            kept = {p: self.old[p] for p in new if p in self.old}
+            unknown = [p for p in new if p not in kept]
+            self.young.update(kept)
+            if unknown:
+                self.young.update(zip(unknown, self.encoded(unknown), strict=True))
+        out = b"".join(map(self.young.__getitem__, parts))
+        for p in new:
+            if len(p) > LONG:
+                del self.young[p]
+        return out
+
+
 def _encode(definition: str, end_id: int | None, by_words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -304,27 +344,11 @@ def _encode(definition: str, end_id: int | None, by_words: bool):
 
         if definition not in _LOADED:
             _LOADED.clear()
-            _LOADED[definition] = (Tokenizer.from_str(definition), {})
-        tokenizer, known = _LOADED[definition]
-        raw = lambda e: np.array(e.ids, "<u4").tobytes()
+            tokenizer = Tokenizer.from_str(definition)
+            _LOADED[definition] = (tokenizer, Parts(tokenizer))
+        tokenizer, parts = _LOADED[definition]
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-
-        def ids(text: bytes) -> bytes:
-            if not by_words:
-                return raw(tokenizer.encode(text.decode(), add_special_tokens=False))
-            words = text.split()
-            new = [w for w in set(words) if w not in known]
-            if new:
-                if len(known) + len(new) > KNOWN:
-                    known.clear()
-                    new = list(set(words))
-                known.update(zip(new, map(raw, tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)), strict=True))
-            out = b"".join(map(known.__getitem__, words))
-            for w in new:
-                if len(w) > LONG:
-                    del known[w]
-            return out
-
+        ids = parts.of if by_words else lambda text: np.array(tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([ids(t.as_buffer().to_pybytes()) + end for t in batch["text"]], pa.binary())], ["doc_id", "ids"])
 
