@@ -11,7 +11,7 @@ of lost or repeated tasks are never read and are deleted. The manifest has one e
 A tokenizer that never joins across white space gives for a text what it gives for its parts between
 white space; those repeat, so each worker remembers the ids of two generations of up to ``KNOWN`` of them
 (what is asked for moves to the young one, the old one is dropped when that is full; parts over ``LONG`` bytes
-are encoded anew). The unknown parts of a text are encoded together and told apart by their places.
+are encoded anew). The unknown parts of a text are encoded together, ``TOGETHER`` at a time, and told apart by their places.
 :func:`encoded` takes whole texts instead where ``by_words`` is off.
 
 Defined results: a null text is empty and still has its end id; rows with a null id come first; rows of
@@ -38,7 +38,7 @@ from tonegrid.llm.common import WRITTEN, shared_dir, table, text_of
 
 #: Ids of a block (a multiple of eight), ids after which a file ends, ids that a reader unpacks at once.
 BLOCK, FILE_IDS, READ_IDS = 4096, 1 << 25, 1 << 20
-KNOWN, LONG = 1 << 19, 64
+KNOWN, LONG, TOGETHER = 3 << 17, 64, 128
 MANIFEST = "manifest.json"
 _MAGIC, _FOOTER = b"TGPACK01", struct.Struct("<IIQQQQ8s")
 
@@ -306,33 +306,35 @@ class Parts:
         self.old: dict[bytes, bytes] = {}
 
     def encoded(self, parts: list[bytes]) -> list[bytes]:
-        """The ids of each part, encoded in one text; a token belongs to the part in which it begins."""
+        """The ids of each part, encoded in one text; a part's ids begin with the token of its first character."""
         import numpy as np
 
         texts = [p.decode() for p in parts]
         found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        at = np.fromiter((start for start, _ in found.offsets), np.int64, len(found.ids))
-        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        bounds, raw = (4 * np.searchsorted(at, begin)).tolist(), np.array(found.ids, "<u4").tobytes()
-        return [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        raw, at, starts = np.array(found.ids, "<u4").tobytes(), 0, []
+        for t in texts:
+            starts.append(found.char_to_token(at))
+            at += len(t) + 1
+        if None in starts:  # a first character without a token
+            return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        return [raw[4 * a : 4 * b] for a, b in zip(starts, [*starts[1:], len(found.ids)], strict=True)]
 
     def of(self, text: bytes) -> bytes:
         parts = text.split()
-        new = list(set(parts).difference(self.young))
-        if new:
-            if len(self.young) + len(new) > KNOWN:
+        distinct = set(parts)
+        known = {p: ids for p in distinct if (ids := self.young.get(p)) is not None}
+        if len(known) < len(distinct):
+            rest = [p for p in distinct if p not in known]
+            if len(self.young) + len(rest) > KNOWN:
                 self.young, self.old = {}, self.young
-                new = list(set(parts))
-            kept = {p: self.old[p] for p in new if p in self.old}
-            unknown = [p for p in new if p not in kept]
-            self.young.update(kept)
-            if unknown:
-                self.young.update(zip(unknown, self.encoded(unknown), strict=True))
-        out = b"".join(map(self.young.__getitem__, parts))
-        for p in new:
-            if len(p) > LONG:
-                del self.young[p]
-        return out
+            new = {p: ids for p in rest if (ids := self.old.get(p)) is not None}
+            unknown = [p for p in rest if p not in new]
+            for i in range(0, len(unknown), TOGETHER):
+                some = unknown[i : i + TOGETHER]
+                new.update(zip(some, self.encoded(some), strict=True))
+            known.update(new)
+            self.young.update((p, ids) for p, ids in new.items() if len(p) <= LONG)
+        return b"".join(map(known.__getitem__, parts))
 
 
 def _encode(definition: str, end_id: int | None, by_words: bool):
