@@ -167,11 +167,25 @@ def test_compare_freeze_and_verify(spark, tmp_path):
     run = lambda n, command, path, *more: main([command, path, *only, *more, "--output", f"{tmp_path}/o{n}"], spark)
     assert run(1, "compare", soft, "--other", loud) == 1 and run(2, "compare", soft, "--other", soft) == 0
     got = {r.file_id: r for r in spark.read.json(f"{tmp_path}/o1").collect()}
-    assert got["y"].regression and not got["x"].regression and "clipping" in got["y"].only_in_b
+    assert got["y"].regression and not got["x"].regression and got["y"].only_in_b.split(",") == ["AS-LOUD-001", "AS-PEAK-001", "AS-PEAK-002"]
+    assert {d.metric: d.delta for d in got["y"].deltas}["true_peak"] == pytest.approx(20, abs=0.01) and "AS-PEAK-001" in got["y"].reasons[0] and got["x"].reasons == []
     assert run(3, "freeze", soft, "--golden", f"{tmp_path}/golden") == 0
     assert run(4, "verify", soft, "--golden", f"{tmp_path}/golden") == 0 and run(5, "verify", loud, "--golden", f"{tmp_path}/golden") == 1
 
 
+def test_only_rules_of_objective_analyzers_regress(spark):
+    a = findings(spark, ("f", "loudness", "integrated_loudness", -20.0, "pass"), ("f", "clipping", "clipped_sample_pct", 1.0, "fail"), ("f", "glitch", "glitch_event_count", 1.0, "warning"), ("g", "lra", "loudness_range", 3.0, "pass"))
+    b = findings(
+        spark, ("f", "loudness", "integrated_loudness", -12.0, "needs_review"), ("f", "clipping", "error", None, "error"), ("f", "glitch", "glitch_event_count", 2.0, "fail"), ("f", "glitch", "odd", 2.0, "fail"),
+        ("g", "lra", "loudness_range", 9.0, "warning"), ("g", "timbre_distance", "timbre_distance", 0.12345678, "needs_review"), ("h", "true_peak", "true_peak", 1.0, "fail"),
+    )
+    got = {r.file_id: r for r in comparison.comparison(a, b, "file_id").collect()}
+    assert (got["f"].only_in_a, got["f"].only_in_b, got["f"].unchanged, got["f"].regression) == ("AS-PEAK-002", "AS-LOUD-001", "AS-DEF-001", True)
+    assert [(d.metric, d.delta) for d in got["f"].deltas] == [("integrated_loudness", 8.0)] and got["f"].reasons == ["new objective defects: AS-LOUD-001"]
+    assert not got["g"].regression and [(o.rule_id, o.value, o.status) for o in got["g"].observations] == [("AS-DESC-001", 0.123457, "needs_review"), ("AS-DESC-007", 9.0, "warning")]
+    assert got["h"].only_in_b == "AS-PEAK-001" and got["h"].deltas is None
+
+
 def test_audit_logs(spark, tmp_path):
     from tonegrid.operators import audit
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonegrid.operators import comparison, kernels, policy
-from tonegrid.operators.analysis import analyze, known_parameters, load_plugin
+from tonegrid.operators.analysis import analyze, known_parameters, load_plugin, release
 from tonegrid.operators.audit import read_logs, verify_logs
 from tonegrid.sources import sinks
 from tonegrid.sources.audio import audio_headers, file_hashes, scan_audio
@@ -39,9 +39,7 @@ def against(args: argparse.Namespace, spark: SparkSession, findings: Callable[[s
         return OK
     if args.command == "compare":
         other = findings(args.other)
-        changes = comparison.flag_changes(mine, other, "file_id")
-        deltas = comparison.metric_deltas(mine, other, "file_id").groupBy("file_id").agg(F.collect_list(F.struct("analyzer", "metric", "value_a", "value_b", "delta")).alias("deltas"))
-        changes.join(deltas, "file_id", "left").write.json(args.output)
+        comparison.comparison(mine, other, "file_id").write.json(args.output)
         return FINDING if spark.read.json(args.output).where("regression").limit(1).count() else OK
     golden = spark.read.json(args.golden).select(*GOLDEN)
     side = lambda df: df.select(F.col("file_id").alias("fixture"), *GOLDEN[1:])
@@ -94,7 +92,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(error, file=sys.stderr)
         return USAGE
     if args.command in ("compare", "freeze", "verify"):
-        return against(args, spark, lambda path: analyze(by_name(scan_audio(spark, path)).persist(StorageLevel.DISK_ONLY), profile, args.only, args.skip))
+        # always the same analyzers, and what they say as it is: no policy raises it
+        fixed = profile | {"analyzers": {a: profile["analyzers"].get(a, {}) for a in comparison.COMPARED}, "strict_overlay": {}}
+        done = against(args, spark, lambda path: analyze(by_name(scan_audio(spark, path)).persist(StorageLevel.DISK_ONLY), fixed, args.only, args.skip))
+        release()
+        return done
     # every analyzer reads the chunks: decoded once, recomputed where an executor is lost
     chunks = chunks.persist(StorageLevel.DISK_ONLY)
     findings = analyze(chunks, profile, args.only, args.skip).persist()
@@ -109,6 +111,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         documents.select(F.col(args.format)).write.text(args.output)
     bad = findings.where(F.col("status").isin("fail", "error")).limit(1).count()
     findings.unpersist()
+    release()
     chunks.unpersist()
     return FINDING if bad else OK
 

@@ -3,6 +3,9 @@
 An analyzer is a function of (chunks, parameters) to (file_id, value, status, and what else it says). Which
 files it applies to is an expression on their headers; other files get a row that says so, and files that
 it applies to but finds nothing in are not applicable as well: none is left out silently.
+
+An analyzer that fails on a file, or takes too long over one of its chunks, gives that file an error row; its
+other files and all other analyzers stay as they are.
 """
 
 from __future__ import annotations
@@ -12,11 +15,12 @@ from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonegrid.functions.columns import db, lufs
-from tonegrid.operators import kernels, levels, policy, spectra
+from tonegrid.operators import envelopes, events, kernels, levels, policy, spectra
 from tonegrid.sources.wav import channels_of, mono, subjects
 
 
@@ -36,7 +40,7 @@ ANALYZERS: dict[str, Analyzer] = {}
 #: How sure each analyzer's findings are. pitch_f0 says so by itself.
 CONFIDENCE = {
     "inspect": 1.0, "loudness": 0.95, "lra": 0.9, "true_peak": 0.97, "clipping": 0.99, "mono_compat": 0.9, "channel_balance": 0.92, "goniometer": 0.9, "binaural_compat": 0.75, "drn": 0.85,
-    "acoustic_context": 0.75, "spectral_health": 0.9, "spectral_irregularity": 0.85, "timbre_distance": 0.8, "harmonic_tension": 0.6, "inharmonicity": 0.65, "fatigue_index": 0.6, "melodic_contour": 0.6,
+    "acoustic_context": 0.75, "glitch": 0.85, "loop": 0.95, "transient": 0.75, "resampling": 0.7, "voice_artifacts": 0.65, "speech_rate": 0.6, "rhythmic_grid_alignment": 0.55, "spectral_health": 0.9, "spectral_irregularity": 0.85, "timbre_distance": 0.8, "harmonic_tension": 0.6, "inharmonicity": 0.65, "fatigue_index": 0.6, "melodic_contour": 0.6,
 }
 #: Analyzers added by plugins: functions of (good chunks, parameters) to findings, with the parameters they take.
 REGISTRY: dict[str, tuple[Callable[[DataFrame, dict], DataFrame], tuple[str, ...]]] = {}
@@ -165,10 +169,114 @@ def dynamic_range(chunks: DataFrame, params: dict) -> DataFrame:
     return out.withColumn("status", passes() if params["dr_min_db"] is None else warn(F.col("value") < params["dr_min_db"]))
 
 
-@analyzer("acoustic_context", "acoustic_context.noise_floor", "noise_floor_db", "dB", "10th percentile of 50 ms RMS", "frames >= 4096")
-def noise_floor(chunks: DataFrame, params: dict) -> DataFrame:
-    rms = kernels.per_frame(mono(chunks), kernels.seconds(0.05), kernels.seconds(0.05), lambda x, rate: (x * x).mean(1) ** 0.5).where("value > 1e-12")
-    return rms.groupBy("file_id").agg((20 * F.log10(F.percentile("value", 0.1))).alias("value")).withColumn("status", passes())
+def angles(x: np.ndarray, rate: int) -> np.ndarray:
+    """Degrees between the level spectra of each frame and of the next one, which lies a hop further on in the same row."""
+    def shape(frames: np.ndarray) -> np.ndarray:
+        level = 20 * np.log10(np.abs(np.fft.rfft(frames * kernels.periodic_hann(SCENE[0]), axis=1)) + 1e-12)
+        return level / (np.linalg.norm(level, axis=1, keepdims=True) + 1e-12)
+
+    near = shape(np.concatenate((x[:, : SCENE[0]], x[-1:, SCENE[1] :])))
+    return np.degrees(np.arccos(np.clip((near[1:] * near[:-1]).sum(1), -1.0, 1.0)))
+
+
+#: Frame and hop of scenes.
+SCENE = (2048, 512)
+
+
+@analyzer("acoustic_context", "acoustic_context.noise_floor", "noise_floor_db", "dB", "spectral angle, backward integration, 10th percentile of 50 ms RMS", "frames >= 4096", scene_change_threshold_deg=30.0, max_rt60_s=2.0)
+def acoustic_context(chunks: DataFrame, params: dict) -> DataFrame:
+    """Three findings a file: scene changes, reverberation and noise floor."""
+    signals, files = mono(chunks), subjects(chunks).select("file_id", "frames", "sample_rate")
+    changes = kernels.per_frame(signals, lambda rate: sum(SCENE), lambda rate: SCENE[1], angles).groupBy("file_id").agg(F.count_if(F.col("value") > params["scene_change_threshold_deg"]).cast("double").alias("value"))
+    scenes = files.join(changes, "file_id", "left").select("file_id", F.coalesce("value", F.lit(0.0)).alias("value"))
+    decay = files.join(events.decay_time(signals), "file_id", "left").select("file_id", F.when(F.col("frames") >= F.col("sample_rate"), F.coalesce("rt60", F.lit(0.0))).otherwise(0.0).alias("value"))
+    rms = kernels.per_frame(signals, kernels.seconds(0.05), kernels.seconds(0.05), lambda x, rate: (x * x).mean(1) ** 0.5).where("value > 1e-12")
+    floor = files.join(rms.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), (20 * F.log10(F.percentile("value", 0.1) + 1e-12)).alias("floor")), "file_id", "left")
+    floor = floor.select("file_id", F.coalesce("floor", F.lit(-120.0)).alias("value"))
+    said = (
+        (scenes, "acoustic_context.scene_changes", "scene_change_count", "events", warn(F.col("value") > 0), 0.7),
+        (decay, "acoustic_context.rt60", "reverberation_time", "s", warn(F.col("value") > params["max_rt60_s"]), 0.6),
+        (floor, "acoustic_context.noise_floor", "noise_floor_db", "dB", passes(), 0.75),
+    )
+    return reduce(DataFrame.unionByName, [df.select("file_id", "value", status.alias("status"), *[F.lit(v).alias(n) for n, v in (("check_id", check), ("metric", metric), ("unit", unit), ("confidence", sure))]) for df, check, metric, unit, status, sure in said])
+
+
+@analyzer("glitch", "glitch.summary", "glitch_event_count", "events", "second differences, silent runs in loud surroundings, repeated blocks", click_sensitivity=6.0, dropout_min_ms=10.0, dropout_threshold=0.001, repeat_min_samples=32, min_events_for_warning=1)
+def glitch(chunks: DataFrame, params: dict) -> DataFrame:
+    """A warning for each channel with events; a file without any passes."""
+    channels = channels_of(chunks)
+    found = events.clicks(channels, params["click_sensitivity"]).select("file_id", "channel", F.lit(1).alias("n"))
+    found = found.union(events.dropouts(channels, params["dropout_threshold"], params["dropout_min_ms"]).select("file_id", "channel", F.lit(1).alias("n")))
+    found = found.union(events.repetitions(channels, params["repeat_min_samples"]).select("file_id", "channel", "n"))
+    per = found.groupBy("file_id", "channel").agg(F.sum("n").alias("n"))
+    both = subjects(chunks).select("file_id").join(per, "file_id", "left")
+    some = F.col("n").isNotNull()
+    return both.select(
+        "file_id", F.coalesce("n", F.lit(0)).cast("double").alias("value"), warn(some).alias("status"), F.when(some, F.concat(F.lit("glitch.channel_"), F.col("channel"))).otherwise("glitch.summary").alias("check_id"),
+        F.when(some, F.concat(F.col("n"), F.lit(" glitch events on channel "), F.col("channel"))).otherwise("no glitches detected").alias("message"), F.when(some, 0.85).otherwise(0.95).alias("confidence"),
+    )
+
+
+@analyzer("loop", "loop.point", "loop_amplitude_jump", "amplitude", "step and slope from the loop's end to its beginning", amplitude_threshold=0.05, derivative_threshold=0.1, loop_point_ms=None, loop_point_samples=None)
+def loop(chunks: DataFrame, params: dict) -> DataFrame:
+    """A row for each channel; without a loop point, or with one outside of the file, there is none."""
+    ms, point = params["loop_point_ms"], params["loop_point_samples"]
+    at = F.lit(point).cast("long") if point is not None else F.floor(F.col("sample_rate") * F.lit(ms).cast("double") / 1000.0)
+    of = lambda frame: F.max(F.when((frame >= F.col("start")) & (frame < F.col("start") + F.size("samples")), F.try_element_at("samples", (frame - F.col("start") + 1).cast("int")).cast("double")))
+    places = {"last": at - 1, "before": at - 2, "first": F.lit(0), "second": F.lit(1)}
+    asked = channels_of(chunks).where((at > 1) & (at <= F.col("frames")))
+    ends = asked.groupBy("file_id", "channel").agg(*[of(p).alias(n) for n, p in places.items()])
+    jump, turn = F.abs(F.col("last") - F.col("first")), F.abs((F.col("last") - F.col("before")) - (F.col("second") - F.col("first")))
+    bad = (jump > params["amplitude_threshold"]) | (turn > params["derivative_threshold"])
+    return ends.select("file_id", F.round(jump, 5).alias("value"), F.when(bad, "fail").otherwise("pass").alias("status"), F.concat(F.lit("loop.channel_"), F.col("channel")).alias("check_id"))
+
+
+@analyzer("transient", "transient.smearing", "attack_time_ms", "ms", "onsets of the envelope, time from 10 to 90 % of the peak", "frames >= 1024", max_attack_ms=5.0)
+def transient(chunks: DataFrame, params: dict) -> DataFrame:
+    attacks = events.onset_attacks(mono(chunks))
+    none = F.when(F.col("worst").isNull(), "onsets found but attack time undetermined")
+    return attacks.select("file_id", F.round("worst", 3).alias("value"), F.when(F.col("worst").isNull(), "not_applicable").otherwise(warn(F.col("worst") > params["max_attack_ms"])).alias("status"), none.alias("message"))
+
+
+@analyzer("resampling", "resampling.artifacts", "aliasing_level_db", "dB", "level about a quarter of the rate against that well below it", "frames >= 1024", aliasing_threshold_db=-60.0, bandwidth_drop_db=-30.0)
+def resampling(chunks: DataFrame, params: dict) -> DataFrame:
+    rates = subjects(chunks).select("file_id", (F.col("sample_rate") / 4.0).alias("quarter"))
+    power = kernels.segment_power(chunks, 4096, padded=True).join(rates, "file_id")
+    mean = lambda inside: F.avg(F.when(inside, F.col("power")))
+    level = 10 * F.log10((mean((F.col("hz") > 0.9 * F.col("quarter")) & (F.col("hz") < 1.1 * F.col("quarter"))) + 1e-12) / (mean(F.col("hz") < 0.5 * F.col("quarter")) + 1e-12))
+    width = F.max(F.when(10 * F.log10(F.col("power") + 1e-12) > params["bandwidth_drop_db"], F.col("hz")).otherwise(0.0))
+    per = power.groupBy("file_id").agg(F.round(level, 2).alias("value"), width.alias("width"), F.first("quarter").alias("quarter"))
+    bad = F.col("value") > params["aliasing_threshold_db"]
+    said = F.when(bad, F.format_string("possible aliasing at %.0f Hz", "quarter")).otherwise(F.format_string("no significant aliasing, effective bandwidth %.0f Hz", "width"))
+    return per.select("file_id", "value", warn(bad).alias("status"), said.alias("message"))
+
+
+def bursts(x: np.ndarray, rate: int, sibilance_db: float, plosive_db: float) -> np.ndarray:
+    """How many of the two kinds of bursts each frame of 1024 samples is: sibilance at 5 to 10 kHz, a plosive at 80 to 300 Hz."""
+    hz, mag = np.fft.rfftfreq(1024, 1 / rate), np.abs(np.fft.rfft(x * kernels.periodic_hann(1024), axis=1))
+    total, out = mag.mean(1) + 1e-12, np.zeros(len(x))
+    for low, high, limit in ((5000, 10_000, sibilance_db), (80, 300, plosive_db)):
+        band = mag[:, (hz >= low) & (hz <= high)]
+        out += 10 * np.log10(((band.mean(1) if band.shape[1] else 0.0) + 1e-12) / total) > limit
+    return out
+
+
+@analyzer("voice_artifacts", "voice_artifacts.objective", "artifact_frame_count", "frames", "bursts in the bands of sibilants and plosives", "frames >= 2048", sibilance_threshold_db=6.0, plosive_threshold_db=10.0)
+def voice_artifacts(chunks: DataFrame, params: dict) -> DataFrame:
+    sibilance, plosive = params["sibilance_threshold_db"], params["plosive_threshold_db"]
+    frames = kernels.per_frame(mono(chunks), lambda rate: 1024, lambda rate: 256, lambda x, rate: bursts(x, rate, sibilance, plosive))
+    return frames.groupBy("file_id").agg(F.sum("value").alias("value")).withColumn("status", warn(F.col("value") > 0))
+
+
+@analyzer("speech_rate", "speech_rate.syllables", "syllables_per_second", "syl/s", "fluctuation of the analytic envelope at 2 to 7 Hz", "frames >= sample_rate", max_syllables_per_sec=7.0)
+def speech_rate(chunks: DataFrame, params: dict) -> DataFrame:
+    rate = envelopes.syllable_rate(mono(chunks))
+    return rate.select("file_id", F.round("value", 2).alias("value"), warn(F.col("value") > params["max_syllables_per_sec"]).alias("status"))
+
+
+@analyzer("rhythmic_grid_alignment", "rhythmic_grid.descriptor", "rhythmic_grid_alignment", "0-1", "variation of the intervals between rises of the analytic envelope", "frames >= 2 * sample_rate")
+def rhythmic_grid(chunks: DataFrame, params: dict) -> DataFrame:
+    return envelopes.grid_alignment(mono(chunks)).select("file_id", F.round("value", 4).alias("value"), passes().alias("status"))
 
 
 @analyzer("spectral_health", "spectral_health.descriptors", "spectral_centroid", "Hz", "mean magnitude spectrum", "frames >= 256", n_fft=2048, hop=512)
@@ -241,46 +349,88 @@ def pitch(chunks: DataFrame, params: dict) -> DataFrame:
     return f0.select("file_id", F.col("median_hz").alias("value"), "status", F.round("voiced_share", 3).alias("confidence"))
 
 
-def finding(df: DataFrame, analyzer: str, check_id: Column, metric: Column, value: Column, unit: str, status: Column, method: str, message: Column | None = None, confidence: Column | None = None) -> DataFrame:
+def finding(df: DataFrame, analyzer: str, check_id: Column, metric: Column, value: Column, unit: str | Column, status: Column, method: str, message: Column | None = None, confidence: Column | None = None) -> DataFrame:
     """Findings in the common columns; what isn't finite is null, and says so."""
     number = value.cast("double")
     finite = ~F.isnan(number) & (F.abs(number) < float("inf"))
-    shown = F.when(finite, number)
-    said = F.coalesce(*([message] if message is not None else []), F.when(shown.isNotNull(), F.concat_ws(" ", metric, F.lit("is"), F.format_string("%.3f", shown), F.lit(unit))), F.concat(metric, F.lit(" has no value")))
+    shown, unit = F.when(finite, number), F.lit(unit)
+    said = F.coalesce(*([message] if message is not None else []), F.when(shown.isNotNull(), F.concat_ws(" ", metric, F.lit("is"), F.format_string("%.3f", shown), unit)), F.concat(metric, F.lit(" has no value")))
+    limits = F.when(number.isNotNull() & ~finite, F.array(F.lit("non-finite value nulled"))).when(status == "error", F.array(F.lit("the analyzer failed; its result is unreliable"))).otherwise(F.array().cast("array<string>"))
     return df.select(
-        "file_id", F.lit(analyzer).alias("analyzer"), check_id.alias("check_id"), metric.alias("metric"), shown.alias("value"), F.lit(unit).alias("unit"), status.alias("status"),
-        F.lit(method).alias("method"), said.alias("message"), F.when(number.isNotNull() & ~finite, F.array(F.lit("non-finite value nulled"))).otherwise(F.array().cast("array<string>")).alias("limitations"),
-        (F.lit(None).cast("double") if confidence is None else confidence).alias("confidence"),
+        "file_id", F.lit(analyzer).alias("analyzer"), check_id.alias("check_id"), metric.alias("metric"), shown.alias("value"), unit.alias("unit"), status.alias("status"),
+        F.lit(method).alias("method"), said.alias("message"), limits.alias("limitations"), (F.lit(None).cast("double") if confidence is None else confidence).alias("confidence"),
     )
 
 
-def measured(good: DataFrame, files: DataFrame, name: str, params: dict) -> DataFrame:
-    """One finding of every readable file by one analyzer."""
+#: Seconds that an analyzer may take over one chunk of a file.
+LIMIT_S = 60.0
+#: Kernel outputs and small tables kept for findings, until :func:`release`.
+HELD: list[DataFrame] = []
+
+
+def release() -> None:
+    """Lets go of what :func:`analyze` has kept; call it when the findings are written."""
+    while HELD:
+        HELD.pop().unpersist()
+
+
+def failures(files: DataFrame, name: str, method: str, errors: DataFrame) -> DataFrame:
+    """Error findings from (file_id, error): one a file."""
+    per = errors.groupBy("file_id").agg(F.min("error").alias("error"))
+    late = F.col("error").startswith("TimeoutError")
+    check = F.when(late, f"{name}.timeout").otherwise(f"{name}.error")
+    return finding(files.select("file_id").join(per, "file_id"), name, check, F.lit("error"), F.lit(None).cast("double"), "enum", F.lit("error"), method, F.col("error"))
+
+
+def measured(good: DataFrame, files: DataFrame, name: str, params: dict, limit_s: float | None = LIMIT_S) -> DataFrame:
+    """The findings of one analyzer: one row or more of every readable file."""
     a = ANALYZERS[name]
-    found = a.run(good, a.parameters | params)
-    if "message" not in found.columns:
-        found = found.withColumn("message", F.lit(None).cast("string"))
+    with kernels.isolated(limit_s, persist=True) as isolation:
+        try:
+            found = a.run(good, a.parameters | params)
+        except Exception as error:  # a plan that can't be built: no file of this analyzer can be judged, all others can
+            return failures(files, name, a.method, files.select("file_id", F.lit(f"{type(error).__name__}: {error}").alias("error")))
+        finally:
+            HELD.extend(isolation.outputs + isolation.small)
+    for column, kind, value in (("message", "string", None), ("check_id", "string", a.check_id), ("metric", "string", a.metric), ("unit", "string", a.unit), ("confidence", "double", CONFIDENCE.get(name))):
+        if column not in found.columns:
+            found = found.withColumn(column, F.lit(value).cast(kind))
     all_files = files.select("file_id", F.expr(a.applicable).alias("applies")).join(found, "file_id", "left")
-    applies = F.col("applies")
+    applies, given = F.col("applies"), F.col("status").isNotNull()
     status = F.when(applies, F.coalesce("status", F.lit("not_applicable"))).otherwise("not_applicable")
     said = F.when(applies, F.col("message")).otherwise(f"analyzer '{name}' not applicable to this input")
-    check, metric = (F.when(applies, one).otherwise(other) for one, other in ((a.check_id, f"{name}.applicability"), (a.metric, "applicability")))
-    sure = F.when(applies, F.col("confidence") if "confidence" in found.columns else F.lit(CONFIDENCE.get(name)).cast("double"))
-    return finding(all_files, name, check, metric, F.when(applies, F.col("value")), a.unit, status, a.method, said, sure)
-
-
-def analyze(chunks: DataFrame, profile: dict, only: tuple | None = None, skip: tuple = ()) -> DataFrame:
+    check, metric = (F.when(applies, F.coalesce(F.when(given, F.col(c)), F.lit(one))).otherwise(other) for c, one, other in (("check_id", a.check_id, f"{name}.applicability"), ("metric", a.metric, "applicability")))
+    sure = F.when(applies, F.coalesce("confidence", F.lit(CONFIDENCE.get(name)).cast("double")))
+    out = finding(all_files, name, check, metric, F.when(applies, F.col("value")), F.coalesce("unit", F.lit(a.unit)), status, a.method, said, sure)
+    # where an analyzer doesn't apply it says so once
+    out = out.where(F.col("metric") != "applicability").unionByName(out.where(F.col("metric") == "applicability").dropDuplicates(["file_id"]))
+    if not isolation.outputs:
+        return out
+    errors = reduce(DataFrame.union, [o.where("error IS NOT NULL").select("file_id", "error") for o in isolation.outputs])
+    failed = failures(files.where(a.applicable), name, a.method, errors).persist()
+    HELD.append(failed)
+    return out.join(failed.select("file_id"), "file_id", "left_anti").unionByName(failed)
+
+
+def analyze(chunks: DataFrame, profile: dict, only: tuple | None = None, skip: tuple = (), limit_s: float | None = LIMIT_S) -> DataFrame:
     """Findings of all readable files, policy applied, rules and severities joined; unreadable files give error findings.
 
-    Analyzers that aren't selected add nothing to the plan. Each reads ``chunks`` again: persist them.
+    Analyzers that aren't selected add nothing to the plan. Each reads ``chunks`` again: persist them, and call
+    :func:`release` when the findings are written.
     """
     chosen = {a: p for a, p in profile["analyzers"].items() if (only is None or a in only) and a not in skip}
-    good, files = chunks.where("error IS NULL"), subjects(chunks)
+    good, files = chunks.where("error IS NULL"), subjects(chunks).persist()
+    HELD.append(files)
     broken = files.where("error IS NOT NULL")
-    unread = lambda text: F.lit(text)
-    found = [finding(broken, "decode", unread("decode.error"), unread("decode"), F.lit(None).cast("double"), "", F.lit("error"), "scan", F.concat(F.lit("the file can't be read: "), F.col("error")))]
+    found = [finding(broken, "decode", F.lit("decode.error"), F.lit("decode"), F.lit(None).cast("double"), "", F.lit("error"), "scan", F.concat(F.lit("the file can't be read: "), F.col("error")))]
     readable = files.where("error IS NULL")
     for name, params in chosen.items():
-        found.append(REGISTRY[name][0](good, params) if name in REGISTRY else measured(good, readable, name, params or {}))
+        if name not in REGISTRY:
+            found.append(measured(good, readable, name, params or {}, limit_s))
+            continue
+        try:
+            found.append(REGISTRY[name][0](good, params))
+        except Exception as error:  # as in :func:`measured`
+            found.append(failures(readable, name, "plugin", readable.select("file_id", F.lit(f"{type(error).__name__}: {error}").alias("error"))))
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
     return policy.enrich(policy.escalate(every, profile.get("strict_overlay") or {}))

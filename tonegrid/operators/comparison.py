@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FLAGGED = ("warning", "fail", "error")
+from tonegrid.operators.policy import RULES, literal_map
+
+#: Statuses that flag a rule; analyzers whose rules can regress, and those that are only observed; metrics with deltas.
+FLAGGED = ("warning", "fail", "needs_review")
+OBJECTIVE = ("loudness", "true_peak", "clipping", "glitch", "loop", "mono_compat", "channel_balance")
+OBSERVED = ("spectral_health", "lra", "timbre_distance", "harmonic_tension", "spectral_irregularity", "inharmonicity", "fatigue_index", "rhythmic_grid_alignment", "melodic_contour")
+DELTAS = {"loudness": "integrated_loudness", "true_peak": "true_peak", "lra": "loudness_range", "mono_compat": "max_band_loss"}
+COMPARED = OBJECTIVE + OBSERVED
+
+
+def rule_of() -> Column:
+    """The rule of a finding by its analyzer and metric; null for one without a rule."""
+    return F.try_element_at(literal_map({f"{a}\x1f{m}": r for a, by in RULES.items() for m, r in by.items()}), F.concat_ws("\x1f", "analyzer", "metric"))
 
 
 def metric_deltas(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
@@ -16,9 +28,13 @@ def metric_deltas(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
 
 
 def flag_changes(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
-    """(keys, only_in_a, only_in_b, unchanged, regression): flagged analyzers of two sides as sets, joined in order."""
+    """(keys, only_in_a, only_in_b, unchanged, regression): flagged rules of two sides as sets, joined in order.
+
+    Only rules of objective analyzers count, and only warnings, failures and reviews flag one: a side whose analyzer
+    broke off has no flag of it, and what descriptors say is no regression.
+    """
     def flags(side: DataFrame, name: str) -> DataFrame:
-        flagged = F.when(F.col("status").isin(*FLAGGED), F.col("analyzer"))
+        flagged = F.when(F.col("status").isin(*FLAGGED) & F.col("analyzer").isin(*OBJECTIVE), rule_of())
         return side.groupBy(*keys).agg(F.array_sort(F.collect_set(flagged)).alias(name))
 
     both = flags(a, "a").join(flags(b, "b"), list(keys), "full_outer")
@@ -31,6 +47,22 @@ def flag_changes(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def observations(side: DataFrame, *keys: str) -> DataFrame:
+    """(keys, observations): what the observed analyzers say, in order of rule and metric; none of it is a regression."""
+    said = F.struct(rule_of().alias("rule_id"), "metric", "analyzer", F.round("value", 6).alias("value"), "status")
+    return side.where(F.col("analyzer").isin(*OBSERVED)).groupBy(*keys).agg(F.array_sort(F.collect_list(said)).alias("observations"))
+
+
+def comparison(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """(keys, deltas, only_in_a, only_in_b, unchanged, regression, reasons, observations) of two sides' findings, for each key of either."""
+    changes = flag_changes(a, b, *keys)
+    asked = F.concat_ws(".", "analyzer", "metric").isin(*[f"{x}.{m}" for x, m in DELTAS.items()])
+    deltas = metric_deltas(a.where(asked), b.where(asked), *keys).where("delta IS NOT NULL")
+    deltas = deltas.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("metric", "analyzer", "value_a", "value_b", "delta"))).alias("deltas"))
+    reasons = F.when(F.col("regression"), F.array(F.concat(F.lit("new objective defects: "), F.replace(F.col("only_in_b"), F.lit(","), F.lit(", "))))).otherwise(F.array().cast("array<string>"))
+    return changes.join(deltas, list(keys), "left").join(observations(b, *keys), list(keys), "left").withColumn("reasons", reasons)
+
+
 def golden_diff(expected: DataFrame, current: DataFrame, tolerance: Column) -> DataFrame:
     """(fixture, analyzer, metric, nth, kind): missing, extra, value_drift, status_change and, where both sides have rule_id, rule_id_change rows.
 

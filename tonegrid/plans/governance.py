@@ -169,13 +169,21 @@ def compare_delta(spark, d):
     return comparison.metric_deltas(findings(spark, d, 0), findings(spark, d, 1), "file_id")
 
 
-@query("compare_flags", HALVES + """
-, a AS (SELECT DISTINCT file_id, analyzer FROM fa WHERE status IN ('warning', 'fail', 'error')),
-b AS (SELECT DISTINCT file_id, analyzer FROM fb WHERE status IN ('warning', 'fail', 'error')),
-j AS (SELECT coalesce(a.file_id, b.file_id) AS file_id, coalesce(a.analyzer, b.analyzer) AS x, a.analyzer IS NOT NULL AS ia, b.analyzer IS NOT NULL AS ib FROM a FULL JOIN b ON a.file_id = b.file_id AND a.analyzer = b.analyzer)
-SELECT u.file_id, coalesce(string_agg(x, ',' ORDER BY x) FILTER (WHERE ia AND NOT ib), '') AS only_in_a, coalesce(string_agg(x, ',' ORDER BY x) FILTER (WHERE ib AND NOT ia), '') AS only_in_b,
-       coalesce(string_agg(x, ',' ORDER BY x) FILTER (WHERE ia AND ib), '') AS unchanged, coalesce(bool_or(ib AND NOT ia), false) AS regression
-FROM (SELECT DISTINCT file_id FROM fa UNION SELECT DISTINCT file_id FROM fb) u LEFT JOIN j ON u.file_id = j.file_id GROUP BY u.file_id""")
+RULED = """
+, rules AS (SELECT unnest(['loudness', 'true_peak', 'clipping', 'glitch']) AS analyzer, unnest(['integrated_loudness', 'true_peak', 'clipped_sample_pct', 'glitch_event_count']) AS metric,
+                   unnest(['AS-LOUD-001', 'AS-PEAK-001', 'AS-PEAK-002', 'AS-DEF-001']) AS rule_id)"""
+
+
+@query("compare_flags", HALVES + RULED + """
+, a AS (SELECT DISTINCT file_id, rule_id FROM fa JOIN rules USING (analyzer, metric) WHERE status IN ('warning', 'fail', 'needs_review')),
+b AS (SELECT DISTINCT file_id, rule_id FROM fb JOIN rules USING (analyzer, metric) WHERE status IN ('warning', 'fail', 'needs_review')),
+new AS (SELECT * FROM b EXCEPT SELECT * FROM a), gone AS (SELECT * FROM a EXCEPT SELECT * FROM b), same AS (SELECT * FROM a INTERSECT SELECT * FROM b),
+f AS (SELECT file_id FROM fa UNION SELECT file_id FROM fb)
+SELECT file_id, coalesce((SELECT string_agg(rule_id, ',' ORDER BY rule_id) FROM gone WHERE gone.file_id = f.file_id), '') AS only_in_a,
+       coalesce((SELECT string_agg(rule_id, ',' ORDER BY rule_id) FROM new WHERE new.file_id = f.file_id), '') AS only_in_b,
+       coalesce((SELECT string_agg(rule_id, ',' ORDER BY rule_id) FROM same WHERE same.file_id = f.file_id), '') AS unchanged,
+       EXISTS (SELECT 1 FROM new WHERE new.file_id = f.file_id) AS regression
+FROM f""")
 def compare_flags(spark, d):
     return comparison.flag_changes(findings(spark, d, 0), findings(spark, d, 1), "file_id")
 
