@@ -476,23 +476,77 @@ def test_every_repeated_run_in_mosaics_of_frequent_phrases_is_found(spark, tmp_p
     assert len(planted) > 100
     assert not [p for p in planted if not any(d == p[0] and s <= p[1] and p[1] + 50 <= e for d, s, e in spans)]
 
-def test_rising_matches_need_no_tree():
+def test_predecessors_equal_their_definition():
     rng = np.random.default_rng(12)
-    for _ in range(200):
-        n = int(rng.integers(2, 12))
-        left = list(zip(np.cumsum(rng.integers(1, 40, n)).tolist(), np.cumsum(rng.integers(1, 40, n)).tolist(), strict=True))
-        fast = substring_dedup.predecessors(left, 8, 0.15)
-        slow = substring_dedup.predecessors([(a + 1, b + 1) for a, b in left] + [(10**6, 0)], 8, 0.15)  # the last one doesn't rise
-        assert fast[0] == pytest.approx(slow[0][:-1]) and fast[1] == slow[1][:-1]
+    for rising in (True, False) * 60:
+        n = int(rng.integers(1, 14))
+        left = sorted(set(zip(np.cumsum(rng.integers(1, 40, n)).tolist(), (np.cumsum(rng.integers(1, 40, n)) if rising else rng.integers(0, 90, n)).tolist(), strict=True)))
+        score, before = substring_dedup.predecessors(left, 8, 0.15)
+        best = []
+        for a, b in left:
+            best.append(max([8.0, *(s + 8 - 0.15 * (a - x + b - y) for s, (x, y) in zip(best, left, strict=False) if x < a and y < b)]))
+        assert score == pytest.approx(best) and all(j < 0 or left[j][0] < left[i][0] and left[j][1] < left[i][1] for i, j in enumerate(before))
 
 
 def test_a_short_chain_hides_no_passage():
     dense = [(i, 1000 + i) for i in range(0, 16, 2)]
     sparse = [(100 + i, 300 + i) for i in (0, 12, 24, 31)]
-    assert substring_dedup.chains(dense + sparse) == [sparse]
+    assert substring_dedup.chains(dense + sparse, min_span=28) == [sparse]
+    assert sorted(substring_dedup.chains(dense + sparse)) == [dense, sparse]
     inside = [(500 + i, 2000 + i) for i in range(0, 60, 6)]
     around = [(300 + i, 100 + i) for i in range(0, 200, 5)] + [(570 + i, 370 + i) for i in range(0, 200, 5)]
     assert inside in substring_dedup.chains(around + inside)
+    assert substring_dedup.chains([(5, 9)]) == [[(5, 9)]] and substring_dedup.chains([]) == []
+
+
+def planted_pairs(rng, make, rate):
+    """Texts with 40 pairs of passages of 60 to 100 words, in every second one that share of words replaced; and where they lie."""
+    texts, places = [], []
+    for n in range(40):
+        one = make(int(rng.integers(60, 101)))
+        other = list(one)
+        for i in rng.choice(len(one), round(rate * len(one)), replace=False):
+            other[i] = f"new{rng.integers(1 << 30)}"
+        before = [make(int(rng.integers(20, 80))) for _ in range(2)]
+        texts += [" ".join(before[0] + one + make(40)), " ".join(before[1] + other + make(40))]
+        places.append([(2 * n + d, len(before[d]), len(before[d]) + len(one)) for d in (0, 1)])
+    return texts, places
+
+
+@pytest.mark.parametrize("kind", ["random words", "frequent phrases"])
+@pytest.mark.parametrize("rate", [0.03, 0.06, 0.10, 0.15])
+def test_passages_with_replaced_words_are_found(spark, tmp_path, kind, rate):
+    rng = np.random.default_rng([int(100 * rate), len(kind)])
+    phrases = [[f"p{i}x{j}" for j in range(12)] for i in range(15)]
+
+    def make(n):
+        if kind == "random words":
+            return [f"w{i}" for i in rng.integers(0, 4000, n)]
+        return [w for i in rng.integers(0, 15, n // 12 + 1) for w in phrases[i]][:n]
+
+    texts, places = planted_pairs(rng, make, rate)
+    covered = {}
+    for r in substring_dedup.shared_passages(read(spark, tmp_path, documents=documents(texts))).collect():
+        for d, s, e in ((r.doc_id, r.start, r.end), (r.other_id, r.other_start, r.other_end)):
+            covered.setdefault(d, set()).update(range(s, e))
+    found = sum(all(len(covered.get(d, set()) & set(range(s, e))) >= 0.8 * (e - s) for d, s, e in pair) for pair in places)
+    assert found >= 36
+
+
+def test_substring_dedup_of_awkward_documents(spark, tmp_path):
+    docs = awkward()
+    got = substring_dedup.query(spark, written(tmp_path, documents=clashing(docs))).collect()
+    texts = {}
+    for i, t in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist(), strict=True):
+        texts.setdefault(i, set()).add(t or "")
+    word = lambda t, a, b: t.encode().lower().split()[a:b]
+    for r in got:  # what is reported is there, as alike as it says
+        mine, theirs = ([t for t in texts[i] if len(t.split()) >= e] for i, e in ((r.doc_id, r.end), (r.other_id, r.other_end)))
+        assert any(substring_dedup.edit_distance(word(a, r.start, r.end), word(b, r.other_start, r.other_end)) <= r.edits <= 0.2 * (r.end - r.start) for a in mine for b in theirs)
+    pairs = {tuple(sorted((r.doc_id, r.other_id))) for r in got}
+    linked = components(len(texts), [p for p in pairs if None not in p])
+    assert len({linked[i] for i in (3, 4, 5, 6)}) == 1 and linked[7] == linked[8] != linked[3] and len(got) == len(set(got))
+
 
 def test_word_edit_distance():
     rng = np.random.default_rng(10)
