@@ -45,11 +45,20 @@ def shared_dir(spark: SparkSession) -> str:
 WRITTEN: list[str] = []
 
 
+#: Spark then deletes the shuffle files of a job as it ends: what has been written needs them no more.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tonegrid/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -13,10 +13,11 @@ job of its own over the documents, whose few hits are written before the next bl
 and executors hold one block at a time whatever the size of the test set.
 
 Both sides are compared in lower case, with every run of characters other than letters and digits
-as one blank. k is ``ERROR_RATE`` of m, rounded down.
+as one blank. k is ``ERROR_RATE`` of m, rounded down, for items of any length. Items under ``WHOLE_WORDS``
+characters are searched with a blank at either end, which is part of what may be edited: else short ones would be
+found inside of longer words.
 
-Defined results: null and empty texts match nothing, and null and empty items are in none; items under
-``MIN_ITEM`` normalised characters are searched exactly, as whole words; repeated items each report; repeated rows each report; texts of
+Defined results: null and empty texts match nothing, and null and empty items are in none; repeated items each report; repeated rows each report; texts of
 any length are read whole; a null item_id stays null, and ids of any type keep it; an empty
 table on either side gives no rows; other columns are ignored.
 """
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tonegrid.llm.common import content_key, table, text_of, written
 
-ERROR_RATE, MIN_ITEM, Q = 0.1, 24, 4
+ERROR_RATE, WHOLE_WORDS, Q = 0.1, 24, 4
 BLOCK_CHARS = 4_000_000
 
 _NOT_WORD = re.compile(r"[\W_]+")
@@ -45,8 +46,13 @@ def normalise(text: str) -> str:
 
 
 def budget(m: int, rate: float = ERROR_RATE) -> int:
-    """Edits that an item of ``m`` characters may have: none if it is short."""
-    return int(rate * m) if m >= MIN_ITEM else 0
+    """Edits that an item of ``m`` characters may have."""
+    return int(rate * m)
+
+
+def pattern(item: str) -> str:
+    """What is searched for a normalised item."""
+    return item if len(item) >= WHOLE_WORDS else f" {item} "
 
 
 def myers(pattern: str, text: str, most: int) -> tuple[int, int]:
@@ -76,7 +82,7 @@ class Matcher:
     """A block of test items, searched in one pass over a text."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(item_id, text, budget(len(text))) for item_id, text in items]
+        self.items = [(item_id, pattern(text), budget(len(text))) for item_id, text in items]
         self.grams = [{text[i : i + Q] for i in range(len(text) - Q + 1)} for _, text, _ in self.items]
         places: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text, k) in enumerate(self.items):
@@ -116,14 +122,12 @@ class Matcher:
     def matches(self, raw: str) -> list[tuple[int, int]]:
         """(item_id, least distance) of the items that ``raw`` holds within their budgets."""
         text = normalise(raw)
-        out = []
-        for n, windows in self.windows(text).items():
+        padded, out = f" {text} ", []
+        for n, windows in self.windows(padded).items():
             item_id, item, k = self.items[n]
-            if len(item) < MIN_ITEM:
-                if f" {item} " in f" {text} ":
-                    out.append((item_id, 0))
-                continue
-            best = 0 if any(text.find(item, a, b) >= 0 for a, b in windows) else min(myers(item, text[a:b], k)[0] for a, b in windows)
+            whole = item[0] == " "
+            near = [padded[a:b] if whole else text[max(0, a - 1) : b - 1] for a, b in windows]
+            best = 0 if any(item in part for part in near) else min(myers(item, part, k)[0] for part in near)
             if best <= k:
                 out.append((item_id, best))
         return sorted(out)

@@ -9,10 +9,11 @@ Tasks write files of their own, and only what they report when all have ended en
 of lost or repeated tasks are never read and are deleted. The manifest has one entry a file.
 
 A tokenizer that never joins across white space gives for a text what it gives for its parts between
-white space; those repeat, so each worker remembers the ids of two generations of up to ``KNOWN`` of them
-(what is asked for moves to the young one, the old one is dropped when that is full; parts over ``LONG`` bytes
-are encoded anew). The unknown parts of a text are encoded together, ``TOGETHER`` at a time, and told apart by their places.
-:func:`encoded` takes whole texts instead where ``by_words`` is off.
+white space. Arrow splits a batch and numbers its distinct parts; each worker remembers the ids of two generations of
+up to ``KNOWN`` parts (what is asked for moves to the young one, the old one is dropped when that is full; parts over
+``LONG`` bytes are encoded anew), and the ids of a batch are gathered by those numbers. Unknown parts are encoded
+``TOGETHER`` at a time and told apart by tokens that end a word, or by their places. :func:`encoded` takes whole texts
+instead where ``by_words`` is off.
 
 Defined results: a null text is empty and still has its end id; rows with a null id come first; rows of
 one id follow each other, ordered by a hash of their text; an empty table gives a manifest without files;
@@ -38,7 +39,9 @@ from tonegrid.llm.common import WRITTEN, shared_dir, table, text_of
 
 #: Ids of a block (a multiple of eight), ids after which a file ends, ids that a reader unpacks at once.
 BLOCK, FILE_IDS, READ_IDS = 4096, 1 << 25, 1 << 20
-KNOWN, LONG, TOGETHER = 3 << 17, 64, 128
+KNOWN, LONG, TOGETHER = 3 << 17, 64, 256
+#: Bytes of text whose parts are numbered at once.
+PIECE = 8 << 20
 MANIFEST = "manifest.json"
 _MAGIC, _FOOTER = b"TGPACK01", struct.Struct("<IIQQQQ8s")
 
@@ -300,16 +303,27 @@ _LOADED: dict[str, tuple] = {}
 class Parts:
     """Ids of parts of texts between white space, remembered within bounds."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, suffix: str | None = None):
+        import numpy as np
+
         self.tokenizer = tokenizer
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), bool)
+            self.ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
 
-    def encoded(self, parts: list[bytes]) -> list[bytes]:
-        """The ids of each part, encoded in one text; a part's ids begin with the token of its first character."""
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        """The ids of each part, encoded in one text: words of letters by the tokens that end them, others from the token of their first character on."""
         import numpy as np
 
-        texts = [p.decode() for p in parts]
+        if self.ends is not None and all(map(str.isalpha, texts)):
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) == len(texts) and stops[-1] == len(ids):
+                raw = ids.tobytes()
+                return [raw[4 * a : 4 * b] for a, b in zip([0, *stops], stops, strict=False)]
         found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
         raw, at, starts = np.array(found.ids, "<u4").tobytes(), 0, []
         for t in texts:
@@ -319,22 +333,57 @@ class Parts:
             return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
         return [raw[4 * a : 4 * b] for a, b in zip(starts, [*starts[1:], len(found.ids)], strict=True)]
 
-    def of(self, text: bytes) -> bytes:
-        parts = text.split()
-        distinct = set(parts)
-        known = {p: ids for p in distinct if (ids := self.young.get(p)) is not None}
-        if len(known) < len(distinct):
-            rest = [p for p in distinct if p not in known]
-            if len(self.young) + len(rest) > KNOWN:
-                self.young, self.old = {}, self.young
-            new = {p: ids for p in rest if (ids := self.old.get(p)) is not None}
-            unknown = [p for p in rest if p not in new]
-            for i in range(0, len(unknown), TOGETHER):
-                some = unknown[i : i + TOGETHER]
-                new.update(zip(some, self.encoded(some), strict=True))
-            known.update(new)
-            self.young.update((p, ids) for p, ids in new.items() if len(p) <= LONG)
-        return b"".join(map(known.__getitem__, parts))
+    def of(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of distinct parts."""
+        found = list(map(self.young.get, parts))
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        if rest and len(self.young) + len(rest) > KNOWN:
+            self.young, self.old = {}, self.young
+        unknown: tuple[list, list] = ([], [])
+        for i in rest:
+            if (ids := self.old.get(parts[i])) is None:
+                text = parts[i].decode()
+                unknown[text.isalpha()].append((i, text))
+            else:
+                found[i] = ids
+        for kind in unknown:
+            for at in range(0, len(kind), TOGETHER):
+                some = kind[at : at + TOGETHER]
+                for (i, _), ids in zip(some, self.encoded([t for _, t in some]), strict=True):
+                    found[i] = ids
+        self.young.update((parts[i], found[i]) for i in rest if len(parts[i]) <= LONG)
+        return found
+
+    def texts(self, texts: pa.Array, end: bytes) -> pa.Array:
+        """The ids of each text, as bytes, ``end`` after them."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        lists = pc.ascii_split_whitespace(texts)
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        words = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).cast(pa.binary()).dictionary_encode()
+        bounds -= bounds[0]
+        ids = [*self.of(words.dictionary.to_pylist()), end]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool, begins = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        # every text ends with one more part, which stands for the end
+        which = np.insert(words.indices.to_numpy().astype(np.int64), bounds[1:], len(ids) - 1)
+        upto = np.concatenate(([0], np.cumsum(sizes[which])))
+        tokens = pool[np.repeat(begins[which] - upto[:-1], sizes[which]) + np.arange(upto[-1])]
+        offsets = 4 * upto[bounds + np.arange(len(bounds))]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(tokens)])
+
+
+def pieces(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """``texts`` in slices of up to ``most`` bytes, or of one text."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    upto, first = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + most, "right")))
+        yield texts.slice(first, last - first)
+        first = last
 
 
 def _encode(definition: str, end_id: int | None, by_words: bool):
@@ -347,12 +396,18 @@ def _encode(definition: str, end_id: int | None, by_words: bool):
         if definition not in _LOADED:
             _LOADED.clear()
             tokenizer = Tokenizer.from_str(definition)
-            _LOADED[definition] = (tokenizer, Parts(tokenizer))
+            _LOADED[definition] = (tokenizer, Parts(tokenizer, json.loads(definition)["model"].get("end_of_word_suffix")))
         tokenizer, parts = _LOADED[definition]
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        ids = parts.of if by_words else lambda text: np.array(tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([ids(t.as_buffer().to_pybytes()) + end for t in batch["text"]], pa.binary())], ["doc_id", "ids"])
+            first = 0
+            for some in pieces(batch["text"], PIECE):
+                if by_words:
+                    ids = parts.texts(some, end)
+                else:
+                    ids = pa.array([np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() + end for t in some.to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, len(some)), ids], ["doc_id", "ids"])
+                first += len(some)
 
     return run
 

@@ -39,8 +39,9 @@ ALLOWED_WORDS = (
     "railway transport council parish archive books theatre orchestra music gallery maps travel tourism sports club village county north south "
     "river valley harbour island mountain forest farm bakery studio design software research institute academy health society union post energy water"
 ).split()
-#: Each word is followed by those so many places on, with and without a hyphen.
-STEPS = (1, 4, 9, 13)
+#: Each word is joined with those so many places on in its own list; unwanted ones with words of the other list too, before and after:
+#: one unwanted word makes a host unwanted, whatever stands beside it.
+STEPS, MIXED_STEPS = (1, 4, 9, 13), (2, 7, 23, 41)
 FORMS = ("https://www.{}.com/en/825", "http://{}.org/fr/12.html", "https://blog.{}.net/de/9?page=2", "https://m.{}.co/es/640/")
 
 #: Held-out hosts of the table didn't tell the sizes tried apart; these did best on hosts of the pages that look unwanted, which are not trained on.
@@ -53,6 +54,10 @@ def labelled_hosts() -> list[tuple[str, int]]:
     out = []
     for label, words in ((1, BLOCKED_WORDS), (0, ALLOWED_WORDS)):
         out += [(word + ("-", "")[step % 2] + words[(i + step) % len(words)], label) for i, word in enumerate(words) for step in STEPS]
+    for i, word in enumerate(BLOCKED_WORDS):
+        for n, step in enumerate(MIXED_STEPS):
+            pair = (word, ALLOWED_WORDS[(3 * i + step) % len(ALLOWED_WORDS)])
+            out.append((("-", "")[n % 2].join(pair if n < 2 else pair[::-1]), 1))
     return out
 
 
