@@ -238,10 +238,63 @@ def test_failing_and_slow_kernels_give_error_rows(spark, tmp_path, monkeypatch):
         events.per_chunk(chunks, touchy, "value double").collect()
 
 
-def test_each_kernel_is_once_in_the_plan_of_its_findings(spark, tmp_path):
+def test_each_kernel_is_once_in_its_plan(spark, tmp_path):
     (tmp_path / "x.wav").write_bytes(wav.encode(sine(440, 0.5)[None], RATE))
-    with kernels.isolated(persist=True) as isolation:
-        f0 = kernels.fundamental(scan_audio(spark, str(tmp_path)))
-    plan = f0._jdf.queryExecution().executedPlan().toString()
-    assert len(isolation.outputs) == 1 and plan.count("InMemoryTableScan") == 2 and f0.count() == 1
-    isolation.outputs[0].unpersist()
+    chunks = scan_audio(spark, str(tmp_path))
+    for df in (kernels.fundamental(chunks), kernels.integrated_loudness(kernels.block_loudness(chunks))):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1 and df.count() == 1
+
+
+def autocorrelation_track(x):
+    size, hop, out = int(RATE * 0.05), int(RATE * 0.025), []
+    for i in range(0, len(x) - size + 1, hop):
+        out.append(kernels.autocorrelated(x[None, i : i + size], RATE)[0])
+    return np.array(out)
+
+
+def test_pitch_stability_intelligibility_likeness_and_fingerprints(spark, tmp_path):
+    """Against their definitions on whole signals, at two chunk sizes."""
+    t, rng = np.arange(3 * RATE) / RATE, np.random.default_rng(8)
+    wobbling = 0.4 * np.sin(2 * np.pi * (220 * t + 3 * np.sin(2 * np.pi * 2 * t))) * (t < 2.4)
+    signals = {"wobbling": wobbling, "noise": 0.2 * rng.normal(size=len(t)).clip(-4, 4), "steady": 0.4 * np.sin(2 * np.pi * 441 * t)}
+    for name, x in signals.items():
+        (tmp_path / f"{name}.wav").write_bytes(wav.encode(x[None], RATE))
+    profile = {"pitch_stab": {}, "speech_intelligibility": {}, "acoustic_fingerprint": {}, "deepfake": {"enabled": True, "model_name": "m"}}
+    sides = [{(r.analyzer, r.file_id): (r.value, r.status, r.message) for r in findings(spark, str(tmp_path), profile, chunk=chunk)} for chunk in (wav.CHUNK, 33_333)]
+    for key, (value, status, message) in sides[0].items():
+        other = sides[1][key]
+        assert (status, value) == (other[1], None if value is None else pytest.approx(other[0], abs=2e-4)) and (key[0] != "acoustic_fingerprint" or message == other[2])
+    got = sides[0]
+    assert len(got) == 12 and {got["deepfake", f][1] for f in signals} == {"needs_review"}
+    for name in signals:
+        x = wav.parse((tmp_path / f"{name}.wav").read_bytes())[2][0].astype(np.float64)
+        f0 = autocorrelation_track(x)
+        f0 = f0[np.isfinite(f0)]
+        padded = np.concatenate(([0, 0], f0, [0, 0]))
+        smooth = np.median(np.lib.stride_tricks.sliding_window_view(padded, 5), 1)
+        cents = 1200 * np.log2(smooth / f0.mean())
+        assert got["pitch_stab", name][0] == pytest.approx(cents.max() - cents.min(), abs=0.01)
+        c = 1200 * np.log2(f0 / f0.mean())
+        power, hz = np.abs(np.fft.rfft(c - c.mean())) ** 2, np.fft.rfftfreq(len(c), 1 / 40)
+        wow = 10 * np.log10(power[(hz >= 0.1) & (hz <= 10)].sum() / (power.sum() + 1e-12) + 1e-12)
+        assert float(got["pitch_stab", name][2].split("wow ")[1].split(" dB")[0]) == pytest.approx(wow, abs=0.01) or power.sum() < 1e-6
+        frames = x[: len(x) // 4410 * 4410].reshape(-1, 4410)
+        rms = np.sqrt((frames**2).mean(1))
+        low, high = max(np.percentile(rms, 10), 1e-8), np.percentile(rms, 90)
+        spectrum, hz = np.abs(np.fft.rfft(x[:2048] * np.hanning(2048))) ** 2, np.fft.rfftfreq(2048, 1 / RATE)
+        clarity = spectrum[(hz >= 300) & (hz <= 3400)].sum() / (spectrum.sum() + 1e-12)
+        assert got["speech_intelligibility", name][0] == pytest.approx(0.6 * min(1, max(0, 20 * np.log10(high / low) / 20)) + 0.4 * clarity, abs=1e-4)
+        bits = ""
+        for i in range(0, len(x) - 4096 + 1, 2048):
+            p = np.abs(np.fft.rfft(x[i : i + 4096] * np.hanning(4096))) ** 2
+            bits += "".join("1" if e > p.mean() + 1e-12 else "0" for e in p[:: len(p) // 32])[:32]
+        import hashlib
+
+        assert got["acoustic_fingerprint", name][2] == "acoustic fingerprint: " + hashlib.sha256(bits.encode()).hexdigest()
+        stft = np.stack([np.fft.rfft(x[i : i + 2048] * np.hanning(2048)) for i in range(0, (len(x) - 2048) // 512 * 512 + 1, 512)])
+        coherence = np.abs(np.exp(1j * np.diff(np.angle(stft), axis=0)).mean(0)).mean()
+        mag = np.sqrt(spectrum)[(hz >= 4000) & (hz <= 8000)] + 1e-12
+        likeness = 0.4 * (1 - min(1, f0.std() / f0.mean())) + 0.3 * coherence + 0.3 * np.exp(np.log(mag).mean()) / mag.mean()
+        assert got["deepfake", name][0] == pytest.approx(likeness, abs=2e-3)
+    off = findings(spark, str(tmp_path), {"deepfake": {"enabled": True}})
+    assert {r.status for r in off} == {"not_applicable"}

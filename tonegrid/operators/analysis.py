@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonegrid.functions.columns import db, lufs
-from tonegrid.operators import envelopes, events, kernels, levels, policy, spectra
+from tonegrid.operators import envelopes, events, kernels, levels, policy, spectra, voices
 from tonegrid.sources.wav import channels_of, mono, subjects
 
 
@@ -40,7 +40,7 @@ ANALYZERS: dict[str, Analyzer] = {}
 #: How sure each analyzer's findings are. pitch_f0 says so by itself.
 CONFIDENCE = {
     "inspect": 1.0, "loudness": 0.95, "lra": 0.9, "true_peak": 0.97, "clipping": 0.99, "mono_compat": 0.9, "channel_balance": 0.92, "goniometer": 0.9, "binaural_compat": 0.75, "drn": 0.85,
-    "acoustic_context": 0.75, "glitch": 0.85, "loop": 0.95, "transient": 0.75, "resampling": 0.7, "voice_artifacts": 0.65, "speech_rate": 0.6, "rhythmic_grid_alignment": 0.55, "spectral_health": 0.9, "spectral_irregularity": 0.85, "timbre_distance": 0.8, "harmonic_tension": 0.6, "inharmonicity": 0.65, "fatigue_index": 0.6, "melodic_contour": 0.6,
+    "acoustic_context": 0.75, "glitch": 0.85, "loop": 0.95, "transient": 0.75, "resampling": 0.7, "voice_artifacts": 0.65, "speech_rate": 0.6, "rhythmic_grid_alignment": 0.55, "pitch_stab": 0.7, "speech_intelligibility": 0.7, "deepfake": 0.3, "acoustic_fingerprint": 0.9, "spectral_health": 0.9, "spectral_irregularity": 0.85, "timbre_distance": 0.8, "harmonic_tension": 0.6, "inharmonicity": 0.65, "fatigue_index": 0.6, "melodic_contour": 0.6,
 }
 #: Analyzers added by plugins: functions of (good chunks, parameters) to findings, with the parameters they take.
 REGISTRY: dict[str, tuple[Callable[[DataFrame, dict], DataFrame], tuple[str, ...]]] = {}
@@ -349,6 +349,36 @@ def pitch(chunks: DataFrame, params: dict) -> DataFrame:
     return f0.select("file_id", F.col("median_hz").alias("value"), "status", F.round("voiced_share", 3).alias("confidence"))
 
 
+@analyzer("pitch_stab", "pitch_stab.drift", "pitch_drift_cents", "cents", "range and modulation spectrum of the pitch track", "frames >= sample_rate", max_drift_cents=50.0)
+def pitch_stability(chunks: DataFrame, params: dict) -> DataFrame:
+    per = voices.pitch_stability(mono(chunks))
+    said = F.format_string("pitch drift %.1f cents, wow %.3f dB, flutter %.3f dB", "drift_cents", "wow_db", "flutter_db")
+    return per.select("file_id", F.round("drift_cents", 2).alias("value"), warn(F.col("drift_cents") > params["max_drift_cents"]).alias("status"), said.alias("message"))
+
+
+@analyzer("speech_intelligibility", "speech_intelligibility.proxy", "stoi_proxy_no_ref", "0-1", "level of speech over silence, and the share of the speech band", "frames >= 2048", min_score=0.6)
+def speech_intelligibility(chunks: DataFrame, params: dict) -> DataFrame:
+    score = voices.intelligibility(chunks, mono(chunks))
+    return score.select("file_id", F.round("score", 4).alias("value"), F.when(F.isnan("score"), "indeterminate").otherwise(warn(F.col("score") < params["min_score"])).alias("status"))
+
+
+@analyzer("deepfake", "deepfake.features", "synthetic_likeness_score", "0-1", "regularity of pitch, coherence of phases, flatness from 4 to 8 kHz; no model", "frames >= 2 * sample_rate", enabled=False, model_name="", model_version="", corpus="")
+def synthetic_likeness(chunks: DataFrame, params: dict) -> DataFrame:
+    """Only where a profile enables it and names a model; always for a person to review."""
+    if not params["enabled"] or not params["model_name"]:
+        return subjects(chunks).where("false").select("file_id", F.lit(None).cast("double").alias("value"), passes().alias("status"))
+    score = voices.synthetic_likeness(chunks, mono(chunks))
+    said = F.format_string("synthetic-likeness %.3f: needs a person's review; a heuristic feature, no classification", "score")
+    return score.select("file_id", F.round("score", 4).alias("value"), F.lit("needs_review").alias("status"), said.alias("message"))
+
+
+@analyzer("acoustic_fingerprint", "acoustic_fingerprint.hash", "fingerprint_sha256", "hex", "bits of spectral power over its mean, hashed in order", "frames >= 4096")
+def acoustic_fingerprint(chunks: DataFrame, params: dict) -> DataFrame:
+    prints = voices.fingerprint(mono(chunks))
+    said = F.concat(F.lit("acoustic fingerprint: "), F.col("sha256"))
+    return prints.select("file_id", F.lit(None).cast("double").alias("value"), passes().alias("status"), said.alias("message"))
+
+
 def finding(df: DataFrame, analyzer: str, check_id: Column, metric: Column, value: Column, unit: str | Column, status: Column, method: str, message: Column | None = None, confidence: Column | None = None) -> DataFrame:
     """Findings in the common columns; what isn't finite is null, and says so."""
     number = value.cast("double")

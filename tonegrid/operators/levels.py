@@ -13,19 +13,24 @@ from tonegrid.functions.columns import db, lufs, power_mean, rms
 
 
 def blocks(signal: DataFrame, size: int, hop: int) -> DataFrame:
-    """(channel, block, ms, peak) of all whole blocks of ``size`` frames every ``hop``."""
-    first = F.greatest(F.lit(0), F.floor((F.col("frame") - size) / hop) + 1)
-    covered = signal.withColumn("block", F.explode(F.sequence(first, F.floor(F.col("frame") / hop))))
-    whole = covered.groupBy("channel", "block").agg(F.avg(F.col("x") * F.col("x")).alias("ms"), F.max(F.abs("x")).alias("peak"), F.count(F.lit(1)).alias("n"))
+    """(channel, block, ms, peak) of all whole blocks of ``size`` frames every ``hop``.
+
+    Where hops fill a block exactly, frames are summed up by hop before anything is exchanged, and only these sums go to all blocks that cover them.
+    """
+    step = hop if size % hop == 0 else 1
+    sums = signal.groupBy("channel", F.floor(F.col("frame") / step).alias("h")).agg(F.sum(F.col("x") * F.col("x")).alias("ss"), F.max(F.abs("x")).alias("peak"), F.count(F.lit(1)).alias("n"))
+    first = F.greatest(F.lit(0), F.floor((F.col("h") * step - size) / hop) + 1)
+    covered = sums.withColumn("block", F.explode(F.sequence(first, F.floor(F.col("h") * step / hop))))
+    whole = covered.groupBy("channel", "block").agg((F.sum("ss") / F.sum("n")).alias("ms"), F.max("peak").alias("peak"), F.sum("n").alias("n"))
     return whole.where(F.col("n") == size).drop("n")
 
 
 def gated_loudness(signal: DataFrame, size: int, hop: int, absolute: float = -70.0, relative: float = -10.0) -> DataFrame:
     """(channel, lufs): power mean of blocks above both gates; of those above the first if the second leaves none."""
     levels = blocks(signal, size, hop).select("channel", lufs(F.col("ms")).alias("l")).where(F.col("l") >= absolute)
-    gate = levels.groupBy("channel").agg(power_mean(F.col("l")).alias("ungated"))
-    gated = levels.join(gate, "channel").where(F.col("l") >= F.col("ungated") + relative).groupBy("channel").agg(power_mean(F.col("l")).alias("gated"))
-    return gate.join(gated, "channel", "left").select("channel", F.coalesce("gated", "ungated").alias("lufs"))
+    mean = 10.0 * F.log10(F.avg(F.pow(F.lit(10.0), F.col("l") / 10.0)).over(Window.partitionBy("channel")))
+    gated = power_mean(F.when(F.col("l") >= F.col("mean") + relative, F.col("l")))
+    return levels.withColumn("mean", mean).groupBy("channel").agg(F.coalesce(gated, F.max("mean")).alias("lufs"))
 
 
 def loudness_range(signal: DataFrame, size: int, hop: int, least: int = 4, absolute: float = -70.0, relative: float = -10.0) -> DataFrame:
