@@ -6,7 +6,7 @@ counted exactly with map-side combine, and the verified winners, at most ``1 / s
 broadcast: rows of a heavy digest never move. All other digests take the ordinary shuffle, where
 no group holds more than ``support`` of the rows.
 
-Defined results: a null text counts as empty, so null, empty and all-blank texts are one group; of
+Defined results: texts of any length are read whole; a null text counts as empty, so null, empty and all-blank texts are one group; of
 equal lengths the smallest doc_id wins and null doc_ids lose; of identical rows exactly one stays;
 an empty table gives no rows; other columns of the input are ignored.
 """

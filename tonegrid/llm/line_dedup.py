@@ -4,7 +4,7 @@ Every distinct key of a document becomes one (row, 128-bit hash) pair, so counti
 documents; the count combines map-side and a line that all documents share costs one row per task.
 Pairs of frequent keys go back to their document as its drop list, which joins the texts once.
 
-Defined results: each row is a document of its own; null and empty texts are one empty line, which
+Defined results: texts of any length are read whole; each row is a document of its own; null and empty texts are one empty line, which
 stays; a key is the line stripped of white space with A-Z lowered; keys shorter than ``min_chars``
 code points never drop; a document that loses every line becomes the empty text; an empty table
 gives no rows; other columns are ignored.

@@ -10,7 +10,7 @@ source fits into its quota, and the remainder as a fractional repetition: docume
 a seeded MD5 of their doc_id until the remainder is used up, the last of them in part. Running sums
 go over hash buckets first (a source of any size becomes ``BUCKETS`` rows), then within a bucket.
 
-Defined results: null and empty texts have size 0 and take nothing; the null source is a source of
+Defined results: texts of any length are read whole; repeated rows are documents of their own; null and empty texts have size 0 and take nothing; the null source is a source of
 its own and comes last; a source of size 0 has target 0; equal hashes order by doc_id, then size; an
 empty table gives no rows; other columns are ignored.
 """

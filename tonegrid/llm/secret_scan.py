@@ -11,7 +11,7 @@ Each text is scanned once into a small row. Linking is an interval join by bucke
 code points: per row, bucket and class of part only the extreme starts and ends are kept, so a
 probe meets at most four rows whatever the number of parts. Only match positions are shuffled.
 
-Defined results: a null text is empty; without matches the strings of spans are empty (hashed as
+Defined results: texts of any length are read whole; a null text is empty; without matches the strings of spans are empty (hashed as
 such); overlapping matches of different kinds all count, but only disjoint parts complement each
 other; repeated rows each report; an empty table gives no rows; other columns are ignored.
 """

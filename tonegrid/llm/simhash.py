@@ -15,7 +15,7 @@ Links at ``max_bits`` or fewer differing bits, without all pairs and without los
    fingerprints themselves. Dense buckets (groups of near copies) are compared by blocks, and only
    links leave a task: see :mod:`tonegrid.llm.blocks`.
 
-Defined results: null, empty and all-blank texts have fingerprint zero; fewer words than a shingle
+Defined results: texts of any length are read whole; null, empty and all-blank texts have fingerprint zero; fewer words than a shingle
 are one shingle; null doc_ids keep their row and never name a component unless all of it are null;
 repeated rows share a component; an empty table gives no rows; other columns are ignored.
 """
