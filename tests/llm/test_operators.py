@@ -416,7 +416,7 @@ def test_chains_are_the_best_of_all(spark):
     rng = np.random.default_rng(9)
 
     def worth(chain):
-        k, c, total = substring_dedup.K, substring_dedup.GAP_COST, float(substring_dedup.K)
+        k, c, total = substring_dedup.WORTH, substring_dedup.GAP_COST, float(substring_dedup.WORTH)
         for (a, b), (x, y) in zip(chain, chain[1:], strict=False):
             total += k - c * (x - a + y - b)
         return total
