@@ -298,3 +298,53 @@ def test_pitch_stability_intelligibility_likeness_and_fingerprints(spark, tmp_pa
         assert got["deepfake", name][0] == pytest.approx(likeness, abs=2e-3)
     off = findings(spark, str(tmp_path), {"deepfake": {"enabled": True}})
     assert {r.status for r in off} == {"not_applicable"}
+
+
+def test_jitter_is_the_same_whatever_the_chunks(spark, tmp_path):
+    from tonegrid.operators import calibration
+
+    (tmp_path / "x.wav").write_bytes(wav.encode(np.array([sine(440, 0.5)[:20_000], sine(330, 0.3)[:20_000]]), RATE))
+    sides = []
+    for chunk in (1 << 17, 4096):
+        rows = calibration.jittered(scan_audio(spark, str(tmp_path), chunk=chunk, before=500), trials=3, most=1e-3).orderBy("file_id", "channel", "start").collect()
+        signals = {}
+        for r in rows:
+            signals.setdefault((r.file_id[-1], r.channel), []).extend(r.samples)
+            assert r.left == [] or len(rows) == 9 or len(r.left) == 500
+        sides.append(signals)
+    assert sides[0] == sides[1] and len(sides[0]) == 9
+    plain = {r.channel: np.array(r.samples) for r in scan_audio(spark, str(tmp_path)).collect()}
+    for (trial, c), x in sides[0].items():
+        ratio = np.array(x)[np.abs(plain[c]) > 0.01] / plain[c][np.abs(plain[c]) > 0.01] - 1
+        assert 9e-4 < np.abs(ratio).max() < 1.01e-3 and abs(ratio.mean()) < 2e-5
+    mean = (np.array(sides[0]["1", 0]) + np.array(sides[0]["1", 1])) / 2
+    assert sides[0]["1", -1] == pytest.approx(mean, abs=1e-6) and sides[0]["0", 0] != sides[0]["1", 0]
+
+
+def test_calibrated_tolerances(spark, tmp_path):
+    from tonegrid.operators import calibration
+
+    (tmp_path / "x.wav").write_bytes(wav.encode(sine(440, 0.5)[None], RATE))
+    profile = {"analyzers": {"loudness": {}, "true_peak": {}}}
+    got = [{r.metric: r.tolerance for r in calibration.calibrated(scan_audio(spark, str(tmp_path)), profile, 4, most=most).collect()} for most in (calibration.JITTER, 0.3)]
+    analysis.release()
+    assert got[0] == {"loudness.integrated_loudness": 0.001, "true_peak.true_peak": 0.001}
+    assert set(got[1]) == set(got[0]) and got[1]["true_peak.true_peak"] > 0.001
+
+
+def test_spectra_as_rows_and_as_a_table_function(spark, tmp_path):
+    from tonegrid.operators import frames
+
+    x = np.random.default_rng(4).uniform(-0.5, 0.5, 9000)
+    (tmp_path / "x.wav").write_bytes(wav.encode(x[None], 8000))
+    whole = wav.parse((tmp_path / "x.wav").read_bytes())[2][0].astype(np.float64)
+    window = kernels.periodic_hann(256)
+    expected = np.array([np.abs(np.fft.rfft(whole[i : i + 256] * window)) for i in range(0, 9000 - 256 + 1, 64)])
+    frames.register(spark)
+    for chunk in (1 << 17, 1000):
+        chunks = scan_audio(spark, str(tmp_path), chunk=chunk)
+        chunks.createOrReplaceTempView("chunks")
+        for rows in (frames.stft(chunks, 256, 64), spark.sql("SELECT frame, mag FROM chunks, LATERAL stft(samples, right, start, frames, 256, 64)")):
+            got = rows.orderBy("frame").collect()
+            assert [r.frame for r in got] == list(range(len(expected)))
+            assert np.array([r.mag for r in got]) == pytest.approx(expected, abs=1e-4)

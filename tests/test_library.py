@@ -120,6 +120,10 @@ def test_command_line(spark, tmp_path, form):
 
 
     if form == "bundle":
+        assert main([*args[:-4], "--output", str(tmp_path / "other"), "--only", "true_peak", "--resample", "48000"], spark) == 0
+        other = json.loads(spark.read.text(str(tmp_path / "other")).first().value)
+        assert other["subject"]["sample_rate_hz"] == 48_000 and other["subject"]["provenance"] == {"frames": 44_100, "resampled_to_hz": 48_000, "sample_rate_hz": 44_100}
+        assert other["findings"][0]["value"] == pytest.approx(20 * np.log10(0.5), abs=0.02)
         (row,) = spark.read.text(str(tmp_path / "out")).collect()
         bundle = json.loads(row.value)
         assert list(bundle) == sorted(bundle) and bundle["aggregate_status"] == "warning" and bundle["profile"]["name"] == "default"
@@ -202,6 +206,35 @@ def test_audit_logs(spark, tmp_path):
     assert {(r.line, r.problem) for r in spark.read.json(f"{tmp_path}/bad").collect()} == {(1, "hash mismatch"), (2, "invalid JSON"), (3, "chain broken")}
 
 
+def test_two_writers_cannot_fork_a_log(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tonegrid.operators import audit
+
+    log = str(tmp_path / "log")
+    say = lambda who, n: audit.append(spark, log, [{"actor": who, "action": "analyze", "subject": f"{who}{n}.{i}", "details": {"n": n}} for i in range(2)])
+    with ThreadPoolExecutor(4) as pool:
+        paths = list(pool.map(lambda job: say(*job), [(who, n) for n in range(6) for who in "abcd"]))
+    assert len(set(paths)) == 24 and sorted(p.rsplit("/", 1)[-1] for p in paths) == [f"{i:08d}.jsonl" for i in range(1, 25)]
+    lines = audit.read_segments(spark, log).orderBy("line").collect()
+    assert len(lines) == 48 and len({json.loads(x.text)["prev_hash"] for x in lines}) == 48
+    assert audit.verify_logs(audit.read_segments(spark, log)).count() == 0
+    assert main(["audit", log, "--append", json.dumps({"actor": "me", "action": "a", "subject": "s"})], spark) == 0
+    assert main(["audit", log, "--segments", "--output", f"{tmp_path}/good"], spark) == 0
+    (tmp_path / "log" / "00000007.jsonl").write_text((tmp_path / "log" / "00000006.jsonl").read_text())
+    assert main(["audit", log, "--segments", "--output", f"{tmp_path}/bad"], spark) == 1
+    assert {r.line >> 32 for r in spark.read.json(f"{tmp_path}/bad").collect()} == {7, 8}
+
+
+def test_parameters_out_of_range_are_refused(tmp_path):
+    for name, params in (("clipping", "{threshold: 1.5}"), ("glitch", "{dropout_threshold: 0.2}"), ("glitch", "{repeat_min_samples: 3}"), ("pitch_f0", "{fmin: 0}"), ("loop", "{loop_point_samples: 0}")):
+        (tmp_path / "p.yaml").write_text(f"name: p\nversion: '1'\nanalyzers:\n  {name}: {params}\n")
+        with pytest.raises(profiles.ProfileError):
+            profiles.load_profile(str(tmp_path / "p.yaml"), known=known_parameters())
+    (tmp_path / "p.yaml").write_text("name: p\nversion: '1'\nanalyzers:\n  glitch: {dropout_threshold: 0.1}\n  loop: {loop_point_ms: 12.5}\n")
+    assert profiles.load_profile(str(tmp_path / "p.yaml"), known=known_parameters())["analyzers"]["loop"] == {"loop_point_ms": 12.5}
+
+
 def test_plugins_add_analyzers(spark, tmp_path):
     from tonegrid.operators import analysis
 

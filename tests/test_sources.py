@@ -150,3 +150,24 @@ def test_a_long_file_is_shared_by_tasks(spark, tmp_path):
     per = chunks.select("start", F.size("samples").alias("n"), F.aggregate("samples", F.lit(0.0), lambda a, x: a + F.abs(x)).alias("sum")).groupBy().agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.countDistinct("start").alias("chunks")).first()
     assert (per.n, per.chunks) == (frames, -(-frames // wav.CHUNK)) and per.sum == pytest.approx(2 * np.abs(marks).sum(), rel=1e-3)
     assert row.first().samples[700_000_000 - k * wav.CHUNK :][:5] == pytest.approx(marks[:5] * 2 / 3, abs=1e-4)
+
+
+@pytest.mark.parametrize("rate", [48_000, 16_000, 44_100])
+def test_resampled_chunks_are_the_same_at_any_split(spark, tmp_path, rate):
+    t = np.arange(30_000) / 44_100
+    (tmp_path / "t.wav").write_bytes(wav.encode(np.array([0.5 * np.sin(2 * np.pi * 440 * t), 0.3 * np.sin(2 * np.pi * 1000 * t)]), 44_100))
+    sides = []
+    for chunk, split in ((1 << 17, 1 << 30), (3000, 9000)):
+        rows = audio.scan_audio(spark, str(tmp_path), chunk=chunk, split=split, before=200, after_s=0.02, resample=rate).orderBy("channel", "start").collect()
+        assert {(r.sample_rate, r.frames) for r in rows} == {(rate, -(-30_000 * rate // 44_100))}
+        whole = {}
+        for r in rows:
+            assert len(whole.setdefault(r.channel, [])) == r.start
+            assert r.left == whole[r.channel][max(0, r.start - 200) :]
+            whole[r.channel].extend(r.samples)
+        sides.append(whole)
+    assert sides[0] == sides[1] and set(sides[0]) == {-1, 0, 1}
+    out = np.arange(len(sides[0][0])) / rate
+    expected = 0.5 * np.sin(2 * np.pi * 440 * out)
+    assert np.array(sides[0][0])[200:-200] == pytest.approx(expected[200:-200], abs=0.01)
+    assert audio.audio_headers(spark, str(tmp_path)).first().sample_rate == 44_100

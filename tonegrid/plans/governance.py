@@ -256,15 +256,15 @@ def fingerprint_sha(spark, d):
 
 
 @query("chain_verify", views("sig") + """
-, c AS (SELECT channel AS log, frame, frame % 11 = 7 AS tampered, frame % 13 = 5 AS forged, lag(frame % 13 = 5) OVER (PARTITION BY channel ORDER BY frame) AS after FROM sig)
+, c AS (SELECT channel AS log, frame, channel % 2 = 0 AND frame % 11 = 7 AS tampered, channel % 2 = 0 AND frame % 13 = 5 AS forged, lag(channel % 2 = 0 AND frame % 13 = 5) OVER (PARTITION BY channel ORDER BY frame) AS after FROM sig)
 SELECT log, count(*) AS entries, count(*) FILTER (WHERE coalesce(after, false)) AS broken_links, count(*) FILTER (WHERE tampered OR forged) AS bad_hashes,
        count(*) FILTER (WHERE coalesce(after, false) OR tampered OR forged) = 0 AS valid FROM c GROUP BY log""")
 def chain_verify(spark, d):
-    """Every user's events as an audit log: written as a chain, then some payloads tampered with and some hashes forged."""
+    """Every user's events as an audit log: written as a chain; then, in every second log, some payloads tampered with and some hashes forged."""
     lines = events_signal(spark, d).select(F.col("channel").alias("log"), F.col("frame").alias("line"), F.format_string("%.4f", F.col("x")).alias("payload"))
     chained = lines.repartition("log").sortWithinPartitions("log", "line").mapInArrow(evidence.chained, "log long, line long, payload string, prev_hash string, entry_hash string")
     kept = chained.withColumns({
-        "payload": F.when(F.col("line") % 11 == 7, "tampered").otherwise(F.col("payload")), "entry_hash": F.when(F.col("line") % 13 == 5, "forged").otherwise(F.col("entry_hash")),
+        "payload": F.when((F.col("log") % 2 == 0) & (F.col("line") % 11 == 7), "tampered").otherwise(F.col("payload")), "entry_hash": F.when((F.col("log") % 2 == 0) & (F.col("line") % 13 == 5), "forged").otherwise(F.col("entry_hash")),
     })
     return evidence.verify_chain(kept, F.col("payload"))
 
@@ -288,16 +288,16 @@ def metadata_completeness(spark, d):
 WITH e AS (SELECT event_id, user_id, event_type, props, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 f AS (SELECT user_id AS subject, event_id, n, unnest(json_keys(props)) AS path, props FROM e),
 v AS (SELECT subject, n, 'props.' || path AS path, json_extract_string(props, path) AS value FROM f UNION ALL SELECT user_id, n, 'type', event_type FROM e),
-a AS (SELECT subject, path || '.' || (n // 2) AS path, value FROM v WHERE n % 2 = 0), b AS (SELECT subject, path || '.' || (n // 2) AS path, value FROM v WHERE n % 2 = 1 AND n > 1)
+a AS (SELECT subject, path || '.' || (n // 2) AS path, value FROM v WHERE n % 2 = 0), b AS (SELECT subject, path || '.' || (n // 2) AS path, value FROM v WHERE n % 2 = 1)
 SELECT coalesce(a.subject, b.subject) AS subject, coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'missing' WHEN a.path IS NULL THEN 'added' ELSE 'changed' END AS kind
 FROM a FULL JOIN b ON a.subject = b.subject AND a.path = b.path WHERE a.value IS DISTINCT FROM b.value OR a.path IS NULL OR b.path IS NULL""")
 def frozen_flatten_diff(spark, d):
-    """Every second event of a user against the one after it: type and props as flat fields."""
+    """Every second event of a user against the one after it, and the first one against none: type and props as flat fields."""
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     events = table(spark, d, "events").select(F.col("user_id").alias("subject"), "event_type", F.from_json("props", "map<string,string>").alias("p"), n.alias("n"))
     fields = F.map_concat(F.transform_keys(F.coalesce("p", F.create_map().cast("map<string,string>")), lambda k, _: F.concat(F.lit("props."), k)), F.create_map(F.lit("type"), F.col("event_type")))
     flat = events.select("subject", "n", F.explode(fields).alias("path", "value"))
-    side = lambda odd: flat.where((F.col("n") % 2 == odd) & (F.col("n") > 1)).select("subject", F.concat_ws(".", "path", F.floor(F.col("n") / 2)).alias("path"), "value")
+    side = lambda odd: flat.where(F.col("n") % 2 == odd).select("subject", F.concat_ws(".", "path", F.floor(F.col("n") / 2)).alias("path"), "value")
     return comparison.field_diff(side(0), side(1))

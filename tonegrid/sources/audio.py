@@ -31,6 +31,8 @@ from tonegrid.sources.files import listed, qualified, store
 
 #: Bytes that a task gets; each file counts as so many bytes more, for being opened.
 SPLIT, OPEN_COST = 128 << 20, 4 << 20
+#: Zero crossings of the resampling filter to either side.
+TAPS = 10
 HEADERS = "file_id string, source_path string, size long, channels int, sample_rate int, frames long, bit_depth int, error string"
 HASHES = "source_path string, file_sha256 string"
 _CHUNK_TYPES = pa.schema([
@@ -80,6 +82,38 @@ class _Frames:
         return self.held[:, low - self.at : high - self.at]
 
 
+class Resampled:
+    """Frames of a file at another rate, by a Kaiser-windowed sinc at the rational ratio of the rates; any range of them is the same whatever is asked for."""
+
+    def __init__(self, frames: _Frames, rate: int):
+        of = frames.of
+        g = int(np.gcd(rate, of.rate))
+        self.frames, self.up, self.down = frames, rate // g, of.rate // g
+        self.half = TAPS * max(self.up, self.down)
+        n = np.arange(-self.half, self.half + 1)
+        h = np.sinc(n / max(self.up, self.down)) * np.kaiser(len(n), 5.0)
+        self.h = h * self.up / h.sum()
+        self.total = -(-of.frames * self.up // self.down)
+
+    def source(self, frame: int) -> int:
+        """The frame of the file that lies at a frame of the output, or before it."""
+        return frame * self.down // self.up
+
+    def between(self, low: int, high: int) -> np.ndarray:
+        out = np.arange(low, high) * self.down
+        first = -(-(out - self.half) // self.up)  # of the zero-stuffed signal only every up-th sample is one of the file
+        taps = np.arange(2 * self.half // self.up + 1)
+        begin, end = max(0, int(first[0])), min(self.frames.of.frames, int(first[-1]) + len(taps))
+        x = self.frames.between(begin, end).astype(np.float64)
+        y = np.zeros((len(x), len(out)))
+        for tap in taps:
+            at = first + tap
+            lag = out - at * self.up + self.half
+            inside = (at >= begin) & (at < end) & (lag >= 0) & (lag < len(self.h))
+            y += np.where(inside, self.h[np.clip(lag, 0, len(self.h) - 1)], 0.0) * x[:, np.clip(at - begin, 0, max(0, end - begin - 1))]
+        return y.astype(np.float32)
+
+
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows)))
@@ -90,6 +124,7 @@ class AudioReader(DataSourceReader):
         self.path, self.glob, self.what = options["path"], options.get("glob", "*"), options.get("what", "chunks")
         self.split, self.after_s = int(options.get("split", SPLIT)), float(options.get("after_s", wav.AFTER_S))
         self.chunk, self.before = int(options.get("chunk", wav.CHUNK)), int(options.get("before", wav.BEFORE))
+        self.rate = int(options.get("resample", 0))
         self.paths: set | None = None
         self.channels: set | None = None
 
@@ -146,11 +181,17 @@ class AudioReader(DataSourceReader):
             if low == 0:
                 yield pa.RecordBatch.from_pylist([{"file_id": path, "source_path": path, "error": str(error)}], _CHUNK_TYPES)
             return
-        step, after, frames = self.chunk * of.width, int(np.ceil(of.rate * self.after_s)) + 1, _Frames(file, of)
-        first, last = (max(0, -(-(at - of.data) // step)) for at in (low, high))
-        for start in range(first * self.chunk, min(last * self.chunk, of.frames), self.chunk):
-            end = min(start + self.chunk, of.frames)
-            begin, stop = max(0, start - self.before), min(end + after, of.frames)
+        frames: _Frames | Resampled = _Frames(file, of)
+        rate, total, source = of.rate, of.frames, lambda frame: frame
+        if self.rate and self.rate != of.rate:
+            frames = Resampled(frames, self.rate)
+            rate, total, source = self.rate, frames.total, frames.source
+        after = int(np.ceil(rate * self.after_s)) + 1
+        for start in range(0, total, self.chunk):
+            if not low <= of.data + source(start) * of.width < high:
+                continue  # another task's chunk
+            end = min(start + self.chunk, total)
+            begin, stop = max(0, start - self.before), min(end + after, total)
             x = frames.between(begin, stop)
             signals = list(enumerate(x)) + ([(wav.MIX, x.mean(0, dtype=np.float32))] if of.channels > 1 else [])
             signals = [(c, v) for c, v in signals if self.channels is None or c in self.channels]
@@ -159,7 +200,7 @@ class AudioReader(DataSourceReader):
             n = len(signals)
             parts = [[v[a - begin : b - begin] for _, v in signals] for a, b in ((start, end), (begin, start), (end, stop))]
             same = [pa.array([v] * n, k) for v, k in ((path, pa.string()), (path, pa.string()), (None, pa.string()))]
-            head = [pa.array([v] * n, k) for v, k in ((of.channels, pa.int32()), (of.rate, pa.int32()), (of.frames, pa.int64()), (of.depth, pa.int32()), (start, pa.int64()))]
+            head = [pa.array([v] * n, k) for v, k in ((of.channels, pa.int32()), (rate, pa.int32()), (total, pa.int64()), (of.depth, pa.int32()), (start, pa.int64()))]
             yield pa.RecordBatch.from_arrays([*same, pa.array([c for c, _ in signals], pa.int32()), *head, *map(_lists, parts), pa.array([None] * n, pa.string())], schema=_CHUNK_TYPES)
 
 
@@ -168,7 +209,7 @@ READABLE = (".wav", ".aiff", ".aif")
 
 
 class AudioSource(DataSource):
-    """Options: ``path``, ``what``, ``glob``, ``split`` (bytes a task), ``chunk``, ``before`` (frames), ``after_s``."""
+    """Options: ``path``, ``what``, ``glob``, ``split`` (bytes a task), ``chunk``, ``before`` (frames), ``after_s``, ``resample`` (a rate)."""
 
     @classmethod
     def name(cls) -> str:

@@ -7,6 +7,20 @@ from pathlib import Path
 import yaml
 
 CLASSIFICATIONS = ("public", "internal", "confidential", "restricted")
+#: The least and the greatest value of parameters, None where there is no bound; those in ABOVE must exceed the least.
+RANGES = {
+    "acoustic_context": {"scene_change_threshold_deg": (0.0, None), "max_rt60_s": (0.0, None)},
+    "clipping": {"threshold": (0.0, 1.0), "max_clipped_pct": (0.0, None)},
+    "glitch": {"click_sensitivity": (1.0, None), "dropout_min_ms": (1.0, None), "dropout_threshold": (0.0, 0.1), "repeat_min_samples": (4, None), "min_events_for_warning": (1, None)},
+    "loop": {"loop_point_ms": (0, None), "loop_point_samples": (1, None), "amplitude_threshold": (0.0, None), "derivative_threshold": (0.0, None)},
+    "pitch_f0": {"fmin": (0, None), "fmax": (0, None)},
+    "pitch_stab": {"max_drift_cents": (0.0, None)},
+    "spectral_health": {"n_fft": (64, None), "hop": (16, None)},
+    "speech_intelligibility": {"min_score": (0.0, 1.0)},
+    "speech_rate": {"max_syllables_per_sec": (1.0, None)},
+    "transient": {"max_attack_ms": (0.1, None)},
+}
+ABOVE = {("pitch_f0", "fmin"), ("pitch_f0", "fmax")}
 FOLDER = Path(__file__).resolve().parent.parent / "profiles"
 
 
@@ -48,6 +62,12 @@ def _fits(value: object, default: object) -> bool:
     return isinstance(value, int | float) if default is None or isinstance(default, float) else isinstance(value, type(default))
 
 
+def _within(analyzer: str, name: str, value: object) -> bool:
+    """Whether a parameter lies in its range."""
+    low, high = RANGES.get(analyzer, {}).get(name, (None, None))
+    return (low is None or (value > low if (analyzer, name) in ABOVE else value >= low)) and (high is None or value <= high)
+
+
 def load_profile(name: str, strict: bool = False, known: dict[str, dict] | None = None) -> dict:
     """The resolved profile of a path or a name; ``known`` has the parameters of each analyzer with their defaults."""
     path = Path(name) if Path(name).is_file() else _find(name, Path("."))
@@ -64,4 +84,6 @@ def load_profile(name: str, strict: bool = False, known: dict[str, dict] | None
             raise ProfileError(f"unknown parameters of {analyzer}: {', '.join(odd)}")
         if odd := sorted(p for p, v in params.items() if not _fits(v, known[analyzer][p])):
             raise ProfileError(f"parameters of {analyzer} of the wrong kind: {', '.join(odd)}")
+        if odd := sorted(p for p, v in params.items() if v is not None and not _within(analyzer, p, v)):
+            raise ProfileError(f"parameters of {analyzer} out of range: {', '.join(odd)}")
     return profile | {"strict_overlay": (profile.get("strict_overlay") or {}) if strict else {}}

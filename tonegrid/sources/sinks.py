@@ -98,7 +98,7 @@ def bundle_documents(findings: DataFrame, files: DataFrame, profile: dict, tool:
         F.coalesce(F.max_by("row.finding.status", rank(F.col("row.finding.status"))), F.lit("pass")).alias("aggregate_status"),
     )
     nulls = {"ignoreNullFields": "false"}
-    described = files.select(F.col("file_id").alias("of"), F.struct(*[F.col(c) for c in ("channel_layout", "channels")], F.round("duration_s", 4).alias("duration_s"), *[F.col(c) for c in ("file_sha256", "frames")], F.col("sample_rate").alias("sample_rate_hz"), "source_path").alias("subject"))
+    described = files.select(F.col("file_id").alias("of"), F.struct(*[F.col(c) for c in ("channel_layout", "channels")], F.round("duration_s", 4).alias("duration_s"), *[F.col(c) for c in ("file_sha256", "frames")], *[F.col(c) for c in ("provenance",) if c in files.columns], F.col("sample_rate").alias("sample_rate_hz"), "source_path").alias("subject"))
     settings = _struct(analyzers=F.array(*[F.lit(a) for a in sorted(profile["analyzers"])]), data_classification=F.lit(profile.get("data_classification", "internal")), name=F.lit(profile["name"]), strict=F.lit(bool(profile.get("strict_overlay"))), version=F.lit(str(profile["version"])))
     whole = _struct(
         aggregate_status=F.col("aggregate_status"), findings=F.col("findings"), measurement_fingerprint=F.sha2(F.to_json("findings", nulls), 256), profile=settings,
