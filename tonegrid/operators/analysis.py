@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonegrid.functions.columns import db, lufs
-from tonegrid.operators import envelopes, events, kernels, levels, policy, spectra, voices
+from tonegrid.operators import alignment, envelopes, events, kernels, layouts, levels, policy, spectra, voices
+from tonegrid.sources.audio import audio_headers, scan_audio
 from tonegrid.sources.wav import channels_of, mono, subjects
 
 
@@ -41,6 +42,7 @@ ANALYZERS: dict[str, Analyzer] = {}
 CONFIDENCE = {
     "inspect": 1.0, "loudness": 0.95, "lra": 0.9, "true_peak": 0.97, "clipping": 0.99, "mono_compat": 0.9, "channel_balance": 0.92, "goniometer": 0.9, "binaural_compat": 0.75, "drn": 0.85,
     "acoustic_context": 0.75, "glitch": 0.85, "loop": 0.95, "transient": 0.75, "resampling": 0.7, "voice_artifacts": 0.65, "speech_rate": 0.6, "rhythmic_grid_alignment": 0.55, "pitch_stab": 0.7, "speech_intelligibility": 0.7, "deepfake": 0.3, "acoustic_fingerprint": 0.9, "spectral_health": 0.9, "spectral_irregularity": 0.85, "timbre_distance": 0.8, "harmonic_tension": 0.6, "inharmonicity": 0.65, "fatigue_index": 0.6, "melodic_contour": 0.6,
+    "codec_conf": 0.85, "spatial_coherence": 0.8, "ref_quality": 0.8, "enf_phase": 0.5,
 }
 #: Analyzers added by plugins: functions of (good chunks, parameters) to findings, with the parameters they take.
 REGISTRY: dict[str, tuple[Callable[[DataFrame, dict], DataFrame], tuple[str, ...]]] = {}
@@ -379,6 +381,134 @@ def acoustic_fingerprint(chunks: DataFrame, params: dict) -> DataFrame:
     return prints.select("file_id", F.lit(None).cast("double").alias("value"), passes().alias("status"), said.alias("message"))
 
 
+def no_value() -> Column:
+    return F.lit(None).cast("double")
+
+
+@analyzer("codec_conf", "codec_conf.check", "compliance_status", "enum", "declared frames against decoded ones", "frames IS NOT NULL", frame_tolerance_pct=1.0)
+def codec_conformance(chunks: DataFrame, params: dict) -> DataFrame:
+    decoded = channels_of(chunks).where("channel = 0").groupBy("file_id").agg(F.sum(F.size("samples")).alias("decoded"))
+    both = subjects(chunks).join(decoded, "file_id", "left").withColumn("off", F.coalesce(100.0 * F.abs(F.col("frames") - F.coalesce("decoded", F.lit(0))) / F.when(F.col("frames") > 0, F.col("frames")), F.lit(0.0)))
+    count = F.when(F.col("off") > params["frame_tolerance_pct"], F.format_string("declared %d frames against %d decoded (%.2f%%)", "frames", F.coalesce("decoded", F.lit(0)), "off"))
+    depth = F.when(F.coalesce("bit_depth", F.lit(0)) == 0, "unknown bit depth")
+    said = F.concat_ws("; ", count, depth)
+    return both.select("file_id", no_value().alias("value"), warn(said != "").alias("status"), F.when(said != "", said).otherwise("what the file declares is what it holds").alias("message"))
+
+
+@analyzer("spatial_coherence", "spatial_coherence.correlation", "max_off_diag_correlation", "0-1", "correlation of all pairs of channels", "channels >= 2", max_off_diag_corr=0.95)
+def spatial_coherence(chunks: DataFrame, params: dict) -> DataFrame:
+    best = layouts.most_alike(layouts.channel_moments(chunks.where("channels >= 2")))
+    said = F.format_string("channels %d and %d correlate most, at %.3f", "a", "b", "value")
+    return best.select("file_id", F.round("value", 4).alias("value"), warn(F.col("value") > params["max_off_diag_corr"]).alias("status"), said.alias("message"))
+
+
+@analyzer("multichannel_layout", "multichannel_layout.lfe", "lfe_low_freq_energy_pct", "%", "low-frequency channel, sum of left and right, centre", "channels IN (6, 8)")
+def multichannel_layout(chunks: DataFrame, params: dict) -> DataFrame:
+    """Three findings a file: what its low-frequency channel holds, and whether left with right, and the centre, are silent."""
+    multi = chunks.where("channels IN (6, 8)")
+    moments = events.kept(layouts.channel_moments(multi).where("(a = 0 AND b = 1) OR (a = 2 AND b = 2)"))
+    low = layouts.low_share(multi).select("file_id", F.round("low_pct", 2).alias("value"), warn(F.col("low_pct") < 80.0).alias("status"), F.lit("multichannel_layout.lfe").alias("check_id"), F.lit("lfe_low_freq_energy_pct").alias("metric"), F.lit("%").alias("unit"))
+    out = low
+    for check, metric, place, squares, least, digits in (
+        ("stereo_compat", "stereo_downmix_energy", "a = 0", F.col("saa") + F.col("sbb") + 2 * F.col("sab"), 1e-8, 4),
+        ("center", "center_channel_energy", "a = 2", F.col("saa"), 1e-6, 6),
+    ):
+        rms = layouts.root_mean(squares, F.col("n"))
+        silent = rms <= least if check == "stereo_compat" else rms < least
+        out = out.unionByName(moments.where(place).select("file_id", F.round(rms, digits).alias("value"), warn(silent).alias("status"), F.lit(f"multichannel_layout.{check}").alias("check_id"), F.lit(metric).alias("metric"), F.lit("rms").alias("unit")))
+    return out
+
+
+#: Metric, unit and least score of each mode of reference quality, and the column of :func:`alignment.scores` that it reports.
+REFERENCE_MODES = {"speech-full-ref": ("stoi_proxy", "0-1", 0.6, "envelope"), "audio-full-ref": ("visqol_proxy", "MOS", 3.5, "spectral"), "source-sep-ref": ("si_sdr_db", "dB", 5.0, "ratio_db")}
+
+
+def same(chunks: DataFrame, status: str, message: str | Column, check_id: str, metric: str, unit: str) -> DataFrame:
+    """One finding without a value for every file."""
+    said = F.lit(message) if isinstance(message, str) else message
+    return subjects(chunks).select("file_id", no_value().alias("value"), F.lit(status).alias("status"), said.alias("message"), F.lit(check_id).alias("check_id"), F.lit(metric).alias("metric"), F.lit(unit).alias("unit"))
+
+
+def unreadable(spark, path: str, sha256: str = "") -> tuple[str, str] | None:
+    """(check, message) if a reference can't be read, or isn't the one that was declared: one row of its header comes to the driver."""
+    try:
+        head = audio_headers(spark, path).select("error", "file_sha256").head()
+    except Exception as error:  # a path that isn't there
+        return "decode_error", f"could not decode reference: {type(error).__name__}"
+    if sha256 and head is not None and head["file_sha256"] != sha256:
+        return "hash_mismatch", f"reference hash mismatch: declared {sha256[:12]}, found {head['file_sha256'][:12]}"
+    if head is None or head["error"]:
+        return "decode_error", f"could not decode reference: {head['error'] if head else 'no such file'}"
+    return None
+
+
+def compared(chunks: DataFrame, paths: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(signals, chunks of the pairs of each signal and each reference), references at the files' sample rates."""
+    spark, signals = chunks.sparkSession, mono(chunks).where("frames > 0")
+    rates = [r[0] for r in signals.select("sample_rate").distinct().collect()]  # as many as there are sample rates
+    references = alignment.references_at(lambda path, rate: scan_audio(spark, path, resample=rate), paths, rates or [1])
+    return signals, alignment.paired(signals, references)
+
+
+@analyzer("ref_quality", "ref_quality.indeterminate", "quality_score", "score", "similarity with a reference aligned by cross-correlation", "frames IS NOT NULL", mode="no-reference", reference_path="", reference_sha256="", min_score=None)
+def reference_quality(chunks: DataFrame, params: dict) -> DataFrame:
+    """Against one reference, in one of three modes; without it there is nothing to tell."""
+    mode, path = params["mode"], params["reference_path"]
+    if mode == "no-reference" or not path:
+        return same(chunks, "indeterminate", "without a reference there is no metric against one", "ref_quality.indeterminate", "quality_score", "score")
+    if wrong := unreadable(chunks.sparkSession, path, params["reference_sha256"]):
+        return same(chunks, "error", wrong[1], f"ref_quality.{wrong[0]}", "quality_score", "score")
+    if mode not in REFERENCE_MODES:
+        return same(chunks, "not_applicable", f"unknown mode: {mode}", "ref_quality.unknown_mode", "quality_score", "score")
+    metric, unit, least, column = REFERENCE_MODES[mode]
+    least = least if params["min_score"] is None else params["min_score"]
+    pairs = compared(chunks, {"reference": path})[1]
+    found = alignment.scores(alignment.aligned(pairs, alignment.lags(pairs)))
+    value = F.col(column)
+    return found.select("file_id", F.round(value, 4).alias("value"), warn(value < least).alias("status"), F.lit(f"ref_quality.{mode}").alias("check_id"), F.lit(metric).alias("metric"), F.lit(unit).alias("unit"))
+
+
+@analyzer("stem_sep", "stem_sep.si_sdr", "si_sdr_db", "dB", "distortion against the own stem, projections on the others", "frames IS NOT NULL", references={}, stem_name="unknown", min_si_sdr_db=5.0, max_leakage_pct=10.0)
+def stem_separation(chunks: DataFrame, params: dict) -> DataFrame:
+    """Two findings a file: its distortion against the reference of its own stem, and what leaks in from the others."""
+    paths = {name: p.get("path") if isinstance(p, dict) else p for name, p in params["references"].items()}
+    paths = {name: path for name, path in paths.items() if path}
+    if not params["references"]:
+        return same(chunks, "indeterminate", "without reference stems there is no metric against them", "stem_sep.indeterminate", "si_sdr_db", "dB")
+    for name, path in paths.items():
+        if wrong := unreadable(chunks.sparkSession, path):
+            return same(chunks, "error", f"{name}: {wrong[1]}", "stem_sep.decode_error", "si_sdr_db", "dB")
+    own = params["stem_name"]
+    if own not in paths:
+        return same(chunks, "not_applicable", f"own stem {own!r} not found in references", "stem_sep.no_own_ref", "si_sdr_db", "dB")
+    signals, pairs = compared(chunks, paths)
+    mine = pairs.where(F.col("reference") == own)
+    ratio = F.col("ratio_db")
+    distortion = alignment.scores(alignment.aligned(mine, alignment.lags(mine))).select("file_id", F.round(ratio, 2).alias("value"), warn(ratio < params["min_si_sdr_db"]).alias("status"), F.lit("stem_sep.si_sdr").alias("check_id"), F.lit("si_sdr_db").alias("metric"), F.lit("dB").alias("unit"), F.lit(0.85).alias("confidence"))
+    leaked = F.col("leakage_pct")
+    return distortion.unionByName(alignment.leakage(signals, pairs, own).select("file_id", F.round(leaked, 2).alias("value"), warn(leaked > params["max_leakage_pct"]).alias("status"), F.lit("stem_sep.leakage").alias("check_id"), F.lit("leakage_pct").alias("metric"), F.lit("%").alias("unit"), F.lit(0.7).alias("confidence")))
+
+
+@analyzer("enf_phase", "enf_phase.continuity", "phase_discontinuity_count", "events", "phase of mains hum in frames of a second", "frames >= sample_rate", enabled=False, min_duration_s=60.0, min_snr_db=10.0, phase_threshold_rad=1.0)
+def mains_phase(chunks: DataFrame, params: dict) -> DataFrame:
+    """Only where a profile enables it; always for a person to review."""
+    if not params["enabled"]:
+        return subjects(chunks).where("false").select("file_id", no_value().alias("value"), passes().alias("status"))
+    long = F.col("frames") / F.col("sample_rate") >= params["min_duration_s"]
+    signals = mono(chunks).where("frames >= sample_rate")
+    found = events.kept(layouts.hum(signals.where(long)))
+    heard = F.col("snr_db") >= params["min_snr_db"]
+    jumps = layouts.phase_jumps(signals.where(long), found, params["phase_threshold_rad"])
+    each = subjects(chunks).select("file_id", long.alias("long"), "duration_s").join(found, "file_id", "left").join(jumps, "file_id", "left")
+    pick = lambda short, faint, told: F.when(~F.col("long"), short).when(~heard, faint).otherwise(told)
+    return each.select(
+        "file_id", pick(no_value(), F.round("snr_db", 2), F.coalesce("jumps", F.lit(0)).cast("double")).alias("value"), F.lit("needs_review").alias("status"),
+        pick(F.lit("enf_phase.applicability"), F.lit("enf_phase.snr"), F.lit("enf_phase.continuity")).alias("check_id"),
+        pick(F.lit("enf_status"), F.lit("enf_snr_db"), F.lit("phase_discontinuity_count")).alias("metric"), pick(F.lit("enum"), F.lit("dB"), F.lit("events")).alias("unit"),
+        pick(F.format_string("too short (%.1f s) to tell", "duration_s"), F.format_string("no reliable mains hum (%.1f dB)", "snr_db"), F.format_string("%d jumps of phase at %.2f Hz: possible edits, no proof; needs a person's review", F.coalesce("jumps", F.lit(0)), "hz")).alias("message"),
+    )
+
+
 def finding(df: DataFrame, analyzer: str, check_id: Column, metric: Column, value: Column, unit: str | Column, status: Column, method: str, message: Column | None = None, confidence: Column | None = None) -> DataFrame:
     """Findings in the common columns; what isn't finite is null, and says so."""
     number = value.cast("double")

@@ -11,15 +11,20 @@ CLASSIFICATIONS = ("public", "internal", "confidential", "restricted")
 RANGES = {
     "acoustic_context": {"scene_change_threshold_deg": (0.0, None), "max_rt60_s": (0.0, None)},
     "clipping": {"threshold": (0.0, 1.0), "max_clipped_pct": (0.0, None)},
+    "codec_conf": {"frame_tolerance_pct": (0.0, None)},
+    "enf_phase": {"min_duration_s": (1.0, None), "phase_threshold_rad": (0.1, None)},
     "glitch": {"click_sensitivity": (1.0, None), "dropout_min_ms": (1.0, None), "dropout_threshold": (0.0, 0.1), "repeat_min_samples": (4, None), "min_events_for_warning": (1, None)},
     "loop": {"loop_point_ms": (0, None), "loop_point_samples": (1, None), "amplitude_threshold": (0.0, None), "derivative_threshold": (0.0, None)},
     "pitch_f0": {"fmin": (0, None), "fmax": (0, None)},
     "pitch_stab": {"max_drift_cents": (0.0, None)},
     "spectral_health": {"n_fft": (64, None), "hop": (16, None)},
+    "spatial_coherence": {"max_off_diag_corr": (0.0, 1.0)},
     "speech_intelligibility": {"min_score": (0.0, 1.0)},
     "speech_rate": {"max_syllables_per_sec": (1.0, None)},
     "transient": {"max_attack_ms": (0.1, None)},
 }
+#: What parameters may be that are words.
+CHOICES = {"ref_quality": {"mode": ("no-reference", "speech-full-ref", "audio-full-ref", "source-sep-ref")}}
 ABOVE = {("pitch_f0", "fmin"), ("pitch_f0", "fmax")}
 FOLDER = Path(__file__).resolve().parent.parent / "profiles"
 
@@ -63,7 +68,9 @@ def _fits(value: object, default: object) -> bool:
 
 
 def _within(analyzer: str, name: str, value: object) -> bool:
-    """Whether a parameter lies in its range."""
+    """Whether a parameter lies in its range, or is among its choices."""
+    if name in CHOICES.get(analyzer, {}):
+        return value in CHOICES[analyzer][name]
     low, high = RANGES.get(analyzer, {}).get(name, (None, None))
     return (low is None or (value > low if (analyzer, name) in ABOVE else value >= low)) and (high is None or value <= high)
 
