@@ -1,6 +1,7 @@
 """The audio source: byte ranges, filters, headers, hashes and formats."""
 
 import hashlib
+import json
 import struct
 
 import numpy as np
@@ -83,17 +84,29 @@ def test_pieces_cover_every_file_once():
     assert len(audio.deal([("x", 10)] * 100, 10 * (10 + audio.OPEN_COST))) == 10 and len(audio.deal(files, 7, whole=True)) == 4
 
 
-def test_filters_are_pushed_down(spark, folder):
-    chunks = audio.scan_audio(spark, str(folder), chunk=4096)
+def test_files_and_channels_by_option(spark, folder):
     path = f"file://{folder}/long.wav"
-    one = chunks.where((F.col("source_path") == path) & (F.col("channel") == 1) & (F.col("start") < 8000))
-    assert [r.start for r in one.orderBy("start").collect()] == [0, 4096] and {r.channel for r in one.collect()} == {1}
-    plan = one._jdf.queryExecution().executedPlan().toString()
-    assert "Filter" in plan and f"= {path}" not in plan.split("Filter", 1)[1].split("BatchScan")[0]
-    assert chunks.where(F.col("channel").isin(0, 1)).where(F.col("file_id") == path).count() == 26
-    reader = audio.AudioReader({"path": str(folder)})
-    rest = list(reader.pushFilters([audio.EqualTo(("source_path",), "x"), audio.In(("source_path",), ("x", "y")), audio.EqualTo(("channel",), 0), audio.EqualTo(("frames",), 1)]))
-    assert rest == [audio.EqualTo(("frames",), 1)] and reader.paths == {"x"} and reader.channels == {0}
+    one = audio.scan_audio(spark, str(folder), chunk=4096, files=json.dumps([path]), channels=json.dumps([1]))
+    assert {(r.source_path, r.channel) for r in one.collect()} == {(path, 1)}
+    assert [r.start for r in one.where("start < 8000").orderBy("start").collect()] == [0, 4096]
+    assert audio.scan_audio(spark, str(folder), chunk=4096, files=json.dumps([path]), channels=json.dumps([0, 1])).count() == 26
+    reader = audio.AudioReader({"path": str(folder), "files": json.dumps([path])})
+    assert {piece[0] for p in reader.partitions() for piece in p.pieces} == {path}
+
+
+def test_filters_of_one_scan_do_not_reach_another(spark, folder):
+    chunks = audio.scan_audio(spark, str(folder), chunk=4096).where(F.col("source_path").endswith("long.wav"))
+    counts = {r["channel"]: r["n"] for r in chunks.groupBy("channel").agg(F.count("*").alias("n")).collect()}
+    assert counts == {-1: 13, 0: 13, 1: 13}
+    for first, second in (("channel = 0", "channel = 1"), ("channel = 1", "channel <> -1"), ("channel <> -1", "channel = 0")):
+        sides = [chunks.where(c).select("channel", "start", F.lit(n).alias("side")) for n, c in enumerate((first, second))]
+        found = {(r["side"], r["channel"]): r["n"] for r in sides[0].union(sides[1]).groupBy("side", "channel").agg(F.count("*").alias("n")).collect()}
+        want = {(n, c): 13 for n, rule in enumerate((first, second)) for c in counts if eval(rule.replace("<>", "!=").replace(" = ", " == "), {"channel": c})}
+        assert found == want
+    path = f"file://{folder}/long.wav"
+    both = audio.scan_audio(spark, str(folder))
+    kept = both.where(F.col("source_path") == path).select("source_path").union(both.where(F.col("source_path") != path).select("source_path")).distinct()
+    assert kept.count() == both.select("source_path").distinct().count()
 
 
 def test_headers_and_hashes_read_no_samples(spark, folder):

@@ -213,7 +213,7 @@ def scores(blocks: DataFrame) -> DataFrame:
     means = windows.groupBy(PAIR).agg(F.try_divide(F.sum(F.aggregate(each, F.lit(0.0), lambda a, v: a + v)), F.sum(F.size("dots"))).alias("mean"))
     return per.join(means, PAIR).select(
         *PAIR, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(F.when(F.col("long") >= WINDOW, F.col("mean")), F.lit(0.0)))).alias("envelope"),
-        F.coalesce(1 + 4 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("alike"))), F.lit(1.0)).alias("spectral"), ratio_db().alias("ratio_db"),
+        (1 + 4 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("alike", F.lit(0.0))))).alias("spectral"), ratio_db().alias("ratio_db"),
     )
 
 

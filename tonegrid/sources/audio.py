@@ -10,12 +10,13 @@ What is read (option ``what``):
 * ``headers``: a row for each file without reading its samples;
 * ``hashes``: SHA-256 of each file, streamed; that is one task a file, as a hash is sequential by nature.
 
-Filters on ``source_path``, ``file_id`` and ``channel`` are pushed into the listing and the decoding. Files that can't be read,
-empty ones as well, become one row with an error.
+The options ``files`` (paths) and ``channels`` restrict the listing and the decoding; filters are left to Spark. Files that can't
+be read, empty ones as well, become one row with an error.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from tonegrid.sources import formats, wav
@@ -125,18 +126,10 @@ class AudioReader(DataSourceReader):
         self.split, self.after_s = int(options.get("split", SPLIT)), float(options.get("after_s", wav.AFTER_S))
         self.chunk, self.before = int(options.get("chunk", wav.CHUNK)), int(options.get("before", wav.BEFORE))
         self.rate = int(options.get("resample", 0))
-        self.paths: set | None = None
-        self.channels: set | None = None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
-            if values is not None and f.attribute in (("source_path",), ("file_id",)):
-                self.paths = values if self.paths is None else self.paths & values
-            elif values is not None and f.attribute == ("channel",) and self.what == "chunks":
-                self.channels = values if self.channels is None else self.channels & values
-            else:
-                yield f
+        # asked for by options, not by pushed filters: Spark shares one set of pushed filters among all scans of a relation in a query,
+        # so that a union of two of its channels would get one of them twice
+        self.paths = set(json.loads(options["files"])) if options.get("files") else None
+        self.channels = set(json.loads(options["channels"])) if options.get("channels") else None
 
     def partitions(self) -> list[InputPartition]:
         files = [f for f in listed(self.path, self.glob) if self.paths is None or f[0] in self.paths]
@@ -209,7 +202,7 @@ READABLE = (".wav", ".aiff", ".aif")
 
 
 class AudioSource(DataSource):
-    """Options: ``path``, ``what``, ``glob``, ``split`` (bytes a task), ``chunk``, ``before`` (frames), ``after_s``, ``resample`` (a rate)."""
+    """Options: ``path``, ``what``, ``glob``, ``split`` (bytes a task), ``chunk``, ``before`` (frames), ``after_s``, ``resample`` (a rate), ``files`` (paths) and ``channels`` (JSON lists of those that are read at all)."""
 
     @classmethod
     def name(cls) -> str:
@@ -227,7 +220,6 @@ class AudioSource(DataSource):
 
 def _source(spark: SparkSession, path: str, what: str, glob: str, **options) -> DataFrame:
     spark.dataSource.register(AudioSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # this session refuses sources that take filters without it
     return spark.read.format("audio").options(what=what, glob=glob, **{k: str(v) for k, v in options.items()}).load(qualified(spark, path))
 
 
