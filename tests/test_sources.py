@@ -90,7 +90,7 @@ def test_files_and_channels_by_option(spark, folder):
     assert {(r.source_path, r.channel) for r in one.collect()} == {(path, 1)}
     assert [r.start for r in one.where("start < 8000").orderBy("start").collect()] == [0, 4096]
     assert audio.scan_audio(spark, str(folder), chunk=4096, files=json.dumps([path]), channels=json.dumps([0, 1])).count() == 26
-    reader = audio.AudioReader({"path": str(folder), "files": json.dumps([path])})
+    reader = audio.AudioReader({"path": f"file://{folder}", "files": json.dumps([path])})
     assert {piece[0] for p in reader.partitions() for piece in p.pieces} == {path}
 
 
