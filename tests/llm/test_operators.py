@@ -541,6 +541,25 @@ def test_passages_with_replaced_words_are_found(spark, tmp_path, kind, rate):
     assert found >= 36
 
 
+def test_all_holders_of_a_passage_meet(spark, tmp_path):
+    """Copies with edits of their own are all within the threshold of each other, and a holder of the seeds alone hides none of them."""
+    rng = np.random.default_rng(33)
+    make = lambda n: [f"w{i}" for i in rng.integers(0, 1 << 30, n)]
+    texts, wanted = [], set()
+    for _ in range(5):
+        base, first = make(70), len(texts)
+        for _ in range(8):
+            copy = list(base)
+            for i in rng.choice(70, 4, replace=False):
+                copy[i] = make(1)[0]
+            texts.append(" ".join(make(30) + copy + make(30)))
+        texts += [" ".join(make(30) + base[i : i + 14] + make(30)) for i in range(0, 56, 14)]  # short pieces are no passages
+        wanted |= {(i, j) for j in range(first, first + 8) for i in range(first, j)}
+    texts += [texts[0]] * 40  # copies of one text don't make its seeds frequent; they are reported with one of them
+    got = {tuple(sorted((r.doc_id, r.other_id))) for r in substring_dedup.shared_passages(read(spark, tmp_path, documents=documents(texts))).collect()}
+    assert got == wanted | {(0, i) for i in range(len(texts) - 40, len(texts))}
+
+
 def test_substring_dedup_of_awkward_documents(spark, tmp_path):
     docs = awkward()
     got = substring_dedup.query(spark, written(tmp_path, documents=clashing(docs))).collect()
