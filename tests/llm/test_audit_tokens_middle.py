@@ -114,6 +114,27 @@ def test_ids_by_words_are_those_of_whole_texts(spark):
         assert found == {i: [*e.ids, 2] for i, e in enumerate(plain.encode_batch(texts, add_special_tokens=False))}
 
 
+def test_case_and_marks_after_words_need_no_ids_of_their_own():
+    with open(TOKENIZER) as f:
+        definition = f.read()
+    plain, told = Tokenizer.from_file(TOKENIZER), json.loads(definition)
+    assert token_files.separable(told)
+    words = ["thertion", "Thertion", "THERTION.", "thertion,", "thertion$$$", "Thertion.%%%"]
+    odd = ["it's", "IT'S.", "o'", "x1.", "a.b", ".a", "...", "J\u030c.", "É.", "İ.", "a<|endoftext|>", "<|endoftext|>", "<|startoftext|>.", "a<|", "a|>", "a_", "A\\", "a-", "\x00a.", "a\x7f", "ſ."]
+    marks = [f"Word{chr(c)}" for c in range(33, 127)] + [f"word{chr(c)}'s" for c in range(33, 127)] + [f"word'{chr(c)}" for c in range(33, 127)]
+    asked = []
+    parts = token_files.Parts(plain, told["model"].get("end_of_word_suffix"), True)
+    encode = parts.encoded
+    parts.encoded = lambda texts: asked.extend(texts) or encode(texts)
+    pooled = lambda texts: [x.tolist() for pool, sizes in [parts.pooled(pa.array(texts))] for x in np.split(pool, np.cumsum(sizes)[:-1])]
+    assert pooled(words) == [plain.encode(w, add_special_tokens=False).ids for w in words]
+    assert sorted(asked) == ["$$$", ",", ".", ".%%%", "thertion"]
+    some = list(dict.fromkeys(odd + marks))
+    assert pooled(some) == [plain.encode(w, add_special_tokens=False).ids for w in some]
+    for change in ({"normalizer": None}, {"pre_tokenizer": None}, {"normalizer": {"type": "NFC"}}, {"added_tokens": [{"content": "thertion."}]}):
+        assert not token_files.separable(told | change)
+
+
 def test_known_parts_are_bounded(monkeypatch):
     monkeypatch.setattr(token_files, "KNOWN", 20)
     with open(TOKENIZER) as f:

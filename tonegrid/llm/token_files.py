@@ -12,7 +12,8 @@ A tokenizer that never joins across white space gives for a text what it gives f
 white space. Arrow splits a batch and numbers its distinct parts; each worker remembers the ids of two generations of
 up to ``KNOWN`` parts (what is asked for moves to the young one, the old one is dropped when that is full; parts over
 ``LONG`` bytes are encoded anew), and the ids of a batch are gathered by those numbers. Unknown parts are encoded
-``TOGETHER`` at a time and told apart by tokens that end a word, or by their places. :func:`encoded` takes whole texts
+``TOGETHER`` at a time and told apart by tokens that end a word, or by their places. Where the tokenizer lowers letters and cuts
+them from marks (:func:`separable`), ASCII words are remembered without their case and the marks after them. :func:`encoded` takes whole texts
 instead where ``by_words`` is off.
 
 Defined results: a null text is empty and still has its end id; rows with a null id come first; rows of
@@ -42,6 +43,11 @@ BLOCK, FILE_IDS, READ_IDS = 4096, 1 << 25, 1 << 20
 KNOWN, LONG, TOGETHER = 3 << 17, 64, 256
 #: Bytes of text whose parts are numbered at once.
 PIECE = 8 << 20
+#: ASCII characters that are neither letters nor digits, nor begin a contraction.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Pre-tokenizers' patterns that cut letters from what is neither letter, digit nor white space.
+CUTTING = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
 MANIFEST = "manifest.json"
 _MAGIC, _FOOTER = b"TGPACK01", struct.Struct("<IIQQQQ8s")
 
@@ -300,13 +306,27 @@ class PackedReader(DataSourceReader):
 _LOADED: dict[str, tuple] = {}
 
 
+def separable(definition: dict) -> bool:
+    """Whether an ASCII part of letters and marks after them has the ids of its letters in lower case, then those of its marks."""
+    normal = definition.get("normalizer") or {}
+    kinds = [n["type"] for n in normal.get("normalizers", [normal]) if n]
+    cuts = definition.get("pre_tokenizer") or {}
+    first, *rest = cuts.get("pretokenizers", [cuts])
+    return (
+        "Lowercase" in kinds and {*kinds} <= {"NFC", "Lowercase", "Replace"} and all(n.get("pattern") == {"Regex": r"\s+"} for n in normal.get("normalizers", []) if n["type"] == "Replace")
+        and first.get("type") == "Split" and first["pattern"].get("Regex") in CUTTING and first["behavior"] == "Removed" and first["invert"]
+        and all(c["type"] == "ByteLevel" and not c["add_prefix_space"] and not c["use_regex"] for c in rest)
+        and all(any(a in MARKS and b.isalpha() for a, b in zip(t["content"], t["content"][1:], strict=False)) for t in definition.get("added_tokens", []))
+    )
+
+
 class Parts:
     """Ids of parts of texts between white space, remembered within bounds."""
 
-    def __init__(self, tokenizer, suffix: str | None = None):
+    def __init__(self, tokenizer, suffix: str | None = None, cut: bool = False):
         import numpy as np
 
-        self.tokenizer = tokenizer
+        self.tokenizer, self.cut = tokenizer, cut
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.ends = None
@@ -333,7 +353,7 @@ class Parts:
             return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
         return [raw[4 * a : 4 * b] for a, b in zip(starts, [*starts[1:], len(found.ids)], strict=True)]
 
-    def of(self, parts: list[bytes]) -> list[bytes]:
+    def known(self, parts: list[bytes]) -> list[bytes]:
         """The ids of distinct parts."""
         found = list(map(self.young.get, parts))
         rest = [i for i, ids in enumerate(found) if ids is None]
@@ -354,6 +374,32 @@ class Parts:
         self.young.update((parts[i], found[i]) for i in rest if len(parts[i]) <= LONG)
         return found
 
+    def pooled(self, parts: pa.Array):
+        """(ids of all parts, one after another, how many each has); where letters and marks can be told apart, what is asked for and remembered is letters in lower case, and marks."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        second = None
+        if self.cut:
+            low = pc.ascii_lower(parts)
+            head = pc.ascii_rtrim(low, MARKS)
+            good = pc.and_(pc.string_is_ascii(low), pc.ascii_is_alpha(head))
+            second = pc.if_else(good, pc.ascii_ltrim(low, LETTERS), "").dictionary_encode()
+            parts = pc.if_else(good, head, parts).dictionary_encode()
+            indices, parts = parts.indices.to_numpy(), parts.dictionary
+        ids = self.known(parts.cast(pa.binary()).to_pylist())
+        if second is not None:
+            marks = second.dictionary.cast(pa.binary()).to_pylist()
+            some = [m for m in marks if m]
+            of = dict(zip(some, self.known(some), strict=True))
+            ids += [of.get(m, b"") for m in marks]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        if second is None:
+            return pool, sizes
+        which = np.stack((indices, second.indices.to_numpy() + len(parts)), 1).reshape(-1)
+        return gathered(pool, sizes, which)[0], sizes[which].reshape(-1, 2).sum(1)
+
     def texts(self, texts: pa.Array, end: bytes) -> pa.Array:
         """The ids of each text, as bytes, ``end`` after them."""
         import numpy as np
@@ -361,19 +407,26 @@ class Parts:
 
         lists = pc.ascii_split_whitespace(texts)
         bounds = lists.offsets.to_numpy().astype(np.int64)
-        words = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).cast(pa.binary()).dictionary_encode()
+        words = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
         bounds -= bounds[0]
-        ids = [*self.of(words.dictionary.to_pylist()), end]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        pool, begins = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        pool, sizes = self.pooled(words.dictionary)
+        pool, sizes = np.concatenate((pool, np.frombuffer(end, "<u4"))), np.append(sizes, len(end) // 4)
         # every text ends with one more part, which stands for the end
-        which = np.insert(words.indices.to_numpy().astype(np.int64), bounds[1:], len(ids) - 1)
-        upto = np.concatenate(([0], np.cumsum(sizes[which])))
-        tokens = pool[np.repeat(begins[which] - upto[:-1], sizes[which]) + np.arange(upto[-1])]
+        tokens, upto = gathered(pool, sizes, np.insert(words.indices.to_numpy(), bounds[1:], len(sizes) - 1))
         offsets = 4 * upto[bounds + np.arange(len(bounds))]
         return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(tokens)])
 
 
+def gathered(pool, sizes, which):
+    """(the ids of the parts ``which``, of the ``sizes`` of all that ``pool`` holds one after another; where each begins and the last ends)."""
+    import numpy as np
+
+    begins, many = np.cumsum(sizes) - sizes, sizes[which]
+    upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(many)))
+    kind = np.int32 if max(len(pool), upto[-1]) < 1 << 31 else np.int64
+    return pool[np.repeat((begins[which] - upto[:-1]).astype(kind), many) + np.arange(upto[-1], dtype=kind)], upto
+
+
 def pieces(texts: pa.Array, most: int) -> Iterator[pa.Array]:
     """``texts`` in slices of up to ``most`` bytes, or of one text."""
     import numpy as np
@@ -396,7 +449,8 @@ def _encode(definition: str, end_id: int | None, by_words: bool):
         if definition not in _LOADED:
             _LOADED.clear()
             tokenizer = Tokenizer.from_str(definition)
-            _LOADED[definition] = (tokenizer, Parts(tokenizer, json.loads(definition)["model"].get("end_of_word_suffix")))
+            told = json.loads(definition)
+            _LOADED[definition] = (tokenizer, Parts(tokenizer, told["model"].get("end_of_word_suffix"), separable(told)))
         tokenizer, parts = _LOADED[definition]
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         for batch in batches:
