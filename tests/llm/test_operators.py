@@ -560,6 +560,35 @@ def test_all_holders_of_a_passage_meet(spark, tmp_path):
     assert got == wanted | {(0, i) for i in range(len(texts) - 40, len(texts))}
 
 
+def test_words_of_many_texts_at_once():
+    texts = ["", " a b ", "Ab", "c", "aB\tab\x0bab\x1cx", None, "é É  " + "x" * 8 + " " + "x" * 9 + " " + "x" * 16, "x" * 17 + "\n", " ", "\x00 \x00\x00"]
+    every, ends = [], [0]
+    for t in texts:
+        every += words(t)
+        ends.append(len(every))
+    for first in (0, 3):  # a slice of an array begins elsewhere in its buffers
+        some = pa.array([t or "" for t in texts])[first:]
+        hashes, bounds = substring_dedup.word_hashes(some)
+        assert bounds.tolist() == [e - ends[first] for e in ends[first:]]
+        mine = every[ends[first] :]
+        assert len(hashes) == len(mine) and len(set(hashes.tolist())) == len(set(mine)) == len(set(zip(mine, hashes.tolist(), strict=True)))
+
+
+def test_nothing_is_left_but_what_is_read_on(spark, tmp_path):
+    """Chains, the words around them and the copies are read by the result; tables of the steps before are gone, and a passage is whole though its chains lie apart."""
+    passage, other = prose(70, 400).split(), prose(70, 400).split()
+    for i in range(100, 300, 3):
+        other[i] = f"changed{i}"
+    docs = read(spark, tmp_path, documents=documents([" ".join(passage), " ".join(other), *[prose(75, 90)] * 2]))
+    since = len(substring_dedup.WRITTEN)
+    found = substring_dedup.shared_passages(docs)
+    assert len(substring_dedup.WRITTEN) - since == 3
+    got = found.collect()
+    assert {tuple(sorted((r.doc_id, r.other_id))) for r in got} == {(0, 1), (2, 3)}
+    covered = {i for r in got for i in range(r.start, r.end) if {r.doc_id, r.other_id} == {0, 1}}
+    assert covered >= {*range(100), *range(300, 400)}
+
+
 def test_substring_dedup_of_awkward_documents(spark, tmp_path):
     docs = awkward()
     got = substring_dedup.query(spark, written(tmp_path, documents=clashing(docs))).collect()

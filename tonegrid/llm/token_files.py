@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from tonegrid.llm.common import WRITTEN, shared_dir, table, text_of
+from tonegrid.llm.common import WRITTEN, pieces, shared_dir, table, text_of
 
 #: Ids of a block (a multiple of eight), ids after which a file ends, ids that a reader unpacks at once.
 BLOCK, FILE_IDS, READ_IDS = 4096, 1 << 25, 1 << 20
@@ -427,18 +427,6 @@ def gathered(pool, sizes, which):
     return pool[np.repeat((begins[which] - upto[:-1]).astype(kind), many) + np.arange(upto[-1], dtype=kind)], upto
 
 
-def pieces(texts: pa.Array, most: int) -> Iterator[pa.Array]:
-    """``texts`` in slices of up to ``most`` bytes, or of one text."""
-    import numpy as np
-    import pyarrow.compute as pc
-
-    upto, first = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
-    while first < len(texts):
-        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + most, "right")))
-        yield texts.slice(first, last - first)
-        first = last
-
-
 def _encode(definition: str, end_id: int | None, by_words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
