@@ -1,5 +1,6 @@
 """Filter audit, token files and fill-in-middle against brute force."""
 
+import gc
 import hashlib
 import json
 import os
@@ -135,6 +136,24 @@ def test_case_and_marks_after_words_need_no_ids_of_their_own():
         assert not token_files.separable(told | change)
 
 
+def test_parts_are_known_without_an_object_for_each(monkeypatch):
+    monkeypatch.setattr(token_files, "KNOWN", 3)
+    monkeypatch.setattr(token_files, "LONG", 6)
+    plain = Tokenizer.from_file(TOKENIZER)
+    parts = token_files.Parts(plain, "</w>")
+    for some in (["word", "é", "longer1"], ["É", "word", "x1"], [], ["longer1", "é", "a.b", "日本"], ["word", "日本"]):
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in parts.known([t.encode() for t in some])] == [plain.encode(t, add_special_tokens=False).ids for t in some]
+        assert all(len(t) <= 6 for t in [*parts.young, *parts.old])
+    many = [f"{w}{n}" for w in ("word", "part") for n in "abcdefghijklmnop"] * 200
+    many = [t + "q" * (i // 32) for i, t in enumerate(many)]
+    monkeypatch.setattr(parts, "encoded", lambda texts: [b"0123"] * len(texts))
+    seen = []
+    gc.callbacks.append(lambda phase, info: seen.append(phase))
+    parts.known([t.encode() for t in many])  # pairs for each unknown part set the collector of cycles going
+    gc.callbacks.pop()
+    assert not seen
+
+
 def test_known_parts_are_bounded(monkeypatch):
     monkeypatch.setattr(token_files, "KNOWN", 20)
     with open(TOKENIZER) as f:

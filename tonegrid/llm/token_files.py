@@ -359,19 +359,20 @@ class Parts:
         rest = [i for i, ids in enumerate(found) if ids is None]
         if rest and len(self.young) + len(rest) > KNOWN:
             self.young, self.old = {}, self.young
-        unknown: tuple[list, list] = ([], [])
-        for i in rest:
-            if (ids := self.old.get(parts[i])) is None:
-                text = parts[i].decode()
-                unknown[text.isalpha()].append((i, text))
-            else:
-                found[i] = ids
+        names = [parts[i] for i in rest]
+        more = list(map(self.old.get, names))
+        texts, unknown = list(map(bytes.decode, names)), ([], [])
+        for n, ids in enumerate(more):
+            if ids is None:
+                unknown[texts[n].isalpha()].append(n)
         for kind in unknown:
             for at in range(0, len(kind), TOGETHER):
                 some = kind[at : at + TOGETHER]
-                for (i, _), ids in zip(some, self.encoded([t for _, t in some]), strict=True):
-                    found[i] = ids
-        self.young.update((parts[i], found[i]) for i in rest if len(parts[i]) <= LONG)
+                for n, ids in zip(some, self.encoded([texts[n] for n in some]), strict=True):
+                    more[n] = ids
+        for i, ids in zip(rest, more, strict=True):
+            found[i] = ids
+        self.young.update((t, ids) for t, ids in zip(names, more, strict=True) if len(t) <= LONG)
         return found
 
     def pooled(self, parts: pa.Array):
@@ -387,9 +388,9 @@ class Parts:
             second = pc.if_else(good, pc.ascii_ltrim(low, LETTERS), "").dictionary_encode()
             parts = pc.if_else(good, head, parts).dictionary_encode()
             indices, parts = parts.indices.to_numpy(), parts.dictionary
-        ids = self.known(parts.cast(pa.binary()).to_pylist())
+        ids = self.known(parts.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
         if second is not None:
-            marks = second.dictionary.cast(pa.binary()).to_pylist()
+            marks = second.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
             some = [m for m in marks if m]
             of = dict(zip(some, self.known(some), strict=True))
             ids += [of.get(m, b"") for m in marks]
