@@ -89,11 +89,25 @@ def envelope(signal: DataFrame, taps: int) -> DataFrame:
     return signal.withColumn("env", F.avg(F.abs("x")).over(around))
 
 
+def quantiles(values: DataFrame, of: str, share: float) -> DataFrame:
+    """(channel, limit): an interpolated quantile of each channel, its weighted sum rounded once, as ``quantile_cont`` of the SQL has it.
+
+    What is compared with the limit may equal either of its two neighbours but for the last bit, so that bit counts.
+    """
+    channel = Window.partitionBy("channel")
+    at = (F.count(of).over(channel) - 1) * F.lit(share)
+    ranked = values.where(F.col(of).isNotNull()).select("channel", F.col(of).alias("v"), at.alias("at"), (F.row_number().over(channel.orderBy(of)) - 1).alias("rank"))
+    ends = ranked.groupBy("channel", "at").agg(*[F.max(F.when(F.col("rank") == end("at"), F.col("v"))).alias(name) for name, end in (("low", F.floor), ("high", F.ceil))])
+    part = F.col("at") - F.floor("at")
+    # Spark has no such function of its own; a row for each channel comes here
+    between = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), F.col("low"), 1 - part, F.col("high") * part).cast("double")
+    return ends.select("channel", F.when(part == 0, F.col("low")).otherwise(between).alias("limit"))
+
+
 def onsets(signal: DataFrame, taps: int, quantile: float) -> DataFrame:
     """(channel, frame): rising edges of the envelope's step above its quantile among rising steps."""
     steps = envelope(signal, taps).withColumn("d", F.col("env") - F.lag("env").over(by_channel())).where("d IS NOT NULL")
-    limit = steps.where("d > 0").groupBy("channel").agg(F.percentile("d", quantile).alias("limit"))
-    over = steps.join(limit, "channel").withColumn("over", F.col("d") > F.col("limit"))
+    over = steps.join(quantiles(steps.where("d > 0"), "d", quantile), "channel").withColumn("over", F.col("d") > F.col("limit"))
     return over.withColumn("was", F.lag("over").over(by_channel())).where("over AND NOT coalesce(was, false)").select("channel", "frame")
 
 
