@@ -30,7 +30,7 @@ def test_query_equals_its_sql(spark, duck, name):
     assert rows_of(catalog.QUERIES[name](spark, SF).toPandas()) == rows_of(duck.sql(catalog.ORACLES[name]).df())
 
 
-@pytest.mark.parametrize("name", ["attack_times"])
+@pytest.mark.parametrize("name", ["attack_times", "onset_ioi_cv"])
 def test_steps_that_equal_their_quantile_but_for_the_last_bit(spark, tmp_path, name):
     # each event six times in a row, so that many steps of an envelope are alike
     duckdb.sql(f"COPY (SELECT event_id + k * 1000000 AS event_id, ts, user_id, event_type, value, props FROM '{SF}/../sf0.01/events.parquet', range(6) AS r(k)) TO '{tmp_path}/events.parquet'")
