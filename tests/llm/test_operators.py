@@ -560,6 +560,56 @@ def test_all_holders_of_a_passage_meet(spark, tmp_path):
     assert got == wanted | {(0, i) for i in range(len(texts) - 40, len(texts))}
 
 
+@pytest.mark.parametrize(("groups", "holders", "repeats"), [(5, 4, 4), (1, 60, 3)])
+def test_every_place_of_a_passage_is_found(spark, tmp_path, groups, holders, repeats):
+    """A text that holds its version of a passage several times shares each of them with the texts that hold other versions, be they few or many."""
+    rng = np.random.default_rng(34)
+    make = lambda n: [f"w{i}" for i in rng.integers(0, 1 << 30, n)]
+    texts, places = [], []
+    for _ in range(groups):
+        base = make(70)
+        for _ in range(holders):
+            version, words = list(base), []
+            for i in rng.choice(70, 4, replace=False):
+                version[i] = make(1)[0]
+            for _ in range(repeats):
+                words += make(30)
+                places.append((len(texts), len(words), len(words) + 70))
+                words += version
+            texts.append(" ".join(words + make(30)))
+    covered = {}
+    for r in substring_dedup.shared_passages(read(spark, tmp_path, documents=documents(texts))).collect():
+        for d, s, e in ((r.doc_id, r.start, r.end), (r.other_id, r.other_start, r.other_end)):
+            covered.setdefault(d, set()).update(range(s, e))
+    assert not [p for p in places if len(covered.get(p[0], set()) & set(range(*p[1:]))) < 0.8 * 70]
+
+
+def test_a_chain_hides_no_other_place():
+    one, other = [(i, i) for i in range(0, 60, 6)], [(i, 500 + i) for i in range(3, 57, 6)]
+    for swapped in (False, True):
+        met = [m[::-1] for m in one + other] if swapped else one + other
+        assert sorted(substring_dedup.chains(met)) == sorted([met[: len(one)], met[len(one) :]])
+
+
+def test_places_of_a_key_are_counted_and_periods_thinned():
+    rng = np.random.default_rng(35)
+    of, key = np.sort(rng.integers(0, 6, 300)), rng.integers(0, 40, 300)
+    seen = {}
+    want = [seen.setdefault((t, k), []).append(0) or min(len(seen[t, k]) - 1, substring_dedup.OFTEN) for t, k in zip(of.tolist(), key.tolist(), strict=True)]
+    assert substring_dedup.nth(key, of).tolist() == want
+    texts = [" ".join(["x"] * 300), " ".join(f"a b c d e f g{i % 2 + i // 20} h" for i in range(40)), " ".join(f"a b c d e f{i} g h" for i in range(9))]
+    w, bounds = substring_dedup.word_hashes(pa.array(texts))
+    seed, at, *_ = substring_dedup.winnowed(w, bounds, substring_dedup.K, substring_dedup.WINDOW)
+    of = np.searchsorted(bounds, at, "right") - 1
+    apart = substring_dedup.standing_apart(seed, at, of, bounds, w, 50)
+    assert apart[of == 0].sum() == 13 and apart[of == 2].all()  # the first and the last place and 11 more, one every 25 words
+    for n in np.flatnonzero(~apart):  # those dropped have alike words to either side, and one that stays within reach
+        mine = np.flatnonzero((seed == seed[n]) & (of == of[n]))
+        i = mine.tolist().index(n)
+        before, here, after = at[mine[i - 1]], at[n], at[mine[i + 1]]
+        assert here - before == after - here and w[before:here].tolist() == w[here:after].tolist() and np.abs(at[mine[apart[mine]]] - here).min() <= 25
+
+
 def test_words_of_many_texts_at_once():
     texts = ["", " a b ", "Ab", "c", "aB\tab\x0bab\x1cx", None, "é É  " + "x" * 8 + " " + "x" * 9 + " " + "x" * 16, "x" * 17 + "\n", " ", "\x00 \x00\x00"]
     every, ends = [], [0]
